@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.functions.scalar import rnd
 from candela.sources.bars import bars_from_trades
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -98,7 +99,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
         symbol_of(F.col("o_orderkey")).alias("symbol"),
-        F.concat(F.lit("$"), F.round(F.col("o_totalprice") / 50, 2).cast("string")).alias("predicted_result"),
+        F.concat(F.lit("$"), rnd(F.col("o_totalprice") / 50, 2).cast("string")).alias("predicted_result"),
         F.col("o_orderdate").alias("created_at"))
 
 
@@ -152,3 +153,38 @@ def labelled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     lab = table(spark, sf_dir, "labels")
     return d.join(lab, "doc_id")
+
+
+_PROCESSED_CACHE: dict = {}
+
+
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed series: trimmed feature frame (52 features, target, OHLCV).
+
+    Persisted once per session; the snapshot, screener, chart, backtest and
+    forecast queries all read it, as the reference reads its feature frame.
+    """
+    from candela.operators.indicators import feature_matrix
+    key = (id(spark), sf_dir)
+    if key not in _PROCESSED_CACHE:
+        _PROCESSED_CACHE[key] = feature_matrix(bars(spark, sf_dir), trim="ref").persist(
+            StorageLevel.MEMORY_AND_DISK)
+    return _PROCESSED_CACHE[key]
+
+
+def parse_price(s: F.Column) -> F.Column:
+    """'$123.4' -> 123.4 (null when not a number)."""
+    return F.replace(s, F.lit("$"), F.lit("")).try_cast("double")
+
+
+def latest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol, the newest prediction's price: (symbol, prediction)."""
+    p = predictions(spark, sf_dir)
+    return (p.groupBy("symbol")
+            .agg(F.max_by("predicted_result", F.struct("created_at", "id")).alias("_r"))
+            .select("symbol", parse_price(F.col("_r")).alias("prediction")))
+
+
+def universe(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The instrument universe of the fixture: the six bar symbols, in order."""
+    return list(SYMBOLS_BY_INDEX)
