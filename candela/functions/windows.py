@@ -304,3 +304,33 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_t: str, right_t:
     return out.select(*[F.col(c) for c in lcols],
                       *[F.col("_pick")[c].alias(c) for c in value_cols],
                       F.col("_pick._asof_t").alias("_asof_t"))
+
+
+def asof_join_daily(left: DataFrame, right: DataFrame, left_day: str, value_cols: list[str],
+                    direction: str = "backward", by: str = KEY, right_day: str = "d") -> DataFrame:
+    """As-of join when the right side has at most one row per (by, day).
+
+    Each right row is expanded to the calendar days it answers for
+    (backward: [d, next d); forward: (previous d, d]) and the left side is an
+    equi-join on (by, day). The expansion is bounded by the calendar span,
+    not by the left side's size, so a hot key on the left is an ordinary
+    skewed equi-join (AQE splits it) instead of one task. Adds the matched
+    right day as ``_asof_d``.
+    """
+    r = right.select(by, right_day, *value_cols)
+    w = Window.partitionBy(by).orderBy(right_day)
+    if direction == "backward":
+        # the newest right day keeps answering up to the newest left day
+        horizon = left.select(F.max(left_day)).scalar()
+        nxt = F.lead(right_day).over(w)
+        start = F.col(right_day)
+        end = F.coalesce(F.date_sub(nxt, 1), F.greatest(horizon, F.col(right_day)))
+    else:
+        prv = F.lag(right_day).over(w)
+        start = F.coalesce(F.date_add(prv, 1), F.least(
+            left.select(F.min(left_day)).scalar(), F.col(right_day)))
+        end = F.col(right_day)
+    cal = (r.withColumn("_s", start).withColumn("_e", end)
+           .withColumn("_day", F.explode(F.sequence("_s", "_e")))
+           .select(by, F.col("_day"), F.col(right_day).alias("_asof_d"), *value_cols))
+    return left.join(cal.withColumnRenamed("_day", left_day), [by, left_day], "left")

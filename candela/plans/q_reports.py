@@ -1 +1,69 @@
-"""Registered queries (to be filled)."""
+"""Family K: activity reports and watchlist maintenance."""
+
+from __future__ import annotations
+
+from candela.operators import reports as rp
+from candela.plans.common import rounded
+from candela.plans.q_scoring import PRED
+from candela.plans.q_snapshot import WATCH
+from candela.plans.registry import register
+from candela.plans.sql_parts import symbol_of, with_ctes
+from candela.sources import tables
+
+TX = ("tx", """SELECT event_id AS id, user_id, value AS amount_paid, CAST(floor(value) + 1 AS BIGINT) AS tokens_added,
+  ts AS date FROM events WHERE event_type = 'purchase'""")
+USERS = ("users", "SELECT c_custkey AS user_id, c_name AS name FROM customer")
+
+
+@register("admin_kpis", with_ctes([PRED, TX, USERS], """SELECT uc AS user_count, pc AS pred_count,
+  round(rev + 1e-9, 2) AS revenue, ts AS token_sales, pt AS preds_today,
+  CASE WHEN uc > 0 THEN round(rev / uc + 1e-9, 2) ELSE 0.0 END AS revenue_per_user,
+  CASE WHEN uc > 0 THEN round(pc / uc + 1e-9, 1) ELSE 0.0 END AS preds_per_user
+  FROM (SELECT (SELECT count(*) FROM users) AS uc, (SELECT count(*) FROM pred) AS pc,
+    (SELECT count(*) FROM pred WHERE created_at >= date_trunc('day', (SELECT max(o_orderdate) FROM orders))) AS pt,
+    (SELECT coalesce(sum(amount_paid), 0.0) FROM tx) AS rev, (SELECT CAST(coalesce(sum(tokens_added), 0) AS BIGINT) FROM tx) AS ts)"""))
+def admin_kpis(spark, sf_dir):
+    return rounded(rp.admin_kpis(tables.users(spark, sf_dir), tables.predictions(spark, sf_dir),
+                                 tables.transactions(spark, sf_dir), tables.as_of(spark, sf_dir)))
+
+
+@register("top_users", with_ctes([PRED, USERS], """SELECT u.user_id, u.name, count(p.id) AS pc
+  FROM users u LEFT JOIN pred p USING (user_id) GROUP BY u.user_id, u.name ORDER BY pc DESC, u.user_id LIMIT 10"""))
+def top_users(spark, sf_dir):
+    return rp.top_users(tables.users(spark, sf_dir), tables.predictions(spark, sf_dir), 10)
+
+
+@register("recent_predictions", with_ctes([PRED, USERS], """SELECT p.id, p.user_id, u.name, p.symbol, p.predicted_result,
+  p.created_at FROM (SELECT * FROM pred ORDER BY created_at DESC, id DESC LIMIT 20) p LEFT JOIN users u USING (user_id)"""))
+def recent_predictions(spark, sf_dir):
+    return rp.recent_predictions(tables.predictions(spark, sf_dir), tables.users(spark, sf_dir), 20)
+
+
+@register("user_history", with_ctes([PRED, TX], """
+  SELECT 'transaction' AS kind, user_id, rank, id, date AS ts, amount_paid AS amount, CAST(tokens_added AS VARCHAR) AS detail
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, id DESC) AS rank FROM tx) WHERE rank <= 50
+  UNION ALL
+  SELECT 'prediction', user_id, rank, id, created_at, NULL::DOUBLE, predicted_result
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rank FROM pred) WHERE rank <= 100"""))
+def user_history(spark, sf_dir):
+    return rounded(rp.user_history(tables.transactions(spark, sf_dir), tables.predictions(spark, sf_dir)))
+
+
+_WREQ = ("wreq", f"""SELECT user_id, {symbol_of('event_id')} AS symbol,
+  CASE WHEN event_type = 'click' THEN 'add' ELSE 'remove' END AS action, ts, event_id AS seq
+  FROM events WHERE event_type IN ('click', 'error')""")
+_WLAST = ("wlast", """SELECT user_id, symbol, arg_max(action, (ts, seq)) AS action, max(ts) AS ts FROM wreq
+  WHERE list_contains(['A-F','A-O','N-F','N-O','R-F','R-O'], symbol) GROUP BY user_id, symbol""")
+_WKEPT = ("wkept", """SELECT w.user_id, w.symbol, w.added_at FROM watch w
+  WHERE NOT EXISTS (SELECT 1 FROM wlast l WHERE l.user_id = w.user_id AND l.symbol = w.symbol AND l.action = 'remove')""")
+_WADD = ("wadd", """SELECT l.user_id, l.symbol, l.ts AS added_at FROM wlast l WHERE l.action = 'add'
+  AND NOT EXISTS (SELECT 1 FROM watch w WHERE w.user_id = l.user_id AND w.symbol = l.symbol)""")
+
+
+@register("watchlist_upsert", with_ctes([WATCH, _WREQ, _WLAST, _WKEPT, _WADD], """SELECT * FROM wkept UNION ALL
+  SELECT user_id, symbol, added_at FROM (SELECT a.*, row_number() OVER (PARTITION BY a.user_id ORDER BY a.added_at, a.symbol) AS k,
+    coalesce(h.held, 0) AS held FROM wadd a LEFT JOIN (SELECT user_id, count(*) AS held FROM wkept GROUP BY user_id) h USING (user_id))
+  WHERE k <= 30 - held"""))
+def watchlist_upsert(spark, sf_dir):
+    return rp.watchlist_upsert(tables.watchlist(spark, sf_dir), tables.watchlist_requests(spark, sf_dir),
+                               tables.universe(spark, sf_dir))

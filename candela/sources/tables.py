@@ -188,3 +188,30 @@ def latest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(spark: SparkSession, sf_dir: str) -> list[str]:
     """The instrument universe of the fixture: the six bar symbols, in order."""
     return list(SYMBOLS_BY_INDEX)
+
+
+def as_of(spark: SparkSession, sf_dir: str) -> F.Column:
+    """The data's "now": the newest order timestamp (a scalar subquery), so
+    no query depends on the wall clock."""
+    return table(spark, sf_dir, "orders").select(F.max("o_orderdate")).scalar()
+
+
+def alert_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert creation requests from customer rows: user = nation (so the
+    20-alert cap binds), symbol in lower case, some invalid directions, the
+    account balance as target (negative ones are invalid)."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("user_id"),
+        F.lower(symbol_of(F.col("c_custkey"))).alias("symbol"),
+        F.when(F.col("c_custkey") % 11 == 0, F.lit("sideways"))
+         .when(F.col("c_custkey") % 2 == 0, F.lit(" Above ")).otherwise(F.lit("below")).alias("direction"),
+        F.col("c_acctbal").alias("target_price"), F.col("c_name").alias("note"))
+
+
+def watchlist_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watchlist add (click events) and remove (error events) requests."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error"))
+    return ev.select("user_id", symbol_of(F.col("event_id")).alias("symbol"),
+                     F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("action"),
+                     "ts", F.col("event_id").alias("seq"))
