@@ -334,3 +334,33 @@ def asof_join_daily(left: DataFrame, right: DataFrame, left_day: str, value_cols
            .withColumn("_day", F.explode(F.sequence("_s", "_e")))
            .select(by, F.col("_day"), F.col(right_day).alias("_asof_d"), *value_cols))
     return left.join(cal.withColumnRenamed("_day", left_day), [by, left_day], "left")
+
+
+def prefix_sum_min(df: DataFrame, key: str, order: list[str], x: str, init: float = 0.0,
+                   time_col: str | None = None, bucket_days: int = 31) -> DataFrame:
+    """Running sum S_t = init + sum(x up to t) and the running minimum of S
+    (over rows 1..t: ``_min_incl``; over rows 1..t-1: ``_min_excl``) per key.
+
+    Two-level scan, so a key holding a large share of the rows is still cut
+    into time buckets: windows run inside (key, bucket); each bucket's total
+    and lowest partial sum go to a small per-bucket table whose own running
+    sums give every bucket its offset and the minimum before it.
+    """
+    tc = time_col or order[0]
+    b = df.withColumn("_bk", F.floor(F.unix_date(F.to_date(F.col(tc))) / bucket_days))
+    wi = Window.partitionBy(key, "_bk").orderBy(*order)
+    run = wi.rowsBetween(Window.unboundedPreceding, 0)
+    prev = wi.rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_s_in", F.sum(x).over(run))
+    b = b.withColumns({"_m_in": F.min("_s_in").over(run), "_m_in_x": F.min("_s_in").over(prev)})
+    per = b.groupBy(key, "_bk").agg(F.sum(x).alias("_tot"), F.min("_s_in").alias("_bmin"))
+    wk = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.lit(init) + F.coalesce(F.sum("_tot").over(wk), F.lit(0.0)))
+    wk2 = Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_prevmin", F.min(F.col("_off") + F.col("_bmin")).over(wk2))
+    j = b.join(per.select(key, "_bk", "_off", "_prevmin"), [key, "_bk"])
+    s = F.col("_off") + F.col("_s_in")
+    incl = F.least(F.col("_prevmin"), F.col("_off") + F.col("_m_in"))
+    excl = F.least(F.col("_prevmin"), F.col("_off") + F.col("_m_in_x"))
+    return (j.withColumns({"_S": s, "_min_incl": incl, "_min_excl": excl})
+            .drop("_bk", "_s_in", "_m_in", "_m_in_x", "_off", "_prevmin"))

@@ -215,3 +215,53 @@ def watchlist_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("user_id", symbol_of(F.col("event_id")).alias("symbol"),
                      F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("action"),
                      "ts", F.col("event_id").alias("seq"))
+
+
+# Fixed values of the payment fixture mapping (index -> pack / plan id).
+PACKS_BY_INDEX = ["starter", "explorer", "pro", "whale"]
+PACK_TOKENS = [20, 50, 100, 500]
+PLANS_BY_INDEX = ["pro_monthly", "enterprise_monthly"]
+PLAN_TOKENS = [200, 999]
+
+
+def _pick(values: list, idx: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
+
+
+def payment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payment-provider events as JSON text built from ``events`` with
+    to_json(struct): purchase -> completed one-off checkout (pack by event id),
+    signup -> completed subscription checkout (plan by event id), view ->
+    invoice paid (every third one a renewal cycle), click / error -> other
+    event types. Users divisible by 50 carry no user id (skipped)."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    eid = F.col("event_id")
+    uid = F.when(F.col("user_id") % 50 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("string")
+    pack, plan = _pick(PACKS_BY_INDEX, eid), _pick(PLANS_BY_INDEX, eid)
+    ptok, stok = _pick(PACK_TOKENS, eid).cast("string"), _pick(PLAN_TOKENS, eid).cast("string")
+    et = F.col("event_type")
+    typ = (F.when(et.isin("purchase", "signup"), "checkout.session.completed")
+           .when(et == "view", "invoice.payment_succeeded")
+           .when(et == "click", "customer.subscription.updated").otherwise("charge.failed"))
+    meta = F.struct(uid.alias("user_id"),
+                    F.when(et == "purchase", ptok).otherwise(stok).alias("tokens"),
+                    F.when(et == "purchase", pack).alias("pack_id"),
+                    F.when(et != "purchase", plan).alias("plan_id"))
+    obj = F.struct(
+        F.concat(F.lit("obj_"), eid.cast("string")).alias("id"),
+        F.when(et == "purchase", "payment").when(et == "signup", "subscription").alias("mode"),
+        F.when(et.isin("purchase", "signup"), meta).alias("metadata"),
+        F.when(et == "view", F.when(eid % 3 == 0, "subscription_cycle").otherwise("subscription_create"))
+         .alias("billing_reason"),
+        F.when(et == "view", F.round(F.col("value") * 100).cast("long")).alias("amount_paid"),
+        F.when(et == "view", F.struct(F.concat(F.lit("sub_"), F.col("user_id").cast("string")).alias("id"),
+                                      meta.alias("metadata"))).alias("subscription"))
+    doc = F.struct(F.concat(F.lit("evt_"), eid.cast("string")).alias("id"), typ.alias("type"),
+                   F.struct(obj.alias("object")).alias("data"))
+    return ev.select("event_id", "ts", F.to_json(doc).alias("json"))
+
+
+def key_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API key creation requests: one per signup event."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    return ev.select("user_id", F.col("event_id").alias("key_id"), F.col("ts").alias("created_at"))
