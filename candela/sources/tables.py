@@ -265,3 +265,9 @@ def key_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API key creation requests: one per signup event."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
     return ev.select("user_id", F.col("event_id").alias("key_id"), F.col("ts").alias("created_at"))
+
+
+def resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paper-portfolio resets: a user's signup events (user_id, reset_at)."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    return ev.select("user_id", F.col("ts").alias("reset_at"))

@@ -42,9 +42,11 @@ def norm(v):
     return str(v)
 
 
-def digest(df: pd.DataFrame):
-    cols = sorted(df.columns)
-    rows = sorted("|".join(norm(r[c]) for c in cols) for r in df.to_dict("records"))
+def digest(df):
+    """df: a pyarrow Table (exact types, nulls kept)."""
+    cols = sorted(df.column_names)
+    recs = df.to_pylist()
+    rows = sorted("|".join(norm(r[c]) for c in cols) for r in recs)
     return hashlib.sha1("\n".join(rows).encode()).hexdigest(), rows
 
 
@@ -66,7 +68,7 @@ def main():
     for k in keys:
         t0 = time.time()
         try:
-            sdf = registry.QUERIES[k](spark, sf_dir).toPandas()
+            sdf = registry.QUERIES[k](spark, sf_dir).toArrow()
         except Exception as e:  # noqa: BLE001
             print(f"{k:28s} SPARK ERROR {type(e).__name__}: {str(e)[:300]}")
             bad += 1
@@ -74,25 +76,27 @@ def main():
         t1 = time.time()
         sql = registry.ORACLES.get(k)
         if sql is None:
-            print(f"{k:28s} rows={len(sdf):6d} (no oracle) spark={t1-t0:.1f}s")
+            print(f"{k:28s} rows={sdf.num_rows:6d} (no oracle) spark={t1-t0:.1f}s")
             continue
         try:
-            odf = con.execute(sql).fetchdf()
+            odf = con.execute(sql).to_arrow_table()
+            if hasattr(odf, "read_all"):
+                odf = odf.read_all()
         except Exception as e:  # noqa: BLE001
             print(f"{k:28s} DUCKDB ERROR {str(e)[:300]}")
             bad += 1
             continue
         t2 = time.time()
-        same_cols = sorted(sdf.columns) == sorted(odf.columns)
+        same_cols = sorted(sdf.column_names) == sorted(odf.column_names)
         hs, rs = digest(sdf) if same_cols else ("", [])
         ho, ro = digest(odf) if same_cols else ("", [])
-        ok = same_cols and len(sdf) == len(odf) and hs == ho
-        print(f"{k:28s} {'OK ' if ok else 'BAD'} rows={len(sdf)}/{len(odf)} spark={t1-t0:.1f}s duck={t2-t1:.1f}s")
+        ok = same_cols and sdf.num_rows == odf.num_rows and hs == ho
+        print(f"{k:28s} {'OK ' if ok else 'BAD'} rows={sdf.num_rows}/{odf.num_rows} spark={t1-t0:.1f}s duck={t2-t1:.1f}s")
         if not ok:
             bad += 1
             if not same_cols:
-                print("   spark cols:", sorted(sdf.columns))
-                print("   duck  cols:", sorted(odf.columns))
+                print("   spark cols:", sorted(sdf.column_names))
+                print("   duck  cols:", sorted(odf.column_names))
             else:
                 a, b = set(rs), set(ro)
                 for r in sorted(a - b)[:3]:
