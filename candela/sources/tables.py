@@ -136,14 +136,40 @@ def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines from whole documents: symbol = source, title = the first
+    line, summary = the rest of the text, published in doc_id order."""
     d = table(spark, sf_dir, "documents")
+    nl = F.instr("text", "\n")
     return d.select(
         "doc_id", F.col("source").alias("symbol"),
-        F.substring("text", 1, 140).alias("title"),
-        F.substring("text", 141, 200).alias("summary"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.when(nl > 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise(F.lit("")).alias("summary"),
         F.col("doc_id").alias("published"))
 
 
+# Test lexicon (token, weight): tokens that occur in the invented prose of
+# ``documents`` plus a few real sentiment words. A parameter, not a model.
+LEXICON = [("that", 0.5), ("with", 1.2), ("this", -0.8), ("from", -1.1), ("than", 0.9),
+           ("thing", 1.5), ("then", -0.6), ("ther", -0.4), ("tion", 0.3), ("worthless", -2.5),
+           ("good", 1.9), ("great", 3.1), ("bad", -2.5), ("loss", -1.3), ("gain", 1.4)]
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(LEXICON, "token string, weight double")
+
+
+# Literal chat messages, one per keyword set plus the edge cases (FIXTURES).
+CHAT_EXTRA = ["Allow short selling nedir?", "Which model gives the best forecast?", "Show my watchlist",
+              "Can you recommend something?", "How much does a token cost?", "What is the Sharpe ratio?",
+              "hello there", "   ", "x" * 601]
+
+
+def chat_messages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(-(i + 1), 0, m) for i, m in enumerate(CHAT_EXTRA)],
+                                  "conv_id long, turn long, message string")
+    return chat_messages(spark, sf_dir).unionByName(extra)
+
+
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return cv.select("conv_id", "turn", F.col("text").alias("message"))
