@@ -57,3 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
     return cur
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder under the shared checkpoint location for written tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"

@@ -297,3 +297,108 @@ def resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paper-portfolio resets: a user's signup events (user_id, reset_at)."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
     return ev.select("user_id", F.col("ts").alias("reset_at"))
+
+
+# --------------------------------------------------------------------------
+# source fixtures written to (and read back from) the shared folder
+# --------------------------------------------------------------------------
+
+_WRITTEN: dict = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+    """Write a fixture table once per session into the shared folder."""
+    from candela.session import shared_path
+    key = (id(spark), sf_dir, name)
+    if key not in _WRITTEN:
+        tag = abs(hash(sf_dir)) % 10 ** 8
+        path = shared_path(spark, f"{name}_{tag}")
+        build(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def stored_bars_path(spark: SparkSession, sf_dir: str) -> str:
+    from candela.sources.bars import bars_sink
+    return _written(spark, sf_dir, "bars", lambda p: bars_sink(bars(spark, sf_dir), p))
+
+
+def bars_feed(spark: SparkSession, sf_dir: str, where: F.Column | None = None) -> DataFrame:
+    tr = lineitem_trades(spark, sf_dir)
+    if where is not None:
+        tr = tr.filter(where)
+    return bars_from_trades(tr, order_cols=TRADE_ORDER, unit="day")
+
+
+def bar_feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three bar feeds in priority order: trades of full lots (quantity 50),
+    first lines of orders, then all trades."""
+    return [bars_feed(spark, sf_dir, F.col("l_quantity") == 50),
+            bars_feed(spark, sf_dir, F.col("l_linenumber") == 1),
+            bars(spark, sf_dir)]
+
+
+def chart_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart JSON documents, one per (symbol, month), built from the bars:
+    parallel arrays, epoch seconds at 21:00 UTC, an adjusted close (0.98 x
+    close) for symbols starting with 'A', and a null volume on the 15th."""
+    b = bars(spark, sf_dir)
+    row = F.struct(
+        F.unix_timestamp(F.to_timestamp(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 21:00:00")))).alias("t"),
+        "open", "high", "low", "close",
+        F.when(F.dayofmonth("d") == 15, F.lit(None).cast("double")).otherwise(F.col("volume")).alias("volume"),
+        (F.col("close") * 0.98).alias("adj"))
+    g = (b.groupBy("symbol", F.date_trunc("month", "d").alias("m"))
+         .agg(F.array_sort(F.collect_list(row)).alias("rows")))   # at most 31 rows per document
+    has_adj = F.col("symbol").startswith("A")
+    def field(name):
+        return lambda r: r[name]
+    quote = F.struct(*[F.transform("rows", field(k)).alias(k) for k in ("open", "high", "low", "close", "volume")])
+    res = F.struct(
+        F.struct(F.col("symbol").alias("symbol")).alias("meta"),
+        F.transform("rows", lambda r: r["t"]).alias("timestamp"),
+        F.struct(F.array(quote).alias("quote"),
+                 F.when(has_adj, F.array(F.struct(F.transform("rows", lambda r: r["adj"]).alias("adjclose"))))
+                 .alias("adjclose")).alias("indicators"))
+    doc = F.struct(F.struct(F.array(res).alias("result")).alias("chart"))
+    return g.select("symbol", "m", F.to_json(doc).alias("json"))
+
+
+def csv_bars_path(spark: SparkSession, sf_dir: str) -> str:
+    """Bars written as CSV with vendor headers (Symbol, Date, Open, High,
+    Low, Close, Adj Close, Volume); adjusted close = 0.98 x close."""
+    def build(path):
+        b = bars(spark, sf_dir)
+        out = b.select(F.col("symbol").alias("Symbol"), F.date_format("d", "yyyy-MM-dd").alias("Date"),
+                       F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
+                       F.col("close").alias("Close"), (F.col("close") * 0.98).alias("Adj Close"),
+                       F.col("volume").alias("Volume"))
+        out.write.mode("overwrite").option("header", True).csv(path)
+    return _written(spark, sf_dir, "bars_csv", build)
+
+
+def raw_bar_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw feed with repeated deliveries: one bar per (symbol, day, line
+    number) as text with vendor-cased headers; the line number is the
+    arrival order and line 3 carries an unparseable volume."""
+    tr = lineitem_trades(spark, sf_dir)
+    g = bars_from_trades(tr.withColumnRenamed("symbol", "_s").withColumn(
+        "symbol", F.concat_ws("#", "_s", F.col("l_linenumber").cast("string"))),
+        order_cols=TRADE_ORDER, unit="day")
+    sym = F.split("symbol", "#")
+    return g.select(sym[0].alias("Symbol"), F.col("d").alias("D"),
+                    F.col("open").cast("string").alias("Open"), F.col("high").cast("string").alias(" HIGH "),
+                    F.col("low").cast("string").alias("low"), F.col("close").cast("string").alias("Close"),
+                    F.when(sym[1] == "3", F.lit("n/a")).otherwise(F.col("volume").cast("string")).alias("Volume"),
+                    sym[1].cast("int").alias("Arrival"))
+
+
+def symbol_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each symbol's data was last loaded: its newest trade time."""
+    return (lineitem_trades(spark, sf_dir).groupBy("symbol").agg(F.max("ts").alias("loaded_at")))
+
+
+def data_as_of(spark: SparkSession, sf_dir: str) -> F.Column:
+    """Report time for freshness: two hours after the newest trade."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.max("l_shipdate") + F.expr("INTERVAL 2 HOURS")).scalar()
