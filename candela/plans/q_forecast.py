@@ -1 +1,134 @@
-"""Registered queries (to be filled)."""
+"""Family F: training set, scaling, models, hold-out and roll-forward."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from candela.operators import forecast as fc
+from candela.operators.indicators import select_group_cols
+from candela.plans.common import TIE_SHIFT, rounded, sql_round
+from candela.plans.registry import register
+from candela.plans.sql_parts import trimmed_ctes, with_ctes
+from candela.sources import tables
+
+GROUPS = fc.LINEAR_GROUPS
+COLS = select_group_cols(GROUPS)
+HORIZON = 14
+
+_TS = [("ts0", f"""SELECT symbol, d, {', '.join(COLS)}, target_lr, close FROM ft
+         WHERE {' AND '.join(f'{c} IS NOT NULL' for c in COLS + ['target_lr'])}"""),
+       ("ts1", """SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d) - 1 AS pos,
+         count(*) OVER (PARTITION BY symbol) AS n FROM ts0"""),
+       ("tset", "SELECT *, CASE WHEN pos < floor(n * 0.9) THEN 'train' ELSE 'test' END AS split FROM ts1 WHERE n >= 100"),
+       ("qs", "SELECT symbol, " + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q_{c}" for c in COLS)
+        + " FROM tset GROUP BY symbol"),
+       ("scaled", "SELECT t.symbol, t.d, t.pos, t.n, t.split, t.target_lr, t.close, "
+        + ", ".join(f"(t.{c} - q.q_{c}[2]) / CASE WHEN q.q_{c}[3] - q.q_{c}[1] = 0 THEN 1.0 ELSE q.q_{c}[3] - q.q_{c}[1] END AS {c}"
+                    for c in COLS) + " FROM tset t JOIN qs q USING (symbol)")]
+
+
+def _ctes():
+    return trimmed_ctes() + _TS
+
+
+def _tset(spark, sf_dir):
+    return fc.training_set(tables.processed(spark, sf_dir), GROUPS)
+
+
+def _scaled(spark, sf_dir):
+    return fc.robust_scale(_tset(spark, sf_dir), COLS)
+
+
+_R = ", ".join(f"{sql_round(c)} AS {c}" for c in COLS)
+
+
+@register("training_set", with_ctes(_ctes(), f"""SELECT symbol, d, pos, n, split, {_R},
+  {sql_round('target_lr')} AS target_lr, {sql_round('close')} AS close FROM tset"""))
+def training_set(spark, sf_dir):
+    return rounded(_tset(spark, sf_dir))
+
+
+@register("robust_scale", with_ctes(_ctes(), f"""SELECT symbol, d, pos, n, split, {sql_round('target_lr')} AS target_lr,
+  {sql_round('close')} AS close, {_R} FROM scaled"""))
+def robust_scale(spark, sf_dir):
+    return rounded(_scaled(spark, sf_dir))
+
+
+def _ridge(spark, sf_dir):
+    sc = _scaled(spark, sf_dir)
+    return sc, fc.forecast_ridge(sc, COLS, 2.0)
+
+
+@register("forecast_ridge")
+def forecast_ridge(spark, sf_dir):
+    _, m = _ridge(spark, sf_dir)
+    return m
+
+
+def _trees(kind):
+    def q(spark, sf_dir):
+        return fc.holdout_eval(fc.forecast_trees(_scaled(spark, sf_dir), COLS, kind))
+    return q
+
+
+register("forecast_forest")(_trees("forest"))
+register("forecast_extra_trees")(_trees("extra_trees"))
+register("forecast_gbt")(_trees("gbt"))
+
+
+def _holdout(spark, sf_dir):
+    sc, m = _ridge(spark, sf_dir)
+    return fc.holdout_eval(fc.ridge_predict(sc, m, COLS))
+
+
+@register("holdout_eval")
+def holdout_eval(spark, sf_dir):
+    return _holdout(spark, sf_dir)
+
+
+def _future(spark, sf_dir):
+    sc, m = _ridge(spark, sf_dir)
+    stats = fc.scaler_stats(_tset(spark, sf_dir), COLS)
+    return fc.forecast_rolling(tables.processed(spark, sf_dir), m, stats, COLS, HORIZON)
+
+
+@register("forecast_rolling")
+def forecast_rolling(spark, sf_dir):
+    return _future(spark, sf_dir)
+
+
+@register("forecast_step_features")
+def forecast_step_features(spark, sf_dir):
+    """Step features of the newest bar from each symbol's last 80 bars."""
+    from candela.operators.snapshot import tail_rows
+    t = tail_rows(tables.processed(spark, sf_dir).select("symbol", "d", "close", "high", "low", "volume"),
+                  fc.HISTORY)
+
+    def newest(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("d")
+        fr = fc.step_feature_frame(pdf["close"].reset_index(drop=True), pdf["high"].reset_index(drop=True),
+                                   pdf["low"].reset_index(drop=True), pdf["volume"].reset_index(drop=True))
+        last = fr.iloc[[-1]][COLS].reset_index(drop=True)
+        return pd.concat([pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [pdf["d"].iloc[-1]]}), last], axis=1)
+
+    schema = "symbol string, d date, " + ", ".join(f"{c} double" for c in COLS)
+    return t.groupBy("symbol").applyInPandas(newest, schema=schema)
+
+
+@register("forecast_series")
+def forecast_series(spark, sf_dir):
+    return fc.forecast_series(_holdout(spark, sf_dir), _future(spark, sf_dir))
+
+
+_W = ", ".join(COLS)
+
+
+@register("sequence_windows", with_ctes(_ctes(), f"""SELECT symbol, d, pos,
+  list_transform(flatten(list([{_W}]) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)),
+                 lambda x: round(x + {TIE_SHIFT}, 6)) AS window,
+  {sql_round('target_lr')} AS target_lr FROM scaled
+  QUALIFY len(flatten(list([{_W}]) OVER (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING))) = {15 * len(COLS)}"""))
+def sequence_windows(spark, sf_dir):
+    out = fc.sequence_windows(_scaled(spark, sf_dir), COLS, 15)
+    return rounded(out.withColumn("window", F.transform("window", lambda x: F.round(x + TIE_SHIFT, 6))))
