@@ -1 +1,32 @@
-"""Registered queries (to be filled)."""
+"""Streaming keys: each runs its Structured Streaming job over the whole
+fixture stream (availableNow) and returns the table it wrote. The oracle is
+the batch twin in SQL."""
+
+from __future__ import annotations
+
+from candela.operators import wallet as wl
+from candela.plans.common import rounded
+from candela.plans.q_alerts import ALERTS
+from candela.plans.q_wallet import _PAY
+from candela.plans.registry import register
+from candela.plans.sql_parts import BARS_SQL, with_ctes
+from candela.sources import tables
+from candela.streaming import jobs
+
+
+@register("alert_stream", with_ctes([("b", BARS_SQL), ALERTS], """SELECT a.id, a.user_id, a.symbol, a.target_price, a.direction,
+  min(b.d) AS fired_on, round(arg_min(b.close, b.d) + 3.18309886e-8, 6) AS price
+  FROM b JOIN alerts a USING (symbol)
+  WHERE a.status = 'active' AND ((a.direction = 'above' AND b.close >= a.target_price) OR (a.direction = 'below' AND b.close <= a.target_price))
+  GROUP BY a.id, a.user_id, a.symbol, a.target_price, a.direction"""))
+def alert_stream(spark, sf_dir):
+    out = jobs.alert_stream(spark, tables.bar_stream_dir(spark, sf_dir), tables.alerts(spark, sf_dir),
+                            tables.BAR_SCHEMA)
+    return rounded(out)
+
+
+@register("payment_stream", _PAY)
+def payment_stream(spark, sf_dir):
+    out = jobs.payment_stream(spark, tables.payment_stream_dir(spark, sf_dir), wl.price_plans(spark),
+                              tables.PAYMENT_EVENT_SCHEMA)
+    return rounded(out)

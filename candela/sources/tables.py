@@ -402,3 +402,32 @@ def data_as_of(spark: SparkSession, sf_dir: str) -> F.Column:
     """Report time for freshness: two hours after the newest trade."""
     return table(spark, sf_dir, "lineitem").select(
         F.max("l_shipdate") + F.expr("INTERVAL 2 HOURS")).scalar()
+
+
+BAR_SCHEMA = "symbol string, d date, open double, high double, low double, close double, volume double"
+PAYMENT_EVENT_SCHEMA = "event_id long, ts timestamp_ntz, json string"
+
+
+def bar_stream_dir(spark: SparkSession, sf_dir: str) -> str:
+    """The daily bars as a file stream: three files sets, oldest first."""
+    def build(path):
+        b = bars(spark, sf_dir)
+        for lo, hi in (("1900-01-01", "1995-01-01"), ("1995-01-01", "1997-01-01"), ("1997-01-01", "2100-01-01")):
+            b.filter((F.col("d") >= lo) & (F.col("d") < hi)).write.mode("append").parquet(path)
+    return _written(spark, sf_dir, "bar_stream", build)
+
+
+def payment_stream_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Payment JSON events as a file stream in three time slices; every
+    slice after the first also redelivers some events of the slice before
+    (event id divisible by 17), and a last file redelivers the tail."""
+    def build(path):
+        ev = payment_json(spark, sf_dir)
+        t = F.col("ts")
+        cuts = ["1900-01-01", "2024-01-11", "2024-01-21", "2100-01-01"]
+        slices = [ev.filter((t >= cuts[i]) & (t < cuts[i + 1])) for i in range(3)]
+        for i, sl in enumerate(slices):
+            out = sl if i == 0 else sl.unionByName(slices[i - 1].filter(F.col("event_id") % 17 == 0))
+            out.write.mode("append").parquet(path)
+        slices[2].filter(F.col("event_id") % 17 == 0).write.mode("append").parquet(path)
+    return _written(spark, sf_dir, "payment_stream", build)
