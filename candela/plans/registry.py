@@ -28,4 +28,4 @@ def load_all() -> None:
     """Import every family module so all keys are registered."""
     from candela.plans import (  # noqa: F401
         q_sources, q_features, q_snapshot, q_backtest, q_correlation, q_forecast,
-        q_alerts, q_ledger, q_wallet, q_scoring, q_reports, q_text, q_streaming)
+        q_alerts, q_ledger, q_wallet, q_scoring, q_reports, q_text, q_streaming, q_analyst)
