@@ -29,7 +29,7 @@ FM_COLS = ind.FEATURE_COLS + ["target_lr", "open", "high", "low", "close", "volu
     with_ctes(trimmed_ctes(), f"SELECT symbol, d, {', '.join(FM_COLS)} FROM ft"),
     ["symbol", "d", *FM_COLS], FM_COLS))
 def feature_matrix(spark, sf_dir):
-    return rounded(ind.feature_matrix(tables.bars(spark, sf_dir), trim="ref"))
+    return rounded(tables.processed(spark, sf_dir))
 
 
 SEL_GROUPS = ["RSI", "MACD", "Volume", "Nope"]
@@ -40,14 +40,13 @@ SEL_COLS = ind.select_group_cols(SEL_GROUPS)
     with_ctes(trimmed_ctes(), f"SELECT symbol, d, {', '.join(SEL_COLS)}, target_lr, close FROM ft"),
     ["symbol", "d", *SEL_COLS, "target_lr", "close"], SEL_COLS + ["target_lr", "close"]))
 def feature_select(spark, sf_dir):
-    feat = ind.feature_matrix(tables.bars(spark, sf_dir), trim="ref")
-    return rounded(ind.feature_select(feat, SEL_GROUPS))
+    return rounded(ind.feature_select(tables.processed(spark, sf_dir), SEL_GROUPS))
 
 
 @register("trim_features", with_ctes(trimmed_ctes(), "SELECT symbol, count(*) AS n_rows, min(d) AS first_d, max(d) AS last_d FROM ft GROUP BY symbol"))
 def trim_features(spark, sf_dir):
     from pyspark.sql import functions as F
-    feat = ind.feature_matrix(tables.bars(spark, sf_dir), trim="ref")
+    feat = tables.processed(spark, sf_dir)
     return feat.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("d").alias("first_d"),
                                       F.max("d").alias("last_d"))
 
