@@ -37,13 +37,6 @@ def log_return_tail(series: DataFrame, symbols: list[str], days: int = 90,
             .select("symbol", (F.col("n") - 1 - F.col("pos")).alias("k"), "d", "lr"))
 
 
-def _aligned(rets: DataFrame, align: str = "position") -> tuple[DataFrame, str]:
-    if align == "date":
-        return rets, "d"
-    min_len = rets.groupBy("symbol").count().select(F.min("count")).scalar()
-    return rets.filter(F.col("k") < min_len), "k"
-
-
 def correlation_matrix(rets: DataFrame, symbols: list[str], align: str = "position") -> DataFrame:
     """Long (a, b, r) Pearson matrix over the valid symbols, r to 4 dp.
 
@@ -51,16 +44,23 @@ def correlation_matrix(rets: DataFrame, symbols: list[str], align: str = "positi
     position from the end (the reference); align='date' pairs by date.
     """
     syms = list(dict.fromkeys(symbols))[:MAX_SYMBOLS]
-    data, key = _aligned(rets, align)
-    wide = data.groupBy(key).pivot("symbol", syms).agg(F.first("lr"))
+    key = "d" if align == "date" else "k"
+    wide = rets.groupBy(key).pivot("symbol", syms).agg(F.first("lr"))
+    if align != "date":
+        # trim to the shortest series inside the pivot (at most days rows):
+        # keep the positions where every symbol that has returns has a value
+        present = sum((F.col(f"`{s}`").isNotNull().cast("int") for s in syms[1:]),
+                      F.col(f"`{syms[0]}`").isNotNull().cast("int"))
+        wide = (wide.withColumn("_present", present)
+                .withColumn("_valid", F.max("_present").over(Window.partitionBy(F.lit(0))))
+                .filter(F.col("_present") == F.col("_valid")))
     pairs = [(a, b) for a in syms for b in syms]
     stats = wide.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    valid = rets.select("symbol").distinct()
+    # a symbol without returns has an all-null column, so its pairs have a
+    # null r and drop out without another pass over the returns
     longf = stats.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r"))
-        for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
-    longf = (longf.join(valid.withColumnRenamed("symbol", "a"), "a", "left_semi")
-             .join(valid.withColumnRenamed("symbol", "b"), "b", "left_semi"))
+        for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*").filter(F.col("r").isNotNull())
     order = F.array_position(F.array(*[F.lit(s) for s in syms]), F.col("a"))
     order_b = F.array_position(F.array(*[F.lit(s) for s in syms]), F.col("b"))
     return longf.select("a", "b", F.round(F.col("r"), 4).alias("r"),
