@@ -56,11 +56,18 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     day, tiny next to lineitem) are persisted so every branch of a plan that
     uses them (positions, row-count checks, joins) reads the same copy.
     """
+    return _session_cached(_BARS_CACHE, spark, sf_dir, lambda: bars_from_trades(
+        lineitem_trades(spark, sf_dir), order_cols=TRADE_ORDER, unit="day"))
+
+
+def _session_cached(cache: dict, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """Persist ``build()`` once per (live session, sf_dir); a new session,
+    even one that reuses an old object id, gets its own copy."""
     key = (id(spark), sf_dir)
-    if key not in _BARS_CACHE:
-        b = bars_from_trades(lineitem_trades(spark, sf_dir), order_cols=TRADE_ORDER, unit="day")
-        _BARS_CACHE[key] = b.persist(StorageLevel.MEMORY_AND_DISK)
-    return _BARS_CACHE[key]
+    hit = cache.get(key)
+    if hit is None or hit[0] is not spark:
+        cache[key] = (spark, build().persist(StorageLevel.MEMORY_AND_DISK))
+    return cache[key][1]
 
 
 def hourly_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +198,8 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     forecast queries all read it, as the reference reads its feature frame.
     """
     from candela.operators.indicators import feature_matrix
-    key = (id(spark), sf_dir)
-    if key not in _PROCESSED_CACHE:
-        _PROCESSED_CACHE[key] = feature_matrix(bars(spark, sf_dir), trim="ref").persist(
-            StorageLevel.MEMORY_AND_DISK)
-    return _PROCESSED_CACHE[key]
+    return _session_cached(_PROCESSED_CACHE, spark, sf_dir,
+                           lambda: feature_matrix(bars(spark, sf_dir), trim="ref"))
 
 
 def parse_price(s: F.Column) -> F.Column:
@@ -310,12 +314,13 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     """Write a fixture table once per session into the shared folder."""
     from candela.session import shared_path
     key = (id(spark), sf_dir, name)
-    if key not in _WRITTEN:
+    hit = _WRITTEN.get(key)
+    if hit is None or hit[0] is not spark:
         tag = abs(hash(sf_dir)) % 10 ** 8
         path = shared_path(spark, f"{name}_{tag}")
         build(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+        _WRITTEN[key] = (spark, path)
+    return _WRITTEN[key][1]
 
 
 def stored_bars_path(spark: SparkSession, sf_dir: str) -> str:
