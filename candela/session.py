@@ -42,6 +42,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -65,3 +66,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written tables."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+
+
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``candela`` importable in the Python workers (pandas UDF folds,
+    roll-forward, model solves): zip the package into the shared folder once
+    per session and register it with ``addPyFile`` (executors fetch it)."""
+    import os
+    import zipfile
+    if _SHIPPED.get(id(spark)) is spark:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = shared_path(spark, "pkg")
+    os.makedirs(path, exist_ok=True)
+    zpath = os.path.join(path, f"candela_{os.getpid()}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    try:
+        spark.sparkContext.addPyFile(zpath)
+    except Exception:  # noqa: BLE001 - e.g. a session without a SparkContext handle
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED[id(spark)] = spark

@@ -12,7 +12,7 @@ SF0001 = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
-    from candela.session import BASE_CONF, checkpoint_dir
+    from candela.session import BASE_CONF, checkpoint_dir, ship_package
     b = (SparkSession.builder.master("local[4]").appName("candela-tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g"))
     for k, v in BASE_CONF.items():
@@ -20,6 +20,7 @@ def spark():
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
