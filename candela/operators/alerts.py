@@ -70,7 +70,7 @@ def alert_list(alerts: DataFrame) -> DataFrame:
     counts = alerts.groupBy("user_id").agg(F.count_if(F.col("status") == "active").alias("active_count"),
                                            F.count(F.lit(1)).alias("total_count"))
     w = Window.partitionBy("user_id").orderBy(F.col("id").desc())
-    return (alerts.withColumn("rank", F.row_number().over(w)).join(counts, "user_id")
+    return (alerts.withColumn("rank", F.row_number().over(w).cast("long")).join(counts, "user_id")
             .select("user_id", "rank", "id", "symbol", "target_price", "direction",
                     F.coalesce(F.col("note"), F.lit("")).alias("note"), "status", "active_count", "total_count"))
 

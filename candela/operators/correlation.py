@@ -64,7 +64,7 @@ def correlation_matrix(rets: DataFrame, symbols: list[str], align: str = "positi
     order = F.array_position(F.array(*[F.lit(s) for s in syms]), F.col("a"))
     order_b = F.array_position(F.array(*[F.lit(s) for s in syms]), F.col("b"))
     return longf.select("a", "b", F.round(F.col("r"), 4).alias("r"),
-                        order.alias("ia"), order_b.alias("ib"))
+                        order.cast("int").alias("ia"), order_b.cast("int").alias("ib"))
 
 
 def correlation_pairs(matrix: DataFrame, k: int = 3) -> DataFrame:
@@ -75,8 +75,8 @@ def correlation_pairs(matrix: DataFrame, k: int = 3) -> DataFrame:
     w_neg = Window.orderBy(F.col("r").asc(), F.col("ia").desc(), F.col("ib").desc())
     # both windows are global but run over the pair table, whose size is
     # bounded by the 20-symbol cap (190 rows)
-    top = p.withColumn("rank", F.row_number().over(w_pos)).filter(F.col("rank") <= k) \
+    top = p.withColumn("rank", F.row_number().over(w_pos).cast("long")).filter(F.col("rank") <= k) \
         .withColumn("kind", F.lit("top_pos"))
-    neg = p.withColumn("rank", F.row_number().over(w_neg)).filter(F.col("rank") <= k) \
+    neg = p.withColumn("rank", F.row_number().over(w_neg).cast("long")).filter(F.col("rank") <= k) \
         .withColumn("kind", F.lit("top_neg"))
     return top.unionByName(neg).select("kind", "rank", "a", "b", "r")

@@ -150,7 +150,7 @@ def trade_history(ledger: DataFrame, k: int = 50) -> DataFrame:
     """Last k executed trades per user, newest first (grouped top-k)."""
     t = ledger.filter(F.col("status") == "executed")
     w = Window.partitionBy("user_id").orderBy(F.col("executed_at").desc(), F.col("order_id").desc())
-    return (t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (t.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
             .select("user_id", "rank", "order_id", "symbol", "action", "quantity", "price", "total",
                     F.date_format("executed_at", "yyyy-MM-dd HH:mm").alias("executed_at")))
 

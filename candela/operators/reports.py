@@ -49,10 +49,10 @@ def user_history(transactions: DataFrame, predictions: DataFrame, n_tx: int = 50
     top-k: each user is cut to k rows before the shuffle)."""
     wt = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("id").desc())
     wp = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    tx = (transactions.withColumn("rank", F.row_number().over(wt)).filter(F.col("rank") <= n_tx)
+    tx = (transactions.withColumn("rank", F.row_number().over(wt).cast("long")).filter(F.col("rank") <= n_tx)
           .select(F.lit("transaction").alias("kind"), "user_id", "rank", "id", F.col("date").alias("ts"),
                   F.col("amount_paid").alias("amount"), F.col("tokens_added").cast("string").alias("detail")))
-    pr = (predictions.withColumn("rank", F.row_number().over(wp)).filter(F.col("rank") <= n_pred)
+    pr = (predictions.withColumn("rank", F.row_number().over(wp).cast("long")).filter(F.col("rank") <= n_pred)
           .select(F.lit("prediction").alias("kind"), "user_id", "rank", "id", F.col("created_at").alias("ts"),
                   F.lit(None).cast("double").alias("amount"), F.col("predicted_result").alias("detail")))
     return tx.unionByName(pr)

@@ -177,4 +177,4 @@ def active_keys(key_requests: DataFrame, cap: int = MAX_KEYS_PER_USER) -> DataFr
     w = Window.partitionBy("user_id").orderBy("created_at", "key_id")
     acc = key_requests.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= cap)
     w2 = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("key_id").desc())
-    return acc.withColumn("rank", F.row_number().over(w2)).select("user_id", "rank", "key_id", "created_at")
+    return acc.withColumn("rank", F.row_number().over(w2).cast("long")).select("user_id", "rank", "key_id", "created_at")
