@@ -70,14 +70,18 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
 # --------------------------------------------------------------------------
 
 def with_position(df: DataFrame, order: list[str] | None = None, key: str = KEY,
-                  time_col: str = "d", bucket_days: int = BUCKET_DAYS) -> DataFrame:
+                  time_col: str = "d", bucket_days: int = BUCKET_DAYS,
+                  bucket: Column | None = None) -> DataFrame:
     """Add ``pos`` (0-based row number per key in ``order``) and ``n``.
 
     ``order`` must be unique within a key; its first column is ``time_col``
-    (a DATE or TIMESTAMP) which defines the counting buckets.
+    (a DATE or TIMESTAMP) which defines the counting buckets. ``bucket`` may
+    instead be any column that is non-decreasing in ``order`` (for example
+    an id range).
     """
     order = order or [time_col]
-    bucket = F.floor(F.unix_date(F.to_date(F.col(time_col))) / F.lit(bucket_days))
+    if bucket is None:
+        bucket = F.floor(F.unix_date(F.to_date(F.col(time_col))) / F.lit(bucket_days))
     tagged = df.withColumn("_bkt", bucket)
     counts = tagged.groupBy(key, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(key).orderBy("_bkt")

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalar import rnd
+from candela.functions.windows import with_position
 from candela.operators.snapshot import tail_rows
 
 MAX_ALERTS_PER_USER = 20
 MAX_NOTE = 200
+ID_BUCKET = 1 << 20
 
 
 def latest_close(series: DataFrame) -> DataFrame:
@@ -67,12 +69,15 @@ def alert_notifications(checked: DataFrame, users: DataFrame, as_of) -> DataFram
 def alert_list(alerts: DataFrame) -> DataFrame:
     """Alerts per user, newest first (rank 1 = newest by id), with the user's
     active and total counts."""
-    counts = alerts.groupBy("user_id").agg(F.count_if(F.col("status") == "active").alias("active_count"),
-                                           F.count(F.lit(1)).alias("total_count"))
-    w = Window.partitionBy("user_id").orderBy(F.col("id").desc())
-    return (alerts.withColumn("rank", F.row_number().over(w).cast("long")).join(counts, "user_id")
+    counts = alerts.groupBy("user_id").agg(F.count_if(F.col("status") == "active").alias("active_count"))
+    # rank = n - pos over ids; positions are numbered per (user, id range),
+    # so a user with very many alerts is not one task
+    ranked = with_position(alerts, order=["id"], key="user_id", time_col="id",
+                           bucket=F.floor(F.col("id") / ID_BUCKET))
+    return (ranked.withColumn("rank", (F.col("n") - F.col("pos")).cast("long")).join(counts, "user_id")
             .select("user_id", "rank", "id", "symbol", "target_price", "direction",
-                    F.coalesce(F.col("note"), F.lit("")).alias("note"), "status", "active_count", "total_count"))
+                    F.coalesce(F.col("note"), F.lit("")).alias("note"), "status", "active_count",
+                    F.col("n").alias("total_count")))
 
 
 def alert_validation(requests: DataFrame, alerts: DataFrame, universe: list[str]) -> DataFrame:

@@ -86,3 +86,18 @@ def test_asof_daily_matches_merge_asof(spark):
         exp = pd.merge_asof(left.assign(t=pd.to_datetime(left.d)).sort_values("t"),
                             bars.assign(t=pd.to_datetime(bars.d))[["t", "close"]], on="t", direction=direction)
         assert got["close"].fillna(-1).tolist() == exp.sort_values("k")["close"].fillna(-1).tolist()
+
+
+def test_general_asof_matches_merge_asof(spark):
+    rng = np.random.default_rng(9)
+    right = pd.DataFrame({"symbol": "A", "t": pd.to_datetime("2024-01-01") + pd.to_timedelta(
+        np.sort(rng.choice(10_000, 60, replace=False)), "min"), "px": rng.uniform(1, 2, 60)})
+    left = pd.DataFrame({"symbol": "A", "k": range(40), "t": pd.to_datetime("2024-01-01") + pd.to_timedelta(
+        np.sort(rng.choice(10_000, 40, replace=False)), "min")})
+    r = spark.createDataFrame(right).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    lf = spark.createDataFrame(left).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    for direction in ("backward", "forward"):
+        got = W.asof_join(lf, r.withColumnRenamed("t", "rt"), "symbol", "t", "rt", ["px"], direction=direction,
+                          left_order=["k"]).toPandas().sort_values("k")
+        exp = pd.merge_asof(left, right, on="t", by="symbol", direction=direction).sort_values("k")
+        assert np.allclose(got["px"].fillna(-1).to_numpy(), exp["px"].fillna(-1).to_numpy())
