@@ -8,7 +8,7 @@ from candela.operators import forecast as fc
 from candela.operators.indicators import select_group_cols
 from candela.plans.common import TIE_SHIFT, rounded, sql_round
 from candela.plans.registry import register
-from candela.plans.sql_parts import trimmed_ctes, with_ctes
+from candela.plans.sql_parts import prefixed_feature_ctes, trimmed_ctes, with_ctes
 from candela.sources import tables
 
 GROUPS = fc.LINEAR_GROUPS
@@ -97,7 +97,13 @@ def forecast_rolling(spark, sf_dir):
     return _future(spark, sf_dir)
 
 
-@register("forecast_step_features")
+_STEP = trimmed_ctes() + prefixed_feature_ctes(
+    f"""SELECT symbol, d, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol
+        ORDER BY d DESC) AS kk FROM ft) WHERE kk <= {fc.HISTORY}""", "w80_")
+
+
+@register("forecast_step_features", with_ctes(_STEP, f"""SELECT symbol, d, {', '.join(sql_round(c) + ' AS ' + c for c in COLS)}
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS kk FROM w80_feat) WHERE kk = 1"""))
 def forecast_step_features(spark, sf_dir):
     """Step features of the newest bar from each symbol's last 80 bars."""
     from candela.operators.snapshot import tail_rows
@@ -113,7 +119,7 @@ def forecast_step_features(spark, sf_dir):
         return pd.concat([pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [pdf["d"].iloc[-1]]}), last], axis=1)
 
     schema = "symbol string, d date, " + ", ".join(f"{c} double" for c in COLS)
-    return t.groupBy("symbol").applyInPandas(newest, schema=schema)
+    return rounded(t.groupBy("symbol").applyInPandas(newest, schema=schema))
 
 
 @register("forecast_series")

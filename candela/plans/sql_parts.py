@@ -209,3 +209,18 @@ def trimmed_ctes(min_rows: int = 120, min_left: int = 60) -> list[tuple[str, str
     ctes.append(("ft0", f"SELECT * FROM feat WHERE {notnull}"))
     ctes.append(("ft", f"SELECT * FROM ft0 WHERE symbol IN (SELECT symbol FROM ft0 GROUP BY symbol HAVING count(*) >= {min_left})"))
     return ctes
+
+
+def prefixed_feature_ctes(bars_source: str, prefix: str) -> list[tuple[str, str]]:
+    """``feature_ctes`` with every CTE renamed ``<prefix><name>`` so the
+    feature SQL can run a second time in one query (e.g. on a short window)."""
+    import re
+    names = ["bars", "s0", "ewm", "f1", "f2", "f3", "f4", "feat"]
+    pat = re.compile(r"\b(" + "|".join(names) + r")\b")
+    out = []
+    for name, body in feature_ctes(bars_source):
+        if name == "bars":
+            out.append((prefix + name, body))
+            continue
+        out.append((prefix + name, pat.sub(lambda m: prefix + m.group(1), body)))
+    return out
