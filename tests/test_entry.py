@@ -47,3 +47,34 @@ def test_payment_stream_drops_redeliveries(spark, sf):
     out = jobs.payment_stream(spark, tables.payment_stream_dir(spark, sf), wl.price_plans(spark),
                               tables.PAYMENT_EVENT_SCHEMA)
     assert out.count() == out.select("event_id").distinct().count() > 0
+
+
+def test_stream_bars_and_rate_windows_equal_batch(spark, sf):
+    """Append-mode windows closed by the watermark equal the batch windows."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from candela.operators import wallet as wl
+    from candela.session import shared_path
+    from candela.sources import tables
+    from candela.streaming import jobs
+    ev = tables.table(spark, sf, "events")
+    src = shared_path(spark, f"test_events_{uuid.uuid4().hex[:8]}")
+    for lo, hi in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
+        ev.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(src)
+    trades = stream.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("px"),
+                           F.lit(1.0).alias("size"), "event_id")
+    got = spark.read.parquet(jobs.run_available(jobs.stream_bars(trades), "test_bars"))
+    batch = tables.hourly_event_bars(spark, sf)
+    closed = batch.filter(F.col("d") < ev.select(F.max("ts") - F.expr("INTERVAL 3 HOURS")).scalar())
+    a = sorted(tuple(r) for r in got.select(F.col("symbol"), F.col("d").cast("timestamp_ntz"), "open", "close",
+                                            "volume").collect())
+    b = sorted(tuple(r) for r in closed.select("symbol", "d", "open", "close", "volume").collect())
+    assert len(b) > 0 and set(b) <= set(a)
+    req = stream.filter(F.col("event_type").isin("click", "view")).select(F.col("user_id").alias("key_id"), "ts")
+    rw = spark.read.parquet(jobs.run_available(jobs.stream_rate_windows(req, "1 hour", 60), "test_rw"))
+    bw = wl.rate_limit_windows(tables.api_requests(spark, sf)).filter(F.col("window") == "hour")
+    sw = {(r.key_id, r.requests) for r in rw.collect()}
+    assert sw and sw <= {(r.key_id, r.requests) for r in bw.collect()}
