@@ -18,12 +18,3 @@ def rnd(x: Column, d: int) -> Column:
 
 def sql_rnd(expr: str, d: int) -> str:
     return f"round(({expr}) + {ROUND_NUDGE}, {d})"
-
-
-def num_str(x: Column) -> Column:
-    """Short decimal text of a double, like Python's str() for plain ranges."""
-    return x.cast("string")
-
-
-def pct_change(cur: Column, base: Column) -> Column:
-    return (cur - base) / F.when(base != 0, base) * 100
