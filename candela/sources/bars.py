@@ -39,8 +39,10 @@ def bars_scan(spark: SparkSession, path: str, start: str = "2018-01-01") -> Data
 
 
 def bars_sink(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write bars partitioned by symbol (parquet or json)."""
-    (bars.repartition("symbol").write.mode("overwrite").partitionBy("symbol")
+    """Write bars partitioned by symbol (parquet or json). Rows are grouped
+    by (symbol, year) first: few files per symbol folder, and no symbol's
+    whole history goes through one write task."""
+    (bars.repartition("symbol", F.year("d")).write.mode("overwrite").partitionBy("symbol")
      .format(fmt).save(path))
 
 
