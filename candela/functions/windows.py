@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 PART_ROWS = 1 << 20
 HALO_ROWS = 4096
 TAIL_ROWS = 8          # rows copied after a block, for lead() up to 8
-BUCKET_DAYS = 366      # time bucket used to number rows without a hot task
+BUCKET_DAYS = 1        # time bucket used to number rows: one key-day is the largest task unit
 
 KEY = "symbol"
 POS = "pos"
@@ -341,7 +341,7 @@ def asof_join_daily(left: DataFrame, right: DataFrame, left_day: str, value_cols
 
 
 def prefix_sum_min(df: DataFrame, key: str, order: list[str], x: str, init: float = 0.0,
-                   time_col: str | None = None, bucket_days: int = 31) -> DataFrame:
+                   time_col: str | None = None, bucket_days: int = 1) -> DataFrame:
     """Running sum S_t = init + sum(x up to t) and the running minimum of S
     (over rows 1..t: ``_min_incl``; over rows 1..t-1: ``_min_excl``) per key.
 
