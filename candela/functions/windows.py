@@ -8,18 +8,18 @@ hot spot when one symbol holds a large share of the rows. ``with_position``
 and ``series_blocks`` avoid that:
 
 * ``with_position`` numbers rows per symbol (``pos``, 0-based) and adds the
-  series length ``n``. Counting is done per (symbol, time bucket) with a
-  partial aggregate; offsets come from a small per-bucket table, and the
-  row numbers are taken inside (symbol, bucket) partitions. No task ever sees
-  a whole symbol.
+  series length ``n``. Counting is done per (symbol, day) with a partial
+  aggregate; offsets come from that small per-day table, and the row
+  numbers are taken inside (symbol, day) partitions. No task ever sees a
+  whole symbol; one symbol-day is the largest unit.
 * ``series_blocks`` cuts every series into blocks of ``part_rows`` rows
   (``_part``) and copies the ``halo`` rows before each block (and a few rows
   after it) into that block, so every look-back frame of up to ``halo`` rows
   is complete inside one partition. ``own_rows`` drops the copies again.
 
 All rolling operators then use ``series_window()`` =
-``partitionBy(symbol, _part).orderBy(pos)``, one exchange reused by all of
-them.
+``partitionBy(symbol, _part).orderBy(_eblk, pos)``, one exchange reused by
+all of them (``_eblk`` is the EWM block, monotone in ``pos``).
 """
 
 from __future__ import annotations
