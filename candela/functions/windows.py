@@ -184,12 +184,38 @@ def _ewm_r(span: float) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def _block_window(key: str = KEY) -> Window:
-    return (Window.partitionBy(key, PART, EBLK).orderBy(EBLK, POS)
-            .rowsBetween(Window.unboundedPreceding, 0))
+def _win(key: str = KEY, frame: str = "", extra_part: str = "") -> str:
+    """SQL text of the shared series window (optionally with a row frame)."""
+    return (f"OVER (PARTITION BY {key}, {PART}{extra_part} ORDER BY {EBLK}, {POS}"
+            + (f" {frame})" if frame else ")"))
 
 
-def ewm_sums(specs: dict[str, tuple[Column, float]], key: str = KEY) -> dict[str, Column]:
+def _d(x: float) -> str:
+    """A double literal in Spark SQL (plain decimals would be DECIMAL)."""
+    return f"{float(x)!r}D"
+
+
+def full_sql(n: int, e: str, agg: str, first_valid: int | None = None, key: str = KEY) -> str:
+    """SQL text of ``full`` (pandas rolling(n)): used where a whole layer of
+    expressions is handed to ``selectExpr`` in one call."""
+    w = _win(key, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+    if first_valid is not None:
+        return f"CASE WHEN {POS} >= {first_valid + n - 1} THEN {agg}({e}) {w} END"
+    return f"CASE WHEN count({e}) {w} = {n} THEN {agg}({e}) {w} END"
+
+
+def lag_sql(e: str, k: int = 1, key: str = KEY) -> str:
+    return f"lag({e}, {k}) {_win(key)}"
+
+
+def lead_sql(e: str, k: int = 1, key: str = KEY) -> str:
+    return f"lead({e}, {k}) {_win(key)}"
+
+
+_OFF = f"CAST({POS} % {EWM_BLOCK} AS DOUBLE)"
+
+
+def ewm_sums(specs: dict[str, tuple[str, float]], key: str = KEY) -> dict[str, str]:
     """Step 1 of the EWM: running sums inside EWM blocks (``<name>__run``).
 
     y0 = x0, y_t = a*x_t + (1-a)*y_{t-1}, a = 2/(span+1), r = 1-a. The series
@@ -198,36 +224,39 @@ def ewm_sums(specs: dict[str, tuple[Column, float]], key: str = KEY) -> dict[str
     y_t = r^(t-b0) * (sum_{b0<=i<=t} w_i x_i r^-(i-b0) + r * y_{b0-1})
     with w_0 = 1 at the series start and w_i = a otherwise; y_{b0-1} is
     carried from the previous block's last row (steps 3-4). Older history
-    weighs r^B < e^-40 and is dropped. Inputs must be non-null from the
-    series start. All JVM-side window sums, no UDF.
+    weighs r^B < e^-40 and is dropped. Inputs (SQL text) must be non-null
+    from the series start. All JVM-side window sums, no UDF.
     """
     out = {}
-    off = (F.col(POS) % EWM_BLOCK).cast("double")
+    frame = _win(key, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", extra_part=f", {EBLK}")
     for name, (x, span) in specs.items():
         if ewm_block_rows(span) != EWM_BLOCK:
             raise ValueError(f"span {span} needs its own block length; use ewm_columns")
-        a = 2.0 / (span + 1.0)
-        wt = F.when(F.col(POS) == 0, F.lit(1.0)).otherwise(F.lit(a))
-        out[f"{name}__run"] = F.sum(x * wt * F.pow(F.lit(_ewm_r(span)), -off)).over(_block_window(key))
+        a, r = 2.0 / (span + 1.0), _ewm_r(span)
+        out[f"{name}__run"] = (f"sum(({x}) * CASE WHEN {POS} = 0 THEN 1.0D ELSE {_d(a)} END "
+                               f"* power({_d(r)}, -{_OFF})) {frame}")
     return out
 
 
-def ewm_locals(names: list[str], spans: list[float]) -> dict[str, Column]:
-    off = (F.col(POS) % EWM_BLOCK).cast("double")
-    return {f"{n}__loc": F.col(f"{n}__run") * F.pow(F.lit(_ewm_r(s)), off) for n, s in zip(names, spans)}
+def ewm_locals(names: list[str], spans: list[float]) -> dict[str, str]:
+    return {f"{n}__loc": f"{n}__run * power({_d(_ewm_r(s))}, {_OFF})" for n, s in zip(names, spans)}
+
+
+def ewm_carries(names: list[str], key: str = KEY) -> dict[str, str]:
+    prev = _win(key, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    end = f"{POS} % {EWM_BLOCK} = {EWM_BLOCK - 1}"
+    return {f"{n}__carry": f"coalesce(last(CASE WHEN {end} THEN {n}__loc END, true) {prev}, 0.0D)"
+            for n in names}
 
 
-def ewm_carries(names: list[str], key: str = KEY) -> dict[str, Column]:
-    wprev = series_window(key).rowsBetween(Window.unboundedPreceding, -1)
-    is_end = (F.col(POS) % EWM_BLOCK) == (EWM_BLOCK - 1)
-    return {f"{n}__carry": F.coalesce(F.last(F.when(is_end, F.col(f"{n}__loc")), True).over(wprev),
-                                      F.lit(0.0)) for n in names}
+def ewm_finals(names: list[str], spans: list[float]) -> dict[str, str]:
+    return {n: f"{n}__loc + power({_d(_ewm_r(s))}, {_OFF} + 1) * {n}__carry" for n, s in zip(names, spans)}
 
 
-def ewm_finals(names: list[str], spans: list[float]) -> dict[str, Column]:
-    off = (F.col(POS) % EWM_BLOCK).cast("double")
-    return {n: F.col(f"{n}__loc") + F.pow(F.lit(_ewm_r(s)), off + 1) * F.col(f"{n}__carry")
-            for n, s in zip(names, spans)}
+def layer(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Add SQL-text columns in one ``selectExpr`` (one parse, one plan node
+    per window spec) - much cheaper to build than column-by-column calls."""
+    return df.selectExpr("*", *[f"{e} AS {k}" for k, e in cols.items()])
 
 
 def ewm_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = KEY) -> DataFrame:
@@ -236,13 +265,13 @@ def ewm_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = K
     Spans 4..50 use the shared block (ewm_sums ... ewm_finals); other spans
     get their own power-of-two block column (one extra sort).
     """
-    shared = {o: (F.col(src), s) for o, (src, s) in specs.items() if ewm_block_rows(s) == EWM_BLOCK}
+    shared = {o: (f"`{src}`", s) for o, (src, s) in specs.items() if ewm_block_rows(s) == EWM_BLOCK}
     if shared:
         names, spans = list(shared), [s for _, s in shared.values()]
-        df = df.select("*", *[e.alias(k) for k, e in ewm_sums(shared, key).items()])
-        df = df.select("*", *[e.alias(k) for k, e in ewm_locals(names, spans).items()])
-        df = df.select("*", *[e.alias(k) for k, e in ewm_carries(names, key).items()])
-        df = df.select("*", *[e.alias(k) for k, e in ewm_finals(names, spans).items()])
+        df = layer(df, ewm_sums(shared, key))
+        df = layer(df, ewm_locals(names, spans))
+        df = layer(df, ewm_carries(names, key))
+        df = layer(df, ewm_finals(names, spans))
         df = df.drop(*[f"{n}__{p}" for n in names for p in ("run", "loc", "carry")])
     for out, (src, span) in specs.items():
         if out in shared:
