@@ -8,10 +8,11 @@ hot spot when one symbol holds a large share of the rows. ``with_position``
 and ``series_blocks`` avoid that:
 
 * ``with_position`` numbers rows per symbol (``pos``, 0-based) and adds the
-  series length ``n``. Counting is done per (symbol, day) with a partial
-  aggregate; offsets come from that small per-day table, and the row
-  numbers are taken inside (symbol, day) partitions. No task ever sees a
-  whole symbol; one symbol-day is the largest unit.
+  series length ``n``. Counting is done per (symbol, time bucket) with a
+  partial aggregate; offsets come from that small per-bucket table, and the
+  row numbers are taken inside (symbol, bucket) partitions. No task ever
+  sees a whole symbol. The bucket should hold many but boundedly many rows:
+  a year for daily bars (the default), a day or an hour for intraday data.
 * ``series_blocks`` cuts every series into blocks of ``part_rows`` rows
   (``_part``) and copies the ``halo`` rows before each block (and a few rows
   after it) into that block, so every look-back frame of up to ``halo`` rows
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 PART_ROWS = 1 << 20
 HALO_ROWS = 4096
 TAIL_ROWS = 8          # rows copied after a block, for lead() up to 8
-BUCKET_DAYS = 1        # time bucket used to number rows: one key-day is the largest task unit
+BUCKET_DAYS = 366      # bucket for numbering daily rows (~252 bars); pass bucket_days or bucket for denser series
 
 KEY = "symbol"
 POS = "pos"
