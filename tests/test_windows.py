@@ -101,3 +101,15 @@ def test_general_asof_matches_merge_asof(spark):
                           left_order=["k"]).toPandas().sort_values("k")
         exp = pd.merge_asof(left, right, on="t", by="symbol", direction=direction).sort_values("k")
         assert np.allclose(got["px"].fillna(-1).to_numpy(), exp["px"].fillna(-1).to_numpy())
+
+
+def test_correlation_by_date_pairs_common_days(spark):
+    from candela.operators import correlation as cor
+    rows = [("A", k, pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), float(x))
+            for k, (i, x) in enumerate([(0, 0.01), (1, -0.02), (2, 0.03), (3, 0.01)])]
+    rows += [("B", k, pd.Timestamp("2024-01-01") + pd.Timedelta(days=i), float(x))
+             for k, (i, x) in enumerate([(1, -0.01), (2, 0.02), (3, 0.0), (4, 0.05)])]
+    rets = spark.createDataFrame([(s, k, t.date(), x) for s, k, t, x in rows], "symbol string, k long, d date, lr double")
+    m = {(r.a, r.b): r.r for r in cor.correlation_matrix(rets, ["A", "B"], align="date").collect()}
+    a, b = np.array([-0.02, 0.03, 0.01]), np.array([-0.01, 0.02, 0.0])
+    assert abs(m[("A", "B")] - round(float(np.corrcoef(a, b)[0, 1]), 4)) < 1e-9
