@@ -35,8 +35,14 @@ def _tset(spark, sf_dir):
     return fc.training_set(tables.processed(spark, sf_dir), GROUPS)
 
 
+_SCALED: dict = {}
+_MODEL: dict = {}
+
+
 def _scaled(spark, sf_dir):
-    return fc.robust_scale(_tset(spark, sf_dir), COLS)
+    """The scaled training set, persisted once per session: the hold-out,
+    the tree models, the roll-forward and the sequence windows share it."""
+    return tables._session_cached(_SCALED, spark, sf_dir, lambda: fc.robust_scale(_tset(spark, sf_dir), COLS))
 
 
 _R = ", ".join(f"{sql_round(c)} AS {c}" for c in COLS)
@@ -56,7 +62,7 @@ def robust_scale(spark, sf_dir):
 
 def _ridge(spark, sf_dir):
     sc = _scaled(spark, sf_dir)
-    return sc, fc.forecast_ridge(sc, COLS, 2.0)
+    return sc, tables._session_cached(_MODEL, spark, sf_dir, lambda: fc.forecast_ridge(sc, COLS, 2.0))
 
 
 @register("forecast_ridge")
