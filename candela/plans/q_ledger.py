@@ -143,9 +143,9 @@ def trade_history(spark, sf_dir):
 
 
 @register("portfolio_reset", with_ctes(_ledger_ctes(reset=True), """SELECT user_id, count(*) AS orders,
-  count(*) FILTER (WHERE status = 'executed') AS executed, round(arg_max(cash_after, executed_at || '' || order_id) + 0, 6) AS cash_dummy
-  FROM lrows GROUP BY user_id""".replace("round(arg_max(cash_after, executed_at || '' || order_id) + 0, 6) AS cash_dummy",
-                                          "round(arg_max(cash_after, (executed_at, order_id)) + 3.18309886e-8, 6) AS cash")))
+  count(*) FILTER (WHERE status = 'executed') AS executed,
+  round(arg_max(cash_after, (executed_at, order_id)) + 3.18309886e-8, 6) AS cash
+  FROM lrows GROUP BY user_id"""))
 def portfolio_reset(spark, sf_dir):
     led = _ledger(spark, sf_dir, reset=True)
     g = led.groupBy("user_id").agg(F.count(F.lit(1)).alias("orders"),
