@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from candela.functions.scalar import rnd
 from candela.operators.indicators import require_rows
-from candela.sources.bars import BAR_COLS
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 MIN_ROWS = 120
@@ -80,5 +79,3 @@ def refresh_report(spark: SparkSession, universe: list[str], bars: DataFrame, fi
               .when(F.col("_has"), "refreshed").otherwise("failed"))
     return j.select("symbol", "idx", status.alias("status"))
 
-
-__all__ = ["BAR_COLS"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from candela.operators import analyst as an
 from candela.operators.snapshot import tail_rows
 from candela.plans.common import rounded
-from candela.plans.q_snapshot import SER
 from candela.plans.registry import register
 from candela.plans.sql_parts import trimmed_ctes, with_ctes
 from candela.sources import tables
@@ -62,5 +61,3 @@ def ensemble_vote(spark, sf_dir):
     rules = an.rule_expert(_last_rows(spark, sf_dir)).select("symbol", "rule_signal")
     return rounded(an.ensemble_vote(rules.join(nb, "symbol", "left").join(lr, "symbol", "left")))
 
-
-__all__ = ["SER"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from candela.operators import indicators as ind
 from candela.plans.common import rounded, sql_rounded
 from candela.plans.registry import register
-from candela.plans.sql_parts import FEATURE_NAMES, feature_ctes, trimmed_ctes, with_ctes
+from candela.plans.sql_parts import feature_ctes, trimmed_ctes, with_ctes
 from candela.sources import tables
 
 
@@ -50,5 +50,3 @@ def trim_features(spark, sf_dir):
     return feat.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("d").alias("first_d"),
                                       F.max("d").alias("last_d"))
 
-
-__all__ = ["FEATURE_NAMES"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from candela.operators import scoring as sc
 from candela.plans.common import rounded, sql_round
 from candela.plans.q_snapshot import SER
@@ -45,5 +43,3 @@ def user_accuracy(spark, sf_dir):
     p = tables.predictions(spark, sf_dir).join(scored, "id", "left")
     return rounded(sc.user_accuracy(p, 100))
 
-
-__all__ = ["F"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from candela.functions.scalar import sql_rnd as R
 from candela.operators import snapshot as snp
 from candela.plans.common import rounded
@@ -299,5 +297,3 @@ def compare_assets(spark, sf_dir):
     pairs = spark.createDataFrame(COMPARE_PAIRS, "t1 string, t2 string")
     return rounded(snp.compare_assets(rec, pairs))
 
-
-__all__ = ["F"]
