@@ -316,8 +316,8 @@ def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     key = (id(spark), sf_dir, name)
     hit = _WRITTEN.get(key)
     if hit is None or hit[0] is not spark:
-        tag = abs(hash(sf_dir)) % 10 ** 8
-        path = shared_path(spark, f"{name}_{tag}")
+        import uuid
+        path = shared_path(spark, f"{name}_{uuid.uuid4().hex[:12]}")   # fresh folder per run
         build(path)
         _WRITTEN[key] = (spark, path)
     return _WRITTEN[key][1]
