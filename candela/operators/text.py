@@ -16,7 +16,7 @@ from candela.functions.scalar import rnd
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 ALPHA = 15.0
-MAP_LEXICON_MAX = 50_000
+MAP_LEXICON_MAX = 2_000   # beyond this a literal map bloats the plan; join instead
 
 
 def tokens(text: F.Column) -> F.Column:

@@ -102,3 +102,15 @@ def test_payment_rules(spark):
     assert set(out) == {"evt_1", "evt_3", "evt_5"}
     assert out["evt_1"].amount_paid == 5.99 and out["evt_3"].amount_paid == 15.0
     assert out["evt_5"].kind == "renewal" and out["evt_5"].amount_paid == 14.99
+
+
+def test_lexicon_map_and_join_paths_agree(spark, sf):
+    from candela.sources import tables
+    h, lex = tables.headlines(spark, sf), tables.lexicon(spark)
+    a = {r.doc_id: r.score for r in tx.headline_sentiment(h, lex).collect()}
+    saved, tx.MAP_LEXICON_MAX = tx.MAP_LEXICON_MAX, 0
+    try:
+        b = {r.doc_id: r.score for r in tx.headline_sentiment(h, lex).collect()}
+    finally:
+        tx.MAP_LEXICON_MAX = saved
+    assert a == b and len(a) > 0
