@@ -114,3 +114,15 @@ def test_lexicon_map_and_join_paths_agree(spark, sf):
     finally:
         tx.MAP_LEXICON_MAX = saved
     assert a == b and len(a) > 0
+
+
+def test_market_session_edges(spark):
+    from candela.operators import cleaning as cl
+    # UTC instants: Tue 2024-01-02 14:30 = 09:30 EST (open), 20:59 = 15:59 (open),
+    # 21:00 = 16:00 (closed); Sat 2024-01-06 15:00 (closed); Mon 2024-07-01 13:30 = 09:30 EDT (open)
+    rows = [("2024-01-02 14:30:00",), ("2024-01-02 20:59:00",), ("2024-01-02 21:00:00",),
+            ("2024-01-06 15:00:00",), ("2024-07-01 13:30:00",), ("2024-07-01 13:29:00",)]
+    df = spark.createDataFrame(rows, "ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    is_open, ttl = cl.market_session(F.col("ts"))
+    got = [(r.o, r.t) for r in df.select(is_open.alias("o"), ttl.alias("t")).collect()]
+    assert got == [(True, 3600), (True, 3600), (False, 21600), (False, 21600), (True, 3600), (False, 21600)]
