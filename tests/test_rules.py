@@ -126,3 +126,19 @@ def test_market_session_edges(spark):
     is_open, ttl = cl.market_session(F.col("ts"))
     got = [(r.o, r.t) for r in df.select(is_open.alias("o"), ttl.alias("t")).collect()]
     assert got == [(True, 3600), (True, 3600), (False, 21600), (False, 21600), (True, 3600), (False, 21600)]
+
+
+def test_source_priority_falls_back(spark):
+    import datetime as dt
+
+    from candela.sources.bars import source_priority
+
+    def feed(symbol, n, px):
+        return [(symbol, dt.date(2024, 1, 1) + dt.timedelta(days=i), px, px, px, px, 1.0) for i in range(n)]
+    schema = "symbol string, d date, open double, high double, low double, close double, volume double"
+    s0 = spark.createDataFrame(feed("A", 60, 1.0) + feed("B", 10, 1.0), schema)   # B too short here
+    s1 = spark.createDataFrame(feed("A", 80, 2.0) + feed("B", 70, 2.0), schema)
+    out = source_priority([s0, s1], 51).groupBy("symbol").agg(F.max("source_rank").alias("r"),
+                                                                 F.count("*").alias("n")).collect()
+    got = {r.symbol: (r.r, r.n) for r in out}
+    assert got == {"A": (0, 60), "B": (1, 70)}
