@@ -142,3 +142,21 @@ def test_source_priority_falls_back(spark):
                                                                  F.count("*").alias("n")).collect()
     got = {r.symbol: (r.r, r.n) for r in out}
     assert got == {"A": (0, 60), "B": (1, 70)}
+
+
+def test_clean_bars_rules(spark):
+    import datetime as dt
+
+    from candela.operators.cleaning import clean_bars
+    rows = []
+    for i in range(125):
+        d = dt.date(2024, 1, 1) + dt.timedelta(days=i)
+        rows.append(("A", d, "1", "2", "0.5", "1.5", "100", 1))
+        rows.append(("A", d, "1", "2", "0.5", "1.6", "n/a" if i == 3 else "200", 2))   # later arrival wins
+    rows += [("B", dt.date(2024, 1, 1) + dt.timedelta(days=i), "1", "1", "1", "1", "1", 1) for i in range(50)]
+    raw = spark.createDataFrame(rows, "Symbol string, D date, Open string, ` HIGH ` string, low string, "
+                                      "Close string, Volume string, Arrival int")
+    out = clean_bars(raw, "arrival", 120).collect()
+    assert {r.symbol for r in out} == {"A"}             # B has fewer than 120 rows
+    assert len(out) == 124                               # day 3's last arrival has no volume
+    assert all(r.close == 1.6 and r.volume == 200.0 for r in out)
