@@ -160,3 +160,20 @@ def test_clean_bars_rules(spark):
     assert {r.symbol for r in out} == {"A"}             # B has fewer than 120 rows
     assert len(out) == 124                               # day 3's last arrival has no volume
     assert all(r.close == 1.6 and r.volume == 200.0 for r in out)
+
+
+def test_refresh_and_freshness_reports(spark):
+    import datetime as dt
+
+    from candela.operators import cleaning as cl
+    bars = spark.createDataFrame([("A", dt.date(2024, 1, 2), 1.0, 1.0, 1.0, 1.0, 1.0)],
+                                 "symbol string, d date, open double, high double, low double, close double, volume double")
+    uni = ["A", "X"] + [f"Y{i}" for i in range(10)]
+    rep = {r.symbol: r.status for r in cl.refresh_report(spark, uni, bars, 10).collect()}
+    assert rep["A"] == "refreshed" and rep["X"] == "failed" and rep["Y9"] == "skipped" and rep["Y7"] == "failed"
+    loads = spark.createDataFrame([("A", dt.datetime(2024, 1, 2, 14, 0))], "symbol string, loaded_at timestamp_ntz")
+    # 15:20 UTC on a Tuesday is 10:20 in New York: market open, TTL one hour
+    fr = cl.freshness_report(loads, bars, dt.datetime(2024, 1, 2, 15, 20)).first()
+    assert fr.age_min == 80.0 and fr.fresh is False and fr.rows == 1 and fr.last_date == "2024-01-02"
+    fr2 = cl.freshness_report(loads, bars, dt.datetime(2024, 1, 2, 14, 50)).first()
+    assert fr2.age_min == 50.0 and fr2.fresh is True
