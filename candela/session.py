@@ -7,6 +7,7 @@ DataFrames. These helpers exist for tests, the bench and the driver entry.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,10 +51,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting points at shared storage and is only read here.
-    Only when it is unset (local tests) a scratch folder is created and set.
+    Only on a local master (tests, bench) an unset folder is created and set.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="candela-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     try:
@@ -73,16 +77,14 @@ _SHIPPED: dict = {}
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``candela`` importable in the Python workers (pandas UDF folds,
-    roll-forward, model solves): zip the package into the shared folder once
-    per session and register it with ``addPyFile`` (executors fetch it)."""
-    import os
+    roll-forward, model solves): zip the package into a temporary file of the
+    driver once per session; ``addPyFile`` serves it to the executors."""
     import zipfile
     if _SHIPPED.get(id(spark)) is spark:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = shared_path(spark, "pkg")
-    os.makedirs(path, exist_ok=True)
-    zpath = os.path.join(path, f"candela_{os.getpid()}.zip")
+    fd, zpath = tempfile.mkstemp(prefix="candela_", suffix=".zip")
+    os.close(fd)
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for base, _, files in os.walk(root):
             for f in files:
