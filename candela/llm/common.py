@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,15 +93,6 @@ def rolling(w: np.ndarray, k: int) -> np.ndarray:
         span, step = span * 2, step * step & MASK
 
 
-def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
-    """Minimum of every ``k`` consecutive values, by doubling."""
-    have = 1
-    while have * 2 <= k:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    return np.minimum(x[:len(x) - (k - have)], x[k - have:]) if k > have else x
-
-
 def key_bits(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     """Fixed-size bit set (2^bits bits) of the 64-bit keys of ``column``, by their top bits.
 
@@ -122,12 +114,12 @@ def in_bits(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds about ``max_bytes`` in each slice."""
+def slices(batches: Iterable[pa.RecordBatch], max_bytes: int,
+           text: Callable[[pa.RecordBatch], pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the texts of each slice hold about ``max_bytes``."""
     for b in batches:
-        sizes = np.array([0 if v is None else v for v in
-                          pa.compute.binary_length(b.column(b.schema.get_field_index(column))).to_pylist()], np.int64)
+        sizes = pc.fill_null(pc.binary_length(text(b)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = (np.cumsum(sizes) - sizes) // max_bytes
-        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []
         for lo, hi in zip(edges, [*edges[1:], len(sizes)]):
             yield b.slice(lo, hi - lo)

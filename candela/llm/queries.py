@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import simhash
+from candela.llm import simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substring.remove_repeats(docs, window=35)
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed",
+                       F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, unnest(range(1, len(w) - 33)) AS s, w FROM d WHERE len(w) >= 35),
+txt AS (SELECT r, s, array_to_string(w[s:s + 34], ' ') AS t FROM win),
+rep AS (SELECT r, s FROM txt WHERE t IN (SELECT t FROM txt GROUP BY t HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM rep),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n
+         FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
