@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import simhash, substring
+from candela.llm import bpe, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
        sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+
+@_query
+def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.decode_ids(bpe.encode_documents(docs, path).select(F.col("row.doc_id").alias("doc_id"), "ids"), path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens",
+                       (F.col("n_tokens") > 1024).alias("over_limit"))
