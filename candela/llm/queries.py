@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, simhash, substring
+from candela.llm import bpe, langid, mixing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_tokens",
                        (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit_on_fold(docs.select("doc_id", "text", "lang"))
+    found = langid.predict(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    done = mixing.mix(docs)
+    return done.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
+                       (F.col("copies") * F.col("size")).cast("long").alias("taken"))
