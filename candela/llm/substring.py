@@ -296,7 +296,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
-    """``docs`` without the words of repeated windows; a text that loses nothing stays as it is."""
-    done = remove_repeats(docs, id_col, text_col, window)
+    """``docs`` without the words of repeated windows; a text that loses nothing stays as it is.
+
+    A document whose every word is removed goes.
+    """
+    done = remove_repeats(docs, id_col, text_col, window).filter("n_removed = 0 or n_removed < n_words")
     return done.select(*[F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row")[c]).alias(c)
                          if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
