@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, langid, mixing, simhash, substring
+from candela.llm import bpe, langid, mixing, quality, simhash, substring
+from candela.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,17 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mixing.mix(docs)
     return done.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
                        (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = cut(quality.measures(docs).withColumn("doc_id", F.col("row.doc_id")), "quality")
+    # A document with contradicting labels counts as unlabelled.
+    labels = (_table(spark, sf_dir, "labels").filter("quality is not null").groupBy("doc_id")
+              .agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi")
+              .select("doc_id", (F.col("lo") == 1).alias("good")))
+    stratum = F.coalesce(F.col("row.lang"), F.lit(""))
+    cutoffs = quality.thresholds(measured, measured.join(labels, "doc_id"), stratum)
+    done = quality.judge(measured, cutoffs, stratum)
+    return done.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
