@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, langid, mixing, quality, simhash, substring
+from candela.llm import bpe, langid, licenses, mixing, quality, simhash, substring
 from candela.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = quality.thresholds(measured, measured.join(labels, "doc_id"), stratum)
     done = quality.judge(measured, cutoffs, stratum)
     return done.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
+
+
+@_query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
+                                      "score")
