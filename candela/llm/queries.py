@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm import bpe, langid, licenses, mixing, quality, simhash, substring, topk
+from candela.llm import bpe, chat, langid, licenses, mixing, quality, simhash, substring, topk
 from candela.llm.common import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,42 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+
+@_query
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = chat.format_pairs(chat.mismatched_pairs(_table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(F.col(c)["spans"], lambda s: F.concat_ws("-", s["start"], s["end"])), ";")
+    return done.select(F.col("pair_id").alias("conv_id"), "n_prefix", "prompt", F.col("chosen.text").alias("chosen"),
+                       spans("chosen").alias("chosen_mask"), F.col("rejected.text").alias("rejected"),
+                       spans("rejected").alias("rejected_mask"))
+
+
+ORACLES["op8_preference_format"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (SELECT t.conv_id, last, max(text) AS reply FROM t JOIN l USING (conv_id)
+      WHERE role = 'assistant' AND turn = last GROUP BY ALL),
+p AS (SELECT t.conv_id, t.turn, t.role, t.text AS c, CASE WHEN t.role = 'assistant' AND t.turn = r.last
+             THEN coalesce(o.reply, '') ELSE t.text END AS j
+      FROM t JOIN r USING (conv_id) LEFT JOIN r o ON o.conv_id = xor(t.conv_id, CAST(1 AS BIGINT))),
+s AS (SELECT conv_id, 'c' AS side, turn, role, c AS text FROM p UNION ALL SELECT conv_id, 'j', turn, role, j FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS i,
+             '<|' || replace(role, '<|', '<\|') || '|>' || chr(10) || replace(text, '<|', '<\|') || '<|end|>' || chr(10) AS x,
+             length(replace(role, '<|', '<\|')) + 5 AS h FROM s),
+d AS (SELECT a.conv_id, CAST(coalesce(min(a.i) FILTER (a.role <> b.role OR a.text <> b.text) - 1, count(*)) AS INTEGER) AS n_prefix
+      FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.i = b.i AND a.side = 'c' AND b.side = 'j' GROUP BY a.conv_id),
+e AS (SELECT n.*, n_prefix, i > n_prefix AS after,
+             sum(CASE WHEN i > n_prefix THEN length(x) ELSE 0 END) OVER (PARTITION BY conv_id, side ORDER BY i) AS stop
+      FROM n JOIN d USING (conv_id))
+SELECT conv_id, n_prefix,
+       coalesce(string_agg(x, '' ORDER BY i) FILTER (side = 'c' AND NOT after), '') AS prompt,
+       coalesce(string_agg(x, '' ORDER BY i) FILTER (side = 'c' AND after), '') AS chosen,
+       coalesce(string_agg((stop - length(x) + h)::BIGINT || '-' || stop::BIGINT, ';' ORDER BY i)
+                FILTER (side = 'c' AND after AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(x, '' ORDER BY i) FILTER (side = 'j' AND after), '') AS rejected,
+       coalesce(string_agg((stop - length(x) + h)::BIGINT || '-' || stop::BIGINT, ';' ORDER BY i)
+                FILTER (side = 'j' AND after AND role = 'assistant'), '') AS rejected_mask
+FROM e GROUP BY conv_id, n_prefix
+"""
