@@ -66,6 +66,50 @@ class WordHash(dict):
         return h
 
 
+_POWERS = [np.ones(1, U64), np.ones(1, U64)]
+_TABLE = np.random.default_rng(1).integers(0, 1 << 64, 256, U64)       # a random value per byte
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """MULT^i and MULT^-i mod 2^64 for i < n (at least), kept for the next call."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((MULT, pow(MULT, -1, 1 << 64))):
+            steps = np.full(n, U64(base))
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of anything but ASCII white space) of all texts, and words per text."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]
+    edges = edges - edges[0]
+    solid = ~_IS_SPACE[data]
+    begins, stops = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    stops[:-1] &= ~solid[1:]
+    inner = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(data))]
+    begins[inner] = solid[inner]                       # a text's first word never joins the one before
+    stops[inner - 1] = solid[inner - 1]
+    lo, hi = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    counts = np.diff(np.searchsorted(lo, edges))
+    out, at = np.empty(len(lo), U64), 0
+    while at < len(lo):                                # about 4 MB at once, whole words
+        end = max(at + 1, int(np.searchsorted(hi, lo[at] + (4 << 20), "right")))
+        a, b = int(lo[at]), int(hi[end - 1])
+        up, down = powers(b - a + 1)
+        total = np.empty(b - a + 1, U64)
+        total[0] = 0
+        np.cumsum(_TABLE[data[a:b]] * up[:b - a], out=total[1:])
+        s, e = lo[at:end] - a, hi[at:end] - a
+        out[at:end] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+        at = end
+    return out, counts
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes (a bijection)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -12,11 +12,11 @@ Work is cut down in steps, none of which can lose a repeated window:
    2^bits saturating counters); the sketches are merged segment by segment.
    The merged counts never underestimate how often a window occurs.
 3. Only anchors estimated repeated are grouped exactly: the span of all
-   windows of an anchor is one class (128-bit hash). A class met twice is
-   repeated as a whole.
+   windows of an anchor is one class (128 bits: hashes of anchor and span). A
+   class met twice is repeated as a whole.
 4. What remains are spans met once whose anchor also stands elsewhere, the
-   ends of copied passages. Their single windows are grouped exactly
-   (128-bit hashes), together with the windows of the other spans of that anchor.
+   ends of copied passages. Their single windows are grouped exactly (128-bit
+   hashes), together with those of one place of every other class of that anchor.
 5. Spans and windows found repeated meet the texts by document, once.
 
 Only the merged sketch and a fixed-size bit set (sizes are parameters) reach the
@@ -34,41 +34,31 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import (MULT, U64, WordHash, batch, cut, in_bits, key_bits, mix, rolling, slices, text_hash,
-                                texts)
+from candela.llm.common import (U64, batch, cut, in_bits, key_bits, mix, powers, rolling, slices, text_hash, texts,
+                                word_hashes)
 
 _ROWS = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))   # odd: one hash per sketch row
 _SEGMENT = 17                                              # a sketch segment has 2^17 counters
 _BLOCK = 1 << 22                                           # words looked at together
-_SLICE = 24 << 20
-
-
-def _inverse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT^i and MULT^-i mod 2^64 for i < n."""
-    inverse = pow(MULT, -1, 1 << 64)
-    up, down = np.full(n, U64(MULT)), np.full(n, U64(inverse))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_SLICE = 8 << 20
 
 
 class Anchors:
-    """Anchors of all windows of a batch of texts.
+    """Anchors of all windows of a block of texts, given their word hashes one after the other.
 
-    ``doc``, ``lo``, ``hi`` (first and last window start in the document) and
-    ``gram`` (hash of the anchor's words) per anchor; spans are hashed on request.
+    Per anchor: ``doc`` (index of the text), ``lo`` and ``hi`` (first and last
+    start of its windows, in the block), ``gram`` (hash of the anchor's words).
     """
 
-    def __init__(self, words: list[np.ndarray], window: int, gram: int, base: list[int] | None = None):
-        self.window = window
-        sizes = np.array([len(x) for x in words], np.int64)
-        self.first = np.cumsum(sizes) - sizes
-        self.w = w = np.concatenate(words) if len(words) else np.empty(0, U64)
+    def __init__(self, w: np.ndarray, sizes: np.ndarray, window: int, gram: int):
+        self.window, self.w, self.first = window, w, np.cumsum(sizes) - sizes
         n = len(w) - window + 1
         if n <= 0:
             self.doc = self.lo = self.hi = self.at = np.empty(0, np.int64)
             self.gram = np.empty(0, U64)
             return
         grams = rolling(w, gram)
+        # Smallest hash first, then the leftmost place: equal windows choose the same word.
         order = ((grams >> U64(24)) << U64(24)) | np.arange(len(grams), dtype=U64)
         at = (_min(order, window - gram + 1) & U64(0xFFFFFF)).astype(np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -83,15 +73,12 @@ class Anchors:
         self.doc, self.at, self.gram, self.lo, self.hi = (x[mask] for x in
                                                           (self.doc, self.at, self.gram, self.lo, self.hi))
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of the words from the first to the last window of each anchor, and of its offset."""
-        up, down = _inverse_powers(len(self.w) + 1)
+    def spans(self) -> np.ndarray:
+        """64-bit hash of the words from the first to the last window of each anchor, and of its offset."""
+        up, down = powers(len(self.w) + 1)
         end, shape = self.hi + self.window, ((self.hi - self.lo) * self.window + self.at - self.lo).astype(U64)
-        out = []
-        for lane in (self.w, mix(self.w + U64(1))):
-            total = np.r_[U64(0), np.cumsum(lane * up[:-1])]
-            out.append(mix((total[end] - total[self.lo]) * down[self.lo] + mix(shape)))
-        return out[0], out[1]
+        total = np.r_[U64(0), np.cumsum(mix(self.w + U64(1)) * up[:len(self.w)])]
+        return mix((total[end] - total[self.lo]) * down[self.lo] + mix(shape))
 
 
 def _min(x: np.ndarray, k: int) -> np.ndarray:
@@ -101,30 +88,19 @@ def _min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[:len(x) - (k - have)], x[k - have:]) if k > have else x
 
 
-class _Reader:
-    """Blocks of texts as word-hash arrays, with the row and the word offset of each piece."""
-
-    def __init__(self, window: int):
-        self.window, self.hash = window, WordHash()
-
-    def blocks(self, column: pa.Array) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-        pieces, rows, offsets, held = [], [], [], 0
-        for i, text in enumerate(texts(column)):
-            words = text.split()
-            if len(words) < self.window:
-                continue
-            h = np.fromiter(map(self.hash.__getitem__, words), U64, len(words))
-            for at in range(0, len(h) - self.window + 1, _BLOCK):
-                piece = h[at:at + _BLOCK + self.window - 1]   # pieces of a very long text overlap by window - 1 words
-                if held and held + len(piece) > 2 * _BLOCK:
-                    yield pieces, np.array(rows), np.array(offsets)
-                    pieces, rows, offsets, held = [], [], [], 0
-                pieces.append(piece)
-                rows.append(i)
-                offsets.append(at)
-                held += len(piece)
-        if pieces:
-            yield pieces, np.array(rows), np.array(offsets)
+def _blocks(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Word hashes, sizes, row numbers and word offsets of pieces of the texts of a slice.
+
+    Almost always one block; a text beyond _BLOCK words is cut into pieces that overlap by window - 1 words.
+    """
+    w, sizes = word_hashes(column)
+    if len(w) <= 2 * _BLOCK:
+        yield w, sizes, np.arange(len(sizes)), np.zeros(len(sizes), np.int64)
+        return
+    for row, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
+        for at in range(0, max(size - window + 1, 0), _BLOCK):
+            piece = w[end - size + at:min(end, end - size + at + _BLOCK + window - 1)]
+            yield piece, np.array([len(piece)]), np.array([row]), np.array([at])
 
 
 def _cells(gram: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -137,10 +113,10 @@ def sketch(rows: DataFrame, window: int, gram: int, bits: int) -> list[np.ndarra
     out = {"seg": pa.int32(), "payload": pa.binary()}
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = _Reader(window), [[] for _ in _ROWS]
+        seen = [[] for _ in _ROWS]
         for b in slices(batches, _SLICE, lambda x: x.column(0)):
-            for pieces, _, _ in reader.blocks(b.column(0)):
-                for held, cell in zip(seen, _cells(Anchors(pieces, window, gram).gram, bits)):
+            for w, sizes, _, _ in _blocks(b.column(0), window):
+                for held, cell in zip(seen, _cells(Anchors(w, sizes, window, gram).gram, bits)):
                     held.append(cell.astype(np.uint32))
         squeeze, segs, payloads = zstandard.ZstdCompressor(level=1), [], []
         for r, held in enumerate(seen):
@@ -173,7 +149,7 @@ def sketch(rows: DataFrame, window: int, gram: int, bits: int) -> list[np.ndarra
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 12,
-                   bits: int = 25, key_bits_: int = 24) -> DataFrame:
+                   bits: int = 26, place_bits: int = 24) -> DataFrame:
     """(doc_id, text_hash, lo, hi): ranges of window starts, lo to hi, whose windows also start elsewhere.
 
     Ranges may repeat and overlap. Rows that share id and text share their ranges.
@@ -183,9 +159,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        text_hash(F.col(text_col)).alias("text_hash"))
     bits = max(bits, _SEGMENT)
     twice = spark.sparkContext.broadcast(sketch(rows, window, gram, bits))
-    span = {"gram": pa.int64(), "g1": pa.int64(), "g2": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(),
+    span = {"gram": pa.int64(), "span": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(),
             "lo": pa.int32(), "hi": pa.int32()}
-    place = {"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "lo": pa.int32()}
+    start = {"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "lo": pa.int32()}
 
     def estimated(gram_hash: np.ndarray) -> np.ndarray:
         ok = np.ones(len(gram_hash), bool)
@@ -194,44 +170,41 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return ok
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(window)
         for b in slices(batches, _SLICE, lambda x: x.column(0)):
-            for pieces, row, offset in reader.blocks(b.column(0)):
-                a = Anchors(pieces, window, gram)
+            for w, sizes, row, offset in _blocks(b.column(0), window):
+                a = Anchors(w, sizes, window, gram)
                 a.pick(estimated(a.gram))
-                if not len(a.doc):
-                    continue
-                g1, g2 = a.spans()
-                at, shift = pa.array(row[a.doc]), offset[a.doc] - a.first[a.doc]
-                yield batch(span, {"gram": a.gram.view(np.int64), "g1": g1.view(np.int64), "g2": g2.view(np.int64),
-                                   "doc_id": b.column(1).take(at), "text_hash": b.column(2).take(at),
+                at, shift = row[a.doc], offset[a.doc] - a.first[a.doc]
+                yield batch(span, {"gram": a.gram.view(np.int64), "span": a.spans().view(np.int64),
+                                   "doc_id": b.column(1).take(pa.array(at)), "text_hash": b.column(2).take(pa.array(at)),
                                    "lo": (a.lo + shift).astype(np.int32), "hi": (a.hi + shift).astype(np.int32)})
 
-    found = cut(rows.mapInArrow(spans, "gram long, g1 long, g2 long, doc_id long, text_hash long, lo int, hi int"),
+    found = cut(rows.mapInArrow(spans, "gram long, span long, doc_id long, text_hash long, lo int, hi int"),
                 "substring_spans")
-    classes = found.groupBy("gram", "g1", "g2").agg(F.count(F.lit(1)).alias("n"))
-    whole = (found.join(classes.filter("n > 1"), ["gram", "g1", "g2"], "left_semi")
+    # A place is known by the top bits of text_hash xor (lo << 40); one place stands for its class.
+    place = F.expr("text_hash ^ shiftleft(cast(lo as bigint), 40)")
+    classes = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    whole = (found.join(classes.filter("n > 1"), ["gram", "span"], "left_semi")
              .select("doc_id", "text_hash", "lo", "hi"))
     mixed = (classes.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least"))
              .filter("spans > 1 and least = 1"))
-    needed = spark.sparkContext.broadcast(key_bits(mixed, "gram", key_bits_))
+    needed = spark.sparkContext.broadcast(key_bits(classes.join(mixed, "gram", "left_semi"), "place", place_bits))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(window)
         for b in slices(batches, _SLICE, lambda x: x.column(0)):
-            for pieces, row, offset in reader.blocks(b.column(0)):
-                a = Anchors(pieces, window, gram)
-                a.pick(in_bits(needed.value, a.gram) & estimated(a.gram))
-                if not len(a.doc):
-                    continue
+            hashes = b.column(2).to_numpy().view(U64)
+            for w, sizes, row, offset in _blocks(b.column(0), window):
+                a = Anchors(w, sizes, window, gram)
+                lo = (a.lo + offset[a.doc] - a.first[a.doc]).astype(U64)
+                a.pick(in_bits(needed.value, hashes[row[a.doc]] ^ (lo << U64(40))) & estimated(a.gram))
                 size = a.hi - a.lo + 1
-                start = np.repeat(a.lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                begin = np.repeat(a.lo - np.cumsum(size) + size, size) + np.arange(size.sum())
                 doc = np.repeat(a.doc, size)
-                h1, h2 = rolling(a.w, window)[start], rolling(mix(a.w + U64(1)), window)[start]
+                h1, h2 = rolling(w, window), rolling(mix(w + U64(1)), window)
                 at = pa.array(row[doc])
-                yield batch(place, {"h1": h1.view(np.int64), "h2": h2.view(np.int64), "doc_id": b.column(1).take(at),
-                                    "text_hash": b.column(2).take(at),
-                                    "lo": (start + offset[doc] - a.first[doc]).astype(np.int32)})
+                yield batch(start, {"h1": h1[begin].view(np.int64), "h2": h2[begin].view(np.int64),
+                                    "doc_id": b.column(1).take(at), "text_hash": b.column(2).take(at),
+                                    "lo": (begin + offset[doc] - a.first[doc]).astype(np.int32)})
 
     single = cut(rows.mapInArrow(windows, "h1 long, h2 long, doc_id long, text_hash long, lo int"), "substring_windows")
     twice_met = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -241,7 +214,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 12,
-                   bits: int = 25) -> DataFrame:
+                   bits: int = 26) -> DataFrame:
     """Rows of ``docs`` as struct ``row``, with n_words, n_removed (long) and kept_text.
 
     Words are maximal runs of anything but ASCII white space; kept_text is the
@@ -253,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        text_hash(F.col(text_col)).alias("text_hash"))
     kind = rows.schema["row"].dataType.simpleString()
     both = (rows.withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int"), "is_row": F.lit(True)})
-            .unionByName(spans.distinct().withColumns({"row": F.lit(None).cast(rows.schema["row"].dataType),
+            .unionByName(spans.withColumns({"row": F.lit(None).cast(rows.schema["row"].dataType),
                                                        "is_row": F.lit(False)})))
     keyed = (both.select("is_row", "lo", "hi", "doc_id", "text_hash", "row")
              .repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "is_row"))
