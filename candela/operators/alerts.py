@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from candela.functions.scalar import rnd
 from candela.functions.windows import with_position
-from candela.operators.snapshot import tail_rows
 
 MAX_ALERTS_PER_USER = 20
 MAX_NOTE = 200
@@ -20,8 +19,8 @@ ID_BUCKET = 1 << 20
 
 
 def latest_close(series: DataFrame) -> DataFrame:
-    """(symbol, current_price): the newest close of each series."""
-    return tail_rows(series, 1).select("symbol", F.col("close").alias("current_price"))
+    """(symbol, current_price): the newest close of each series (partial aggregate, one exchange)."""
+    return series.groupBy("symbol").agg(F.max_by("close", "d").alias("current_price"))
 
 
 def alert_check(alerts: DataFrame, latest: DataFrame) -> DataFrame:

@@ -1,10 +1,9 @@
 """Correlation of daily log returns (family E).
 
 Returns are aligned positionally from the newest bar (stock and crypto
-calendars differ), trimmed to the shortest series. The matrix is one pass:
-returns are pivoted to one column per symbol (rows = position from the end,
-at most ``days``) and every pair is a ``corr`` aggregate over those rows, so
-no pair rows are materialised. The symbol list is a parameter (at most 20).
+calendars differ), trimmed to the shortest series. The matrix is an equi-join
+of the tails on the position and one partial ``corr`` aggregate per pair; any
+number of symbols takes part, and no task holds a whole column of pairs.
 """
 
 from __future__ import annotations
@@ -12,71 +11,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.functions.windows import with_position
+from candela.operators.snapshot import tail_rows
 
 DAYS = (30, 90, 180, 365)
-MAX_SYMBOLS = 20
 
 
-def log_return_tail(series: DataFrame, symbols: list[str], days: int = 90,
+def log_return_tail(series: DataFrame, symbols: list[str] | None = None, days: int = 90,
                     min_closes: int = 10) -> DataFrame:
     """Log returns of the last days+1 closes per symbol; k = 0 is the newest.
 
     Symbols with fewer than ``min_closes`` closes are dropped; unknown
-    ``days`` fall back to 90; at most 20 symbols are used.
+    ``days`` fall back to 90; ``symbols`` None takes every symbol.
     """
     if days not in DAYS:
         days = 90
-    syms = [s for s in symbols][:MAX_SYMBOLS]
-    s = with_position(series.filter(F.col("symbol").isin(syms)).select("symbol", "d", "close"), order=["d"])
-    s = s.filter(F.col("pos") >= F.col("n") - (days + 1))
-    s = s.withColumn("_m", F.least(F.col("n"), F.lit(days + 1))).filter(F.col("_m") >= min_closes)
+    s = series.select("symbol", "d", "close")
+    if symbols is not None:
+        s = s.filter(F.col("symbol").isin(symbols))
+    s = tail_rows(s, days + 1).filter(F.col("n") >= min_closes)
     w = Window.partitionBy("symbol").orderBy("pos")  # at most days + 1 rows per symbol
     lr = F.log("close") - F.log(F.lag("close").over(w))
-    return (s.withColumn("lr", lr).filter(F.col("pos") > F.col("n") - F.col("_m"))
+    return (s.withColumn("lr", lr).filter(F.col("pos") > 0)
             .select("symbol", (F.col("n") - 1 - F.col("pos")).alias("k"), "d", "lr"))
 
 
-def correlation_matrix(rets: DataFrame, symbols: list[str], align: str = "position") -> DataFrame:
-    """Long (a, b, r) Pearson matrix over the valid symbols, r to 4 dp.
+def correlation_matrix(rets: DataFrame, symbols: list[str] | None = None, align: str = "position") -> DataFrame:
+    """Long (a, b, r) Pearson matrix, r to 4 dp; ia, ib: places of the symbols
+    in ``symbols`` (from 1), or among all symbols by name.
 
     align='position' trims to the shortest series and pairs returns by
     position from the end (the reference); align='date' pairs by date.
     """
-    syms = list(dict.fromkeys(symbols))[:MAX_SYMBOLS]
     key = "d" if align == "date" else "k"
-    wide = rets.groupBy(key).pivot("symbol", syms).agg(F.first("lr"))
+    r = rets.select("symbol", key, "lr")
+    if symbols is not None:
+        place = F.array_position(F.array(*[F.lit(s) for s in dict.fromkeys(symbols)]), F.col("symbol")).cast("int")
+        r = r.withColumn("i", place).filter(F.col("i") > 0)
+    else:
+        names = r.select("symbol").distinct()     # one row per symbol
+        r = r.join(names.withColumn("i", F.row_number().over(Window.orderBy("symbol"))), "symbol")
     if align != "date":
-        # trim to the shortest series inside the pivot (at most days rows):
-        # keep the positions where every symbol that has returns has a value
-        present = sum((F.col(f"`{s}`").isNotNull().cast("int") for s in syms[1:]),
-                      F.col(f"`{syms[0]}`").isNotNull().cast("int"))
-        wide = (wide.withColumn("_present", present)
-                .withColumn("_valid", F.max("_present").over(Window.partitionBy(F.lit(0))))
-                .filter(F.col("_present") == F.col("_valid")))
-    pairs = [(a, b) for a in syms for b in syms]
-    stats = wide.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    # a symbol without returns has an all-null column, so its pairs have a
-    # null r and drop out without another pass over the returns
-    longf = stats.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r"))
-        for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*").filter(F.col("r").isNotNull())
-    order = F.array_position(F.array(*[F.lit(s) for s in syms]), F.col("a"))
-    order_b = F.array_position(F.array(*[F.lit(s) for s in syms]), F.col("b"))
-    return longf.select("a", "b", F.round(F.col("r"), 4).alias("r"),
-                        order.cast("int").alias("ia"), order_b.cast("int").alias("ib"))
+        shortest = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"))
+        r = r.filter(F.col("k") < shortest.scalar())
+    a = r.select(F.col("symbol").alias("a"), F.col("i").alias("ia"), key, F.col("lr").alias("x"))
+    b = r.select(F.col("symbol").alias("b"), F.col("i").alias("ib"), key, F.col("lr").alias("y"))
+    return (a.join(b, key).groupBy("a", "b", "ia", "ib").agg(F.round(F.corr("x", "y"), 4).alias("r"))
+            .filter(F.col("r").isNotNull()).select("a", "b", "r", "ia", "ib"))
 
 
 def correlation_pairs(matrix: DataFrame, k: int = 3) -> DataFrame:
     """Unordered pairs (a before b in symbol order): the k highest and the k
     lowest r; ties keep the pair order (as a stable sort would)."""
     p = matrix.filter(F.col("ia") < F.col("ib"))
-    w_pos = Window.orderBy(F.col("r").desc(), "ia", "ib")
-    w_neg = Window.orderBy(F.col("r").asc(), F.col("ia").desc(), F.col("ib").desc())
-    # both windows are global but run over the pair table, whose size is
-    # bounded by the 20-symbol cap (190 rows)
-    top = p.withColumn("rank", F.row_number().over(w_pos).cast("long")).filter(F.col("rank") <= k) \
-        .withColumn("kind", F.lit("top_pos"))
-    neg = p.withColumn("rank", F.row_number().over(w_neg).cast("long")).filter(F.col("rank") <= k) \
-        .withColumn("kind", F.lit("top_neg"))
-    return top.unionByName(neg).select("kind", "rank", "a", "b", "r")
+    high, low = (F.col("r").desc(), "ia", "ib"), (F.col("r").asc(), F.col("ia").desc(), F.col("ib").desc())
+
+    def best(order, kind):      # limit first: the window numbers k rows
+        rank = F.row_number().over(Window.orderBy(*order)).cast("long")
+        return p.orderBy(*order).limit(k).select(F.lit(kind).alias("kind"), rank.alias("rank"), "a", "b", "r")
+
+    return best(high, "top_pos").unionByName(best(low, "top_neg"))

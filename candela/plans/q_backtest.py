@@ -97,9 +97,9 @@ def backtest_trades(spark, sf_dir):
     return rounded(bt.backtest_trades(_series(spark, sf_dir), DEFAULT))
 
 
-@register("backtest_equity", with_ctes(bt_ctes(DEFAULT), "SELECT * FROM equity WHERE (p - 60) % 2 = 0"))
+@register("backtest_equity", with_ctes(bt_ctes(DEFAULT), "SELECT * FROM equity"))
 def backtest_equity(spark, sf_dir):
-    return rounded(bt.backtest_equity(_series(spark, sf_dir), DEFAULT, every=2))
+    return rounded(bt.backtest_equity(_series(spark, sf_dir), DEFAULT))
 
 
 @register("backtest_summary", with_ctes(bt_ctes(DEFAULT), "SELECT * FROM summ"))

@@ -102,7 +102,7 @@ def _snap(spark, sf_dir):
   CASE WHEN (cur - prev) / prev * 100 >= 0 THEN 'up' ELSE 'down' END AS trend
   FROM last2 WHERE prev IS NOT NULL"""))
 def market_summary(spark, sf_dir):
-    return rounded(snp.market_summary(_series(spark, sf_dir), tables.universe(spark, sf_dir), 12))
+    return rounded(snp.market_summary(_series(spark, sf_dir), None))
 
 
 @register("latest_price", snap_query(f"""SELECT symbol, {R('cur', 4)} AS price, {R('prev', 4)} AS prev_close,
