@@ -72,7 +72,7 @@ class Codec:
         self.store = np.uint16 if self.engine.n_vocab <= 1 << 16 else np.uint32
 
     def encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.engine.encode(text.decode(), allowed_special="all"), self.store)
+        return self.engine.encode_to_numpy(text.decode(), allowed_special="all").astype(self.store)
 
     def count(self, text: bytes) -> int:
         return len(self.engine.encode(text.decode(), allowed_special="all"))
@@ -274,9 +274,11 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         bpe = codec(path)
         for b in batches:
             ids = b.column(b.schema.get_field_index("ids"))
+            flat, edges = ids.values.to_numpy(), ids.offsets.to_numpy()
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                out = [bpe.decode(x or []) for x in ids.slice(lo, 512).to_pylist()]
+                at = edges[lo:lo + 513].tolist()
+                out = [bpe.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
