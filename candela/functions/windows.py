@@ -136,7 +136,8 @@ def series_window(key: str = KEY) -> Window:
 
 
 def R(n: int, key: str = KEY) -> Window:
-    """Trailing frame of n rows ending at the current row."""
+    """Trailing frame of n rows ending at the current row, at most as many as the halo of a block."""
+    _checked(n, HALO_ROWS, "frame")
     return _spec("rows", key, -(n - 1), 0)
 
 
@@ -158,7 +159,15 @@ def lag(e: Column | str, k: int = 1, key: str = KEY) -> Column:
     return F.lag(e, k).over(series_window(key))
 
 
+def _checked(k: int, most: int, what: str) -> int:
+    if k > most:
+        raise ValueError(f"{what} of {k} rows exceeds the {most} rows copied around a block; widen series_blocks")
+    return k
+
+
 def lead(e: Column | str, k: int = 1, key: str = KEY) -> Column:
+    """Value ``k`` rows ahead, at most as many as ``series_blocks`` copies after a block."""
+    _checked(k, TAIL_ROWS, "lead")
     return F.lead(e, k).over(series_window(key))
 
 
@@ -210,6 +219,7 @@ def lag_sql(e: str, k: int = 1, key: str = KEY) -> str:
 
 
 def lead_sql(e: str, k: int = 1, key: str = KEY) -> str:
+    _checked(k, TAIL_ROWS, "lead")
     return f"lead({e}, {k}) {_win(key)}"
 
 
@@ -340,34 +350,49 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_t: str, right_t:
                       F.col("_pick._asof_t").alias("_asof_t"))
 
 
+def neighbour_day(days: DataFrame, by: str, day: str, direction: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:
+    """``days`` with ``_near``: the next (or previous) day of the same ``by``, null at the end.
+
+    Windows run inside (by, bucket); a bucket's edge row takes the edge of the
+    next non-empty bucket from a table of one row per bucket.
+    """
+    fwd = direction == "next"
+    tagged = days.withColumn("_bk", F.floor(F.unix_date(F.col(day)) / bucket_days))
+    edge = tagged.groupBy(by, "_bk").agg((F.min if fwd else F.max)(day).alias("_edge"))
+    wb, wd = Window.partitionBy(by).orderBy("_bk"), Window.partitionBy(by, "_bk").orderBy(day)
+    step = F.lead if fwd else F.lag
+    edge = edge.withColumn("_over", step("_edge").over(wb)).select(by, "_bk", "_over")
+    near = F.coalesce(F.col("_in"), F.col("_over"))
+    return tagged.withColumn("_in", step(day).over(wd)).join(edge, [by, "_bk"]).withColumn("_near", near).drop("_bk", "_in", "_over")
+
+
 def asof_join_daily(left: DataFrame, right: DataFrame, left_day: str, value_cols: list[str],
                     direction: str = "backward", by: str = KEY, right_day: str = "d") -> DataFrame:
     """As-of join when the right side has at most one row per (by, day).
 
     Each right row is expanded to the calendar days it answers for
     (backward: [d, next d); forward: (previous d, d]) and the left side is an
-    equi-join on (by, day). The expansion is bounded by the calendar span,
-    not by the left side's size, so a hot key on the left is an ordinary
-    skewed equi-join (AQE splits it) instead of one task. Adds the matched
-    right day as ``_asof_d``.
+    equi-join on (by, day). Left days beyond the last (backward) or before the
+    first (forward) right day are moved to it, by one small row per key, so
+    the left side is read once. A hot key on the left is an ordinary skewed
+    equi-join (AQE splits it), and no task holds a whole key of the right.
+    Adds the matched right day as ``_asof_d``.
     """
     r = right.select(by, right_day, *value_cols)
-    w = Window.partitionBy(by).orderBy(right_day)
-    if direction == "backward":
-        # the newest right day keeps answering up to the newest left day
-        horizon = left.select(F.max(left_day)).scalar()
-        nxt = F.lead(right_day).over(w)
-        start = F.col(right_day)
-        end = F.coalesce(F.date_sub(nxt, 1), F.greatest(horizon, F.col(right_day)))
+    back = direction == "backward"
+    r = neighbour_day(r, by, right_day, "next" if back else "previous")
+    if back:
+        start, end = F.col(right_day), F.coalesce(F.date_sub("_near", 1), F.col(right_day))
+        limit, move = F.max(right_day), F.least
     else:
-        prv = F.lag(right_day).over(w)
-        start = F.coalesce(F.date_add(prv, 1), F.least(
-            left.select(F.min(left_day)).scalar(), F.col(right_day)))
-        end = F.col(right_day)
-    cal = (r.withColumn("_s", start).withColumn("_e", end)
-           .withColumn("_day", F.explode(F.sequence("_s", "_e")))
-           .select(by, F.col("_day"), F.col(right_day).alias("_asof_d"), *value_cols))
-    return left.join(cal.withColumnRenamed("_day", left_day), [by, left_day], "left")
+        start, end = F.coalesce(F.date_add("_near", 1), F.col(right_day)), F.col(right_day)
+        limit, move = F.min(right_day), F.greatest
+    cal = (r.withColumn("_at", F.explode(F.sequence(start, end)))
+           .select(by, "_at", F.col(right_day).alias("_asof_d"), *value_cols))
+    limits = right.groupBy(by).agg(limit.alias("_limit"))
+    moved = left.join(limits, by, "left").withColumn("_at", F.when(F.col(left_day).isNotNull(),
+                                                                   move(F.col(left_day), F.col("_limit")))).drop("_limit")
+    return moved.join(cal, [by, "_at"], "left").select(*[F.col(c) for c in left.columns], "_asof_d", *value_cols)
 
 
 def prefix_sum_min(df: DataFrame, key: str, order: list[str], x: str, init: float = 0.0,

@@ -31,8 +31,9 @@ LEDGER_SCHEMA = ("user_id long, order_id long, executed_at timestamp_ntz, symbol
 
 
 def order_pricing(orders: DataFrame, bars: DataFrame) -> DataFrame:
-    """Price every order with the newest close at or before its day."""
-    b = bars.select("symbol", "d", F.col("close").alias("price"))
+    """Price every order with the newest close known when it is placed: that of a
+    day before its own, whose bar closes only after the order."""
+    b = bars.select("symbol", F.date_add("d", 1).alias("d"), F.col("close").alias("price"))
     return asof_join_daily(orders, b, "d", ["price"], direction="backward").drop("_asof_d")
 
 

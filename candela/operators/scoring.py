@@ -8,26 +8,23 @@ from pyspark.sql import functions as F
 from candela.functions.scalar import rnd
 from candela.functions.windows import asof_join_daily
 
-PER_REQUEST = 20
-
 
 def accuracy_update(predictions: DataFrame, series: DataFrame, as_of, horizon_days: int = 14,
-                    per_user: int = PER_REQUEST) -> DataFrame:
+                    per_user: int | None = None) -> DataFrame:
     """Score unscored predictions older than ``horizon_days`` at ``as_of``.
 
     The actual price is the first close on or after created_at + horizon
     (forward as-of join on the day calendar); accuracy is
     max(0, 100 - |actual - predicted| / actual * 100) to 2 dp, the "$" is
-    stripped from the stored text. At most ``per_user`` predictions per user
-    (lowest ids first) are scored per run.
+    stripped from the stored text. ``per_user``, if given, limits a run to so many
+    scorable predictions per user, lowest ids first; those that still wait
+    for a bar never hold up others.
     """
     p = predictions
     if "accuracy_pct" in p.columns:
         p = p.filter(F.col("accuracy_pct").isNull())
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {horizon_days} DAYS")
     p = p.filter(F.col("created_at") < cutoff)
-    w = Window.partitionBy("user_id").orderBy("id")
-    p = p.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_user).drop("_k")
     target = F.col("created_at") + F.expr(f"INTERVAL {horizon_days} DAYS")
     # first bar whose midnight is >= target: day of target, or the next day
     # when target is past midnight
@@ -40,6 +37,9 @@ def accuracy_update(predictions: DataFrame, series: DataFrame, as_of, horizon_da
     acc = 100 - F.abs((F.col("actual") - pred) / F.col("actual") * 100)
     scored = j.filter(F.col("actual").isNotNull() & F.col("predicted_result").isNotNull()
                       & (F.col("predicted_result") != ""))
+    if per_user is not None:
+        w = Window.partitionBy("user_id").orderBy("id")
+        scored = scored.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_user).drop("_k")
     return scored.select("id", "user_id", "symbol", "created_at", F.col("_asof_d").alias("actual_date"),
                          "actual", pred.alias("predicted"),
                          rnd(F.greatest(acc, F.lit(0.0)), 2).alias("accuracy_pct"))

@@ -2,9 +2,9 @@
 
 Sentiment is re-aimed from a packaged lexicon scorer to a lexicon argument:
 a document's valence is the sum of the weights of its tokens, normalised as
-s / sqrt(s^2 + 15). A lexicon of bounded size (checked) is compiled into a
-map literal and scored per row with a higher-order ``aggregate`` - no
-explode and no shuffle; a larger lexicon takes the explode + join path.
+s / sqrt(s^2 + 15). Tokens meet the lexicon in an equi-join, whatever its size
+(AQE broadcasts it when its measured size is small), and are summed per
+document with a partial aggregate. ``doc_id`` names a headline.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from candela.functions.scalar import rnd
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 ALPHA = 15.0
-MAP_LEXICON_MAX = 2_000   # beyond this a literal map bloats the plan; join instead
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -49,18 +48,10 @@ def headline_sentiment(headlines: DataFrame, lexicon: DataFrame, title_chars: in
                        summary_chars: int | None = None) -> DataFrame:
     """Per headline: compound score (3 dp) and positive / negative / neutral."""
     h = headlines.withColumn("_text", headline_text(headlines, title_chars, summary_chars))
-    n = lexicon.count()
-    if n <= MAP_LEXICON_MAX:
-        rows = lexicon.select("token", "weight").collect()  # bounded by the check above
-        lex = F.create_map(*[x for r in rows for x in (F.lit(r["token"]), F.lit(float(r["weight"])))]) \
-            if rows else F.create_map().cast("map<string,double>")
-        s = F.aggregate(tokens(F.col("_text")), F.lit(0.0),
-                        lambda acc, t: acc + F.coalesce(F.element_at(lex, t), F.lit(0.0)))
-        scored = h.withColumn("_s", s)
-    else:
-        ex = h.select("doc_id", F.explode(tokens(F.col("_text"))).alias("token"))
-        sums = ex.join(lexicon.select("token", "weight"), "token").groupBy("doc_id").agg(F.sum("weight").alias("_s"))
-        scored = h.join(sums, "doc_id", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    weights = lexicon.groupBy("token").agg(F.sum("weight").alias("_w"))     # a token listed twice adds both weights
+    found = h.select("doc_id", F.explode(tokens(F.col("_text"))).alias("token")).join(weights, "token")
+    sums = found.groupBy("doc_id").agg(F.sum("_w").alias("_s"))
+    scored = h.join(sums, "doc_id", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
     c = compound(F.col("_s"))
     return scored.select("doc_id", "symbol", "published", rnd(c, 3).alias("score"), label(c).alias("sentiment"),
                          c.alias("_compound"))

@@ -29,7 +29,7 @@ def _ledger_ctes(reset: bool = False) -> list[tuple[str, str]]:
             o_orderkey AS order_id, {symbol_of('o_orderkey')} AS symbol,
             CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS action,
             (o_orderkey % 10 + 1) / 10.0 AS quantity FROM orders o {keep}"""),
-        ("priced", "SELECT t.*, b.close AS price FROM tord t ASOF LEFT JOIN lbars b ON t.symbol = b.symbol AND t.d >= b.d"),
+        ("priced", "SELECT t.*, b.close AS price FROM tord t ASOF LEFT JOIN lbars b ON t.symbol = b.symbol AND t.d > b.d"),
         ("num", "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY executed_at, order_id) AS rn FROM priced"),
         ("led", f"""SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS order_id, 10000.0::DOUBLE AS cash,
               []::STRUCT(s VARCHAR, q DOUBLE, a DOUBLE)[] AS pos, CAST(NULL AS VARCHAR) AS status,

@@ -12,8 +12,7 @@ from candela.sources import tables
 PRED = ("pred", f"""SELECT o_orderkey AS id, o_custkey AS user_id, {symbol_of('o_orderkey')} AS symbol,
   '$' || CAST(round(o_totalprice / 50 + 1e-9, 2) AS VARCHAR) AS predicted_result, o_orderdate AS created_at FROM orders""")
 ACC = [PRED,
-       ("p1", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM pred
-          WHERE created_at < (SELECT max(o_orderdate) FROM orders) - INTERVAL 14 DAYS) WHERE k <= 20"""),
+       ("p1", "SELECT * FROM pred WHERE created_at < (SELECT max(o_orderdate) FROM orders) - INTERVAL 14 DAYS"),
        ("p2", """SELECT *, CASE WHEN created_at + INTERVAL 14 DAYS = date_trunc('day', created_at + INTERVAL 14 DAYS)
           THEN CAST(created_at + INTERVAL 14 DAYS AS DATE) ELSE CAST(created_at + INTERVAL 14 DAYS AS DATE) + 1 END AS dday FROM p1"""),
        ("acc", """SELECT p.id, p.user_id, p.symbol, p.created_at, s.d AS actual_date, s.close AS actual,

@@ -414,11 +414,11 @@ PAYMENT_EVENT_SCHEMA = "event_id long, ts timestamp_ntz, json string"
 
 
 def bar_stream_dir(spark: SparkSession, sf_dir: str) -> str:
-    """The daily bars as a file stream: three files sets, oldest first."""
+    """The daily bars as a file stream: three files, oldest bars first."""
     def build(path):
         b = bars(spark, sf_dir)
         for lo, hi in (("1900-01-01", "1995-01-01"), ("1995-01-01", "1997-01-01"), ("1997-01-01", "2100-01-01")):
-            b.filter((F.col("d") >= lo) & (F.col("d") < hi)).write.mode("append").parquet(path)
+            b.filter((F.col("d") >= lo) & (F.col("d") < hi)).coalesce(1).write.mode("append").parquet(path)
     return _written(spark, sf_dir, "bar_stream", build)
 
 

@@ -1,34 +1,44 @@
 """Structured Streaming forms of the alert sweep, payment events, intraday
 bars and rate-limit windows.
 
-Every job reads a file stream, keeps its state in a checkpoint under the
-shared ``spark.checkpoint.dir`` (so a lost executor or a restarted driver
-resumes exactly once) and writes each micro-batch to a table in the shared
-folder through ``foreachBatch``.
+Every job reads a file stream and keeps its progress in a checkpoint under the
+shared ``spark.checkpoint.dir``. A micro-batch writes its rows to the folder
+``epoch=N`` of the job's table and overwrites it when the batch is retried, so
+each batch counts once. A job given a ``run`` name resumes where the last job
+of that name stopped; without a name it starts anew.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.operators.wallet import parse_payment_events, payment_credits
 from candela.session import checkpoint_dir, shared_path
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a streaming query over everything available now; return the path
-    of the table it wrote. ``complete`` mode overwrites the table with the
-    full result of every batch; ``append`` adds each batch's new rows."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", run: str | None = None,
+                  step: Callable[[DataFrame, DataFrame | None], DataFrame] | None = None) -> str:
+    """Run a streaming query over everything available now; return the path of its table.
+
+    ``step(batch, before)`` turns a micro-batch into the rows to write;
+    ``before`` holds what earlier batches wrote (None for the first).
+    """
     spark = stream.sparkSession
-    run = uuid.uuid4().hex[:12]
+    run = run or uuid.uuid4().hex[:12]
     out = shared_path(spark, f"stream_{name}_{run}")
     ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}_{run}"
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        session = batch.sparkSession
+        before = None
+        if epoch and step:
+            before = session.read.option("basePath", out).parquet(*[f"{out}/epoch={i}" for i in range(epoch)]).drop("epoch")
+        rows = step(batch, before) if step else batch
+        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -40,43 +50,64 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> str:
 # price alerts on a bar stream
 # --------------------------------------------------------------------------
 
+def record_closes(bars: DataFrame) -> DataFrame:
+    """Bars that set a new highest or lowest close of their symbol so far.
+
+    Only they can be the first to cross a target. Columns: symbol, d, close,
+    ``above`` and ``below``: the extreme before the bar (null on the first) where it is passed.
+    """
+    w = Window.partitionBy("symbol").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    b = bars.select("symbol", "d", "close", F.max("close").over(w).alias("hi"), F.min("close").over(w).alias("lo"))
+    new = F.col("hi").isNull()
+    return (b.select("symbol", "d", "close", "hi", "lo", (new | (F.col("close") > F.col("hi"))).alias("above"),
+                     (new | (F.col("close") < F.col("lo"))).alias("below")).filter("above or below"))
+
+
 def alert_fires(bars: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Bars that cross an active alert (stream-static join on symbol)."""
+    """The first bar of ``bars`` that crosses each active alert.
+
+    An alert meets exactly the record bar that passes its target, at or beyond
+    the target with the record before it short of it, so the output has one row per
+    fired alert however many bars lie beyond it.
+    """
     act = alerts.filter(F.col("status") == "active").select("id", "user_id", "symbol", "target_price", "direction")
-    j = bars.select("symbol", "d", "close").join(act, "symbol")
-    hit = (((F.col("direction") == "above") & (F.col("close") >= F.col("target_price")))
-           | ((F.col("direction") == "below") & (F.col("close") <= F.col("target_price"))))
-    return j.filter(hit)
+    t, c = F.col("target_price"), F.col("close")
+    up = F.col("above") & (F.col("direction") == "above") & (c >= t) & (F.col("hi").isNull() | (F.col("hi") < t))
+    down = F.col("below") & (F.col("direction") == "below") & (c <= t) & (F.col("lo").isNull() | (F.col("lo") > t))
+    return act.join(record_closes(bars), "symbol").filter(up | down).select(
+        "id", "user_id", "symbol", "target_price", "direction", F.col("d").alias("fired_on"), c.alias("price"))
 
 
-def first_fire(fires: DataFrame) -> DataFrame:
-    """Fire once: the first bar that crossed each alert (state = one row per
-    fired alert, bounded by the alert table)."""
-    return fires.groupBy("id", "user_id", "symbol", "target_price", "direction").agg(
-        F.min("d").alias("fired_on"), F.min_by("close", "d").alias("price"))
+def alert_stream(spark: SparkSession, bar_dir: str, alerts: DataFrame, bar_schema: str, run: str | None = None) -> DataFrame:
+    """Fired alerts of a bar stream, each once, at the first bar to arrive that crosses it.
 
+    A batch looks only at alerts that no earlier batch fired; bars are taken in
+    the order of their files, inside a batch in the order of their days.
+    """
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        waiting = alerts if before is None else alerts.join(before.select("id"), "id", "left_anti")
+        return alert_fires(batch, waiting)
 
-def alert_stream(spark: SparkSession, bar_dir: str, alerts: DataFrame, bar_schema: str) -> DataFrame:
-    bars = spark.readStream.schema(bar_schema).option("maxFilesPerTrigger", 4).parquet(bar_dir)
-    path = run_available(first_fire(alert_fires(bars, alerts)), "alerts", mode="complete")
-    return spark.read.parquet(path)
+    bars = spark.readStream.schema(bar_schema).option("maxFilesPerTrigger", 1).parquet(bar_dir)
+    return spark.read.parquet(run_available(bars, "alerts", run=run, step=step)).drop("epoch")
 
 
 # --------------------------------------------------------------------------
 # payment events with redelivery
 # --------------------------------------------------------------------------
 
-def payment_stream(spark: SparkSession, event_dir: str, plans: DataFrame, schema: str,
-                   delay: str = "1 day") -> DataFrame:
-    """Credits from a stream of payment JSON events. Redelivered events (same
-    event id) are dropped while the first copy is within the watermark."""
+def payment_stream(spark: SparkSession, event_dir: str, plans: DataFrame, schema: str, run: str | None = None) -> DataFrame:
+    """Credits from a stream of payment JSON events, one per event id.
+
+    A delivery is dropped only if its event id was credited before, whatever
+    the time of the event: late first deliveries count.
+    """
+    def step(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        credits = payment_credits(parse_payment_events(batch), plans).dropDuplicates(["event_id"])
+        return credits if before is None else credits.join(before.select("event_id"), "event_id", "left_anti")
+
     ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(event_dir)
-    # watermarks need TIMESTAMP (the fixture is TIMESTAMP_NTZ, UTC session)
-    ev = ev.withColumn("_et", F.col("ts").cast("timestamp"))
-    once = ev.withWatermark("_et", delay).dropDuplicatesWithinWatermark(["event_id"]).drop("_et")
-    credits = payment_credits(parse_payment_events(once), plans)
-    path = run_available(credits, "payments", mode="append")
-    return spark.read.parquet(path)
+    return spark.read.parquet(run_available(ev, "payments", run=run, step=step)).drop("epoch")
 
 
 # --------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def test_alert_stream_equals_batch(spark, sf):
     from candela.streaming import jobs
     alerts = tables.alerts(spark, sf)
     stream = jobs.alert_stream(spark, tables.bar_stream_dir(spark, sf), alerts, tables.BAR_SCHEMA)
-    batch = jobs.first_fire(jobs.alert_fires(tables.bars(spark, sf), alerts))
+    batch = jobs.alert_fires(tables.bars(spark, sf), alerts)
     cols = ["id", "fired_on", "price"]
     a = sorted(tuple(r) for r in stream.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
@@ -40,6 +40,50 @@ def test_alert_stream_equals_batch(spark, sf):
     assert stream.groupBy("id").count().filter(F.col("count") > 1).count() == 0
 
 
+def test_alert_fires_at_the_first_crossing_bar(spark):
+    """Against a plain scan of every bar for every alert."""
+    import datetime
+    import random
+
+    from candela.streaming import jobs
+    rng = random.Random(2)
+    bars = [("AB"[i % 2], datetime.date(2024, 1, 1) + datetime.timedelta(days=i // 2), float(rng.randint(1, 40))) for i in range(120)]
+    alerts = [(i, 1, "ABC"[i % 3], float(rng.randint(0, 45)), rng.choice(["above", "below"]), "active" if i % 7 else "cancelled")
+              for i in range(200)]
+    want = []
+    for i, _, s, t, way, state in alerts:
+        hits = [(d, c) for x, d, c in sorted(bars, key=lambda b: b[1]) if x == s and (c >= t if way == "above" else c <= t)]
+        if hits and state == "active":
+            want.append((i, *hits[0]))
+    got = jobs.alert_fires(spark.createDataFrame(bars, "symbol string, d date, close double"), spark.createDataFrame(
+        alerts, "id long, user_id long, symbol string, target_price double, direction string, status string"))
+    assert sorted(map(tuple, got.select("id", "fired_on", "price").collect())) == sorted(want)
+
+
+def test_streams_resume_and_credit_late_events_once(spark, sf):
+    """A named job stopped after the first files and run again equals one run over all; late first deliveries count."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from candela.operators import wallet as wl
+    from candela.session import shared_path
+    from candela.sources import tables
+    from candela.streaming import jobs
+    events = tables.payment_json(spark, sf).filter(F.col("event_id") < 400).orderBy("ts").collect()
+    src, run = shared_path(spark, f"late_{uuid.uuid4().hex[:8]}"), uuid.uuid4().hex[:8]
+    put = lambda rows: spark.createDataFrame(rows, tables.PAYMENT_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    plans = wl.price_plans(spark)
+    put(events[200:])
+    first = jobs.payment_stream(spark, src, plans, tables.PAYMENT_EVENT_SCHEMA, run=run).count()
+    put(events[:200] + events[300:])            # weeks older than what was seen, and redeliveries
+    got = jobs.payment_stream(spark, src, plans, tables.PAYMENT_EVENT_SCHEMA, run=run)
+    want = wl.payment_credits(wl.parse_payment_events(spark.createDataFrame(events, tables.PAYMENT_EVENT_SCHEMA)), plans)
+    cols = ["event_id", "user_id", "tokens"] if "tokens" in want.columns else ["event_id", "user_id"]
+    rows = sorted(map(tuple, got.select(cols).collect()))
+    assert 0 < first < len(rows) and rows == sorted(map(tuple, want.select(cols).collect()))
+
+
 def test_payment_stream_drops_redeliveries(spark, sf):
     from candela.operators import wallet as wl
     from candela.sources import tables

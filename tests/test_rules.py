@@ -104,16 +104,38 @@ def test_payment_rules(spark):
     assert out["evt_5"].kind == "renewal" and out["evt_5"].amount_paid == 14.99
 
 
-def test_lexicon_map_and_join_paths_agree(spark, sf):
+def test_repeated_lexicon_tokens_add_up(spark, sf):
     from candela.sources import tables
     h, lex = tables.headlines(spark, sf), tables.lexicon(spark)
+    half = lex.withColumn("weight", F.col("weight") / 2)
     a = {r.doc_id: r.score for r in tx.headline_sentiment(h, lex).collect()}
-    saved, tx.MAP_LEXICON_MAX = tx.MAP_LEXICON_MAX, 0
-    try:
-        b = {r.doc_id: r.score for r in tx.headline_sentiment(h, lex).collect()}
-    finally:
-        tx.MAP_LEXICON_MAX = saved
-    assert a == b and len(a) > 0
+    b = {r.doc_id: r.score for r in tx.headline_sentiment(h, half.unionAll(half)).collect()}
+    assert a == b and len(a) == h.count()
+
+
+def test_waiting_predictions_do_not_block_others(spark):
+    """All scorable predictions of a user are scored, however many older ones still wait for a bar."""
+    import datetime
+
+    from candela.operators import scoring as sc
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [(i, 1, "NEVER", "$5", day(0)) for i in range(25)] + [(100 + i, 1, "A", "$10", day(i % 3)) for i in range(25)]
+    p = spark.createDataFrame(rows, "id long, user_id long, symbol string, predicted_result string, created_at timestamp_ntz")
+    bars = spark.createDataFrame([("A", day(n).date(), 10.0) for n in range(40)], "symbol string, d date, close double")
+    out = sc.accuracy_update(p, bars, day(60)).collect()
+    assert len(out) == 25 and {r.accuracy_pct for r in out} == {100.0}
+    assert sc.accuracy_update(p, bars, day(60), per_user=7).count() == 7
+
+
+def test_orders_never_fill_at_a_later_close(spark):
+    import datetime
+
+    from candela.operators import ledger as lg
+    d = lambda n: datetime.date(2024, 1, n)
+    bars = spark.createDataFrame([("A", d(2), 10.0), ("A", d(3), 99.0)], "symbol string, d date, close double")
+    orders = spark.createDataFrame([(1, "A", d(2)), (2, "A", d(3)), (3, "A", d(4)), (4, "A", d(9)), (5, "B", d(9))], "id long, symbol string, d date")
+    assert {r.id: r.price for r in lg.order_pricing(orders, bars).collect()} == {1: None, 2: 10.0, 3: 99.0, 4: 99.0, 5: None}
+
 
 
 def test_market_session_edges(spark):
