@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candela.operators import forecast as fc
-from candela.operators.indicators import select_group_cols
+from candela.operators.indicators import FEATURE_COLS, select_group_cols
+from candela.operators.snapshot import tail_rows
 from candela.plans.common import TIE_SHIFT, rounded, sql_round
 from candela.plans.registry import register
 from candela.plans.sql_parts import prefixed_feature_ctes, trimmed_ctes, with_ctes
@@ -80,6 +81,8 @@ def _trees(kind):
 register("forecast_forest")(_trees("forest"))
 register("forecast_extra_trees")(_trees("extra_trees"))
 register("forecast_gbt")(_trees("gbt"))
+register("forecast_gbt_xgb")(_trees("gbt_xgb"))
+register("forecast_gbt_lgb")(_trees("gbt_lgb"))
 
 
 def _holdout(spark, sf_dir):
@@ -93,9 +96,10 @@ def holdout_eval(spark, sf_dir):
 
 
 def _future(spark, sf_dir):
-    sc, m = _ridge(spark, sf_dir)
-    stats = fc.scaler_stats(_tset(spark, sf_dir), COLS)
-    return fc.forecast_rolling(tables.processed(spark, sf_dir), m, stats, COLS, HORIZON)
+    _, m = _ridge(spark, sf_dir)
+    stats = fc.scaler_stats(_tset(spark, sf_dir), COLS).checkpoint()
+    return fc.forecast_rolling(tables.processed(spark, sf_dir),
+                               lambda x: fc.ridge_predict(fc.scale_rows(x, stats, COLS), m, COLS), COLS, HORIZON)
 
 
 @register("forecast_rolling")
@@ -108,24 +112,13 @@ _STEP = trimmed_ctes() + prefixed_feature_ctes(
         ORDER BY d DESC) AS kk FROM ft) WHERE kk <= {fc.HISTORY}""", "w80_")
 
 
-@register("forecast_step_features", with_ctes(_STEP, f"""SELECT symbol, d, {', '.join(sql_round(c) + ' AS ' + c for c in COLS)}
+@register("forecast_step_features", with_ctes(_STEP, f"""SELECT symbol, d, {sql_round('close')} AS close,
+  {', '.join(sql_round(f'coalesce({c}, 0.0)') + ' AS ' + c for c in FEATURE_COLS)}
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS kk FROM w80_feat) WHERE kk = 1"""))
 def forecast_step_features(spark, sf_dir):
-    """Step features of the newest bar from each symbol's last 80 bars."""
-    from candela.operators.snapshot import tail_rows
-    t = tail_rows(tables.processed(spark, sf_dir).select("symbol", "d", "close", "high", "low", "volume"),
-                  fc.HISTORY)
-
-    def newest(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("d")
-        fr = fc.step_feature_frame(pdf["close"].reset_index(drop=True), pdf["high"].reset_index(drop=True),
-                                   pdf["low"].reset_index(drop=True), pdf["volume"].reset_index(drop=True))
-        last = fr.iloc[[-1]][COLS].reset_index(drop=True)
-        return pd.concat([pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "d": [pdf["d"].iloc[-1]]}), last], axis=1)
-
-    schema = "symbol string, d date, " + ", ".join(f"{c} double" for c in COLS)
-    return rounded(t.groupBy("symbol").applyInPandas(newest, schema=schema))
+    """All 52 step features of the newest bar, from each symbol's newest bars alone."""
+    bars = tables.processed(spark, sf_dir).select("symbol", "d", "open", "high", "low", "close", "volume")
+    return rounded(fc.step_features(tail_rows(bars, fc.HISTORY).drop("n", "pos"), FEATURE_COLS))
 
 
 @register("forecast_series")
