@@ -32,8 +32,9 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from candela.llm.common import U64, batch, in_bits, key_bits, rolling, slices, text_hash, texts
+from candela.llm.common import U64, batch, in_bits, key_bits, rolling, slices, text_hash, texts, with_row
 
 #: The pattern and the byte alphabet of the public byte-level BPE format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -161,7 +162,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        text_hash(F.col(text_col)).alias("text_hash"))
     text_only = docs.select(F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
     first = lambda b: b.column(0)
     of_row = lambda b: pc.struct_field(b.column(0), text_col)
 
@@ -239,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                         text_hash(F.col(text_col)).alias("text_hash"))
             .mapInArrow(uses, "doc_id long, text_hash long, seq int, h1 long, h2 long")
             .join(table, ["h1", "h2"]).select("doc_id", "text_hash", "seq", "ids"))
-    whole = (rows.mapInArrow(heavy, f"row {kind}, doc_id long, text_hash long")
+    whole = (rows.mapInArrow(heavy, with_row(rows, "doc_id long, text_hash long"))
              .withColumns({"seq": F.lit(None).cast("int"), "ids": F.lit(None).cast("binary"), "is_row": F.lit(True)}))
     keyed = (whole.unionByName(used.withColumns({"row": F.lit(None).cast(rows.schema["row"].dataType),
                                                  "is_row": F.lit(False)}))
@@ -264,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 out.append(encode_with(bpe, text[i], have))
             yield answer(b.column(0).take(pa.array(at, pa.int64())), out)
 
-    schema = f"row {kind}, ids array<int>"
+    schema = with_row(rows, "ids array<int>")
     return rows.select("row").mapInArrow(light, schema).unionByName(keyed.mapInArrow(assemble, schema))
 
 
@@ -281,8 +281,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 out = [bpe.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return encoded.mapInArrow(run, T.StructType(encoded.schema.fields).add("decoded", "string"))
 
 
 def split_text(text: bytes, limit: int) -> Iterator[bytes]:
@@ -318,4 +317,4 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", batch_bytes
                 ["row", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(run, with_row(rows, "n_bytes long, n_tokens long"))

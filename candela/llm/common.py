@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candela.session import checkpoint_dir, shared_path, ship_package
 
@@ -47,6 +48,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def with_row(rows: DataFrame, ddl: str) -> T.StructType:
+    """Schema of the struct column ``row`` of ``rows``, whatever its field names, followed by ``ddl``."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(ddl).fields])
+
+
 def batch(schema: dict[str, pa.DataType], columns: dict[str, object]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns[k], (pa.Array, pa.ChunkedArray))
                                        else pa.array(columns[k], t) for k, t in schema.items()], list(schema))

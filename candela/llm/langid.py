@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import batch, slices, text_hash, texts
+from candela.llm.common import batch, slices, text_hash, texts, with_row
 
 UNDETERMINED = "und"
 BUCKET_BITS = 12
@@ -37,10 +37,11 @@ def features(text: bytes) -> np.ndarray:
     """Counts of the hashed byte trigrams of a whole text, case folded, white space aside."""
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     folded = text.decode().lower().encode().translate(_FOLD) if text else b""
+    padded = b" " + folded + b" "
     for at in range(0, len(folded), _PIECE):
-        b = np.frombuffer(b"  " + folded[at:at + _PIECE + 2] + b" ", np.uint8)[1 if at else 0:].astype(np.uint32)
+        b = np.frombuffer(padded[at:at + _PIECE + 2], np.uint8).astype(np.uint32)
         code = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-        code = code[(b[1:-1] != 32)]
+        code = code[b[1:-1] != 32]
         out += np.bincount((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
     return out
 
@@ -175,8 +176,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_abo
                  pa.array([x[2] > ambiguous_above for x in found], pa.bool_())],
                 ["row", "lang_pred", "score", "lang_second_score", "ambiguous"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, "
-                                "lang_second_score double, ambiguous boolean")
+    return rows.mapInArrow(run, with_row(rows, "lang_pred string, score double, lang_second_score double, ambiguous boolean"))
 
 
 def held_out(id_col: str = "doc_id"):

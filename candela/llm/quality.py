@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import U64, WordHash, rolling, slices, texts
+from candela.llm.common import U64, WordHash, rolling, slices, texts, with_row
 
 SPAN = 8
 _SLICE = 8 << 20
@@ -88,7 +88,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null texts have no words. base_failed: under 20 words, or over 30 % of them in repeated spans.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row"),
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row"),
                        F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
                  *(pa.array(found[:, i]) for i in range(len(COUNTS), found.shape[1]))], ["row", *COUNTS, *GRID])
 
     fields = [f"{c} long" for c in COUNTS] + [f"{r} double" for r in GRID]
-    return (rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {', '.join(fields)}")
+    return (rows.mapInArrow(run, with_row(rows, ", ".join(fields)))
             .withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")))
 
 
@@ -149,9 +149,9 @@ def thresholds(measured: DataFrame, labelled: DataFrame, stratum, risk: float =
         held[:, c["fails"]] += (c["g"], c["b"])
     out = []
     for (name, rule), held in table.items():
-        beyond = held[:, ::-1].cumsum(1)[:, ::-1]          # texts that fail at least so many cutoffs
-        at = choose(beyond[0, 1:].tolist(), beyond[1, 1:].tolist(), int(beyond[0, 0]), int(beyond[1, 0]),
-                    risk / len(GRID), error / len(table))
+        # A text that fails f cutoffs fails the f strictest: the loosest of m is failed by those with f = m.
+        (good, bad), (n_good, n_bad) = held[:, ::-1].cumsum(1).tolist(), held.sum(1).tolist()
+        at = choose(good[:-1], bad[:-1], n_good, n_bad, risk / len(GRID), error / len(table))
         if at is not None:
             out.append((name, rule, GRID[rule][at]))
     return measured.sparkSession.createDataFrame(out, "stratum string, rule string, cutoff double")
