@@ -281,7 +281,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 out = [bpe.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType(encoded.schema.fields).add("decoded", "string"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def split_text(text: bytes, limit: int) -> Iterator[bytes]:

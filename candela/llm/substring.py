@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candela.llm.common import (U64, batch, cut, in_bits, key_bits, mix, powers, rolling, slices, text_hash, texts,
-                                word_hashes)
+                                with_row, word_hashes)
 
 _ROWS = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))   # odd: one hash per sketch row
 _SEGMENT = 17                                              # a sketch segment has 2^17 counters
@@ -183,7 +183,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 "substring_spans")
     # A place is known by the top bits of text_hash xor (lo << 40); one place stands for its class.
     place = F.expr("text_hash ^ shiftleft(cast(lo as bigint), 40)")
-    classes = found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    # Written, so that the joins below exchange both sides and a class of very many places can be split.
+    classes = cut(found.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")),
+                  "substring_classes")
     whole = (found.join(classes.filter("n > 1"), ["gram", "span"], "left_semi")
              .select("doc_id", "text_hash", "lo", "hi"))
     mixed = (classes.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least"))
@@ -207,7 +209,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                     "lo": (begin + offset[doc] - a.first[doc]).astype(np.int32)})
 
     single = cut(rows.mapInArrow(windows, "h1 long, h2 long, doc_id long, text_hash long, lo int"), "substring_windows")
-    twice_met = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice_met = cut(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"),
+                    "substring_repeated")
     marks = (single.join(twice_met, ["h1", "h2"], "left_semi")
              .select("doc_id", "text_hash", "lo", F.col("lo").alias("hi")))
     return whole.unionAll(marks)
@@ -224,7 +227,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, window, gram, bits)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        text_hash(F.col(text_col)).alias("text_hash"))
-    kind = rows.schema["row"].dataType.simpleString()
     both = (rows.withColumns({"lo": F.lit(None).cast("int"), "hi": F.lit(None).cast("int"), "is_row": F.lit(True)})
             .unionByName(spans.withColumns({"row": F.lit(None).cast(rows.schema["row"].dataType),
                                                        "is_row": F.lit(False)})))
@@ -265,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [b.column(5).take(pa.array(at)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                      pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept_text"])
 
-    return keyed.mapInArrow(apply, f"row {kind}, n_words long, n_removed long, kept_text string")
+    return keyed.mapInArrow(apply, with_row(rows, "n_words long, n_removed long, kept_text string"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
