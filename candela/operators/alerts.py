@@ -50,18 +50,18 @@ def alert_check_summary(checked: DataFrame) -> DataFrame:
 def alert_notifications(checked: DataFrame, users: DataFrame, as_of) -> DataFrame:
     """Subject and body text for every fired alert (delivery stays outside)."""
     f = checked.filter("fired").join(users.select("user_id", "name"), "user_id", "left")
-    word = F.when(F.col("direction") == "above", "risen above").otherwise("fallen below")
+    word = F.when(F.col("direction") == "above", "at or above").otherwise("at or below")
     tgt = F.format_number(F.col("target_price"), 2)
     cur = F.format_number(F.col("current_price"), 2)
-    subject = F.format_string("[Alerts] Price Alert: %s %s $%s", F.col("symbol"), word, tgt)
+    subject = F.format_string("Target reached: %s %s $%s", F.col("symbol"), word, tgt)
     note = F.when(F.coalesce(F.col("note"), F.lit("")) != "",
-                  F.format_string("  Your note:     %s\n", F.col("note"))).otherwise(F.lit(""))
+                  F.format_string("note    %s\n", F.col("note"))).otherwise(F.lit(""))
     body = F.concat(
-        F.format_string("Hi %s,\n\nYour price alert for %s has been triggered.\n\n", F.col("name"), F.col("symbol")),
-        F.format_string("  Alert:         %s %s $%s\n", F.col("symbol"), word, tgt),
-        F.format_string("  Current Price: $%s\n", cur),
+        F.format_string("For %s: %s reached a target price.\n\n", F.col("name"), F.col("symbol")),
+        F.format_string("target  %s %s $%s\n", F.col("symbol"), word, tgt),
+        F.format_string("close   $%s\n", cur),
         note,
-        F.format_string("\n  Triggered at:  %s UTC\n", F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm")))
+        F.format_string("at      %s UTC\n", F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm")))
     return f.select("id", "user_id", "symbol", subject.alias("subject"), body.alias("body"))
 
 
@@ -79,7 +79,7 @@ def alert_list(alerts: DataFrame) -> DataFrame:
                     F.col("n").alias("total_count")))
 
 
-def alert_validation(requests: DataFrame, alerts: DataFrame, universe: list[str]) -> DataFrame:
+def alert_validation(requests: DataFrame, alerts: DataFrame, universe: DataFrame) -> DataFrame:
     """Validate alert requests (id, user_id, symbol, direction, target_price, note).
 
     Symbol upper-cased and known, direction above/below, target a positive
@@ -92,9 +92,11 @@ def alert_validation(requests: DataFrame, alerts: DataFrame, universe: list[str]
     tgt = F.col("target_price").cast("string").try_cast("double")
     r = requests.select("id", "user_id", sym.alias("symbol"), dirn.alias("direction"), tgt.alias("_t"),
                         F.trim(F.substring(F.coalesce(F.col("note").cast("string"), F.lit("")), 1, MAX_NOTE)).alias("note"))
-    reason = (F.when(~F.col("symbol").isin(universe), "Invalid ticker.")
-              .when(~F.col("direction").isin("above", "below"), "direction must be 'above' or 'below'.")
-              .when(F.col("_t").isNull() | (F.col("_t") <= 0), "Invalid target price."))
+    known = universe.select("symbol", F.lit(True).alias("_known")).distinct()
+    r = r.join(known, "symbol", "left")
+    reason = (F.when(F.col("_known").isNull(), "unknown symbol")
+              .when(~F.col("direction").isin("above", "below"), "unknown direction")
+              .when(F.col("_t").isNull() | (F.col("_t") <= 0), "target price must be a positive number"))
     r = r.withColumn("_err", reason)
     active = (alerts.filter(F.col("status") == "active").groupBy("user_id")
               .agg(F.count(F.lit(1)).alias("_active")))
@@ -108,7 +110,7 @@ def alert_validation(requests: DataFrame, alerts: DataFrame, universe: list[str]
     out = r.join(taken, "id", "left")
     status = (F.when(F.col("_err").isNotNull(), F.col("_err"))
               .when(F.col("_taken"), F.lit("created"))
-              .otherwise(F.lit(f"You can create a maximum of {MAX_ALERTS_PER_USER} active alerts.")))
+              .otherwise(F.lit(f"limit of {MAX_ALERTS_PER_USER} active alerts reached")))
     return out.select("id", "user_id", "symbol", "direction",
                       F.when(F.col("_err").isNull(), rnd(F.col("_t"), 6)).alias("target_price"),
                       F.when(F.col("note") != "", F.col("note")).alias("note"), status.alias("status"))

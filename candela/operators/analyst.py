@@ -66,24 +66,43 @@ def _p1(pred: DataFrame) -> DataFrame:
 
 
 def nb_text_class(labelled: DataFrame, label_col: str = "quality", smoothing: float = 1.0,
-                  vocab_size: int = 1 << 16, min_df: float = 2.0, score: DataFrame | None = None) -> DataFrame:
-    """Multinomial naive Bayes with Laplace smoothing on token counts, fitted
-    on the labelled rows; scores ``score`` (default: the labelled rows) with
-    prediction and P(class 1)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import CountVectorizer
-    data = labelled.withColumn("label", F.col(label_col).cast("double"))
-    pipe = Pipeline(stages=[
-        _tokens(),
-        CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size, minDF=min_df),
-        NaiveBayes(smoothing=smoothing, modelType="multinomial")])
-    return _p1(pipe.fit(data).transform(score if score is not None else data))
+                  score: DataFrame | None = None) -> DataFrame:
+    """Multinomial naive Bayes with Laplace smoothing on token counts, in grouped sums.
+
+    Fitted on the labelled rows (0 or 1) over every token they hold; scores ``score``
+    (default: the labelled rows) with prediction and P(class 1). Tokens that
+    training never met say nothing. The model is a table (token, weight) and
+    one row of priors; documents meet it in an equi-join on the token.
+    """
+    from candela.operators.text import tokens
+    y = F.col(label_col).cast("int")
+    train = labelled.filter(y.isin(0, 1)).select(y.alias("y"), F.col("text"))
+    counts = (train.select("y", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token")
+              .agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")))
+    total = counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count(F.lit(1)).alias("v"))
+    prior = train.agg(F.log(F.count_if(F.col("y") == 1) / F.count_if(F.col("y") == 0)).alias("b"))
+    t1, t0, v = (total.select(c).scalar() for c in ("t1", "t0", "v"))
+    s = F.lit(float(smoothing))
+    weights = counts.select("token", (F.log((F.col("n1") + s) / (t1 + s * v)) - F.log((F.col("n0") + s) / (t0 + s * v))).alias("w"))
+    docs = score if score is not None else labelled
+    seen = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(
+        F.count(F.lit(1)).alias("n"))
+    odds = seen.join(weights, "token").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("w")).alias("odds"))
+    z = F.coalesce(F.col("odds"), F.lit(0.0)) + prior.scalar()
+    p = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -z))))
+    keep = [F.col(label_col).cast("double").alias("label")] if label_col in docs.columns else []
+    return (docs.select("doc_id", *keep).join(odds, "doc_id", "left")
+            .select("doc_id", *[c for c in ("label",) if keep], F.when(z > 0, 1.0).otherwise(0.0).alias("prediction"),
+                    p.alias("p_positive")))
 
 
 def tfidf_logreg(labelled: DataFrame, label_col: str = "quality", num_features: int = 1 << 18,
                  max_iter: int = 100, reg: float = 0.01, score: DataFrame | None = None) -> DataFrame:
-    """Hashed term frequencies, IDF weighting and logistic regression."""
+    """Hashed term frequencies, IDF weighting and logistic regression.
+
+    Every term takes part; ``num_features`` is the number of hash buckets, a
+    parameter of the model (terms that share a bucket share a weight).
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
@@ -91,7 +110,7 @@ def tfidf_logreg(labelled: DataFrame, label_col: str = "quality", num_features:
     pipe = Pipeline(stages=[
         _tokens(),
         HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="features", minDocFreq=2),
+        IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(maxIter=max_iter, regParam=reg)])
     return _p1(pipe.fit(data).transform(score if score is not None else data))
 

@@ -58,7 +58,7 @@ def user_history(transactions: DataFrame, predictions: DataFrame, n_tx: int = 50
     return tx.unionByName(pr)
 
 
-def watchlist_upsert(watchlist: DataFrame, requests: DataFrame, universe: list[str]) -> DataFrame:
+def watchlist_upsert(watchlist: DataFrame, requests: DataFrame, universe: DataFrame) -> DataFrame:
     """Apply add/remove requests (user_id, symbol, action, ts) to a watchlist.
 
     Batch form of the one-request-at-a-time rule: the newest request per
@@ -68,7 +68,7 @@ def watchlist_upsert(watchlist: DataFrame, requests: DataFrame, universe: list[s
     """
     seq = [F.col("seq")] if "seq" in requests.columns else []
     req = requests.select("user_id", F.upper(F.trim("symbol")).alias("symbol"), "action", "ts", *seq) \
-        .filter(F.col("symbol").isin(universe))
+        .join(universe.select("symbol").distinct(), "symbol", "left_semi")
     order = F.struct("ts", *seq)
     last = (req.groupBy("user_id", "symbol")
             .agg(F.max_by("action", order).alias("action"), F.max("ts").alias("ts")))

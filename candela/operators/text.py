@@ -99,7 +99,7 @@ def intent_route(messages: DataFrame, msg_col: str = "message") -> DataFrame:
             hit = c if hit is None else (hit | c)
         intent = F.when(hit, F.lit(name)).otherwise(intent)
         link = F.when(hit, F.lit(url)).otherwise(link)
-    err = (F.when(F.length(m) == 0, "Message is required.")
-           .when(F.length(m) > MAX_MESSAGE, "Message is too long. Keep it under 600 characters."))
+    err = (F.when(F.length(m) == 0, "empty message")
+           .when(F.length(m) > MAX_MESSAGE, "over 600 characters"))
     return messages.select("*", F.when(err.isNull(), intent).alias("intent"),
                            F.when(err.isNull(), link).alias("link"), err.alias("error"))

@@ -49,16 +49,16 @@ def alert_check_summary(spark, sf_dir):
     return al.alert_check_summary(_checked(spark, sf_dir))
 
 
-_WORD = "CASE WHEN direction = 'above' THEN 'risen above' ELSE 'fallen below' END"
+_WORD = "CASE WHEN direction = 'above' THEN 'at or above' ELSE 'at or below' END"
 
 
 @register("alert_notifications", q(f"""SELECT id, user_id, symbol,
-  printf('[Alerts] Price Alert: %s %s $%s', symbol, {_WORD}, format('{{:,.2f}}', target_price)) AS subject,
-  printf('Hi %s,\n\nYour price alert for %s has been triggered.\n\n', name, symbol)
-  || printf('  Alert:         %s %s $%s\n', symbol, {_WORD}, format('{{:,.2f}}', target_price))
-  || printf('  Current Price: $%s\n', format('{{:,.2f}}', current_price))
-  || CASE WHEN coalesce(note, '') <> '' THEN printf('  Your note:     %s\n', note) ELSE '' END
-  || printf('\n  Triggered at:  %s UTC\n', strftime({ASOF}, '%Y-%m-%d %H:%M')) AS body
+  printf('Target reached: %s %s $%s', symbol, {_WORD}, format('{{:,.2f}}', target_price)) AS subject,
+  printf('For %s: %s reached a target price.\n\n', name, symbol)
+  || printf('target  %s %s $%s\n', symbol, {_WORD}, format('{{:,.2f}}', target_price))
+  || printf('close   $%s\n', format('{{:,.2f}}', current_price))
+  || CASE WHEN coalesce(note, '') <> '' THEN printf('note    %s\n', note) ELSE '' END
+  || printf('at      %s UTC\n', strftime({ASOF}, '%Y-%m-%d %H:%M')) AS body
   FROM chk LEFT JOIN (SELECT c_custkey AS user_id, c_name AS name FROM customer) u USING (user_id) WHERE fired"""))
 def alert_notifications(spark, sf_dir):
     return al.alert_notifications(_checked(spark, sf_dir), tables.users(spark, sf_dir), tables.as_of(spark, sf_dir))
@@ -76,9 +76,9 @@ _REQ = ("req", f"""SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS user_i
   upper(trim(lower({symbol_of('c_custkey')}))) AS symbol,
   lower(trim(CASE WHEN c_custkey % 11 = 0 THEN 'sideways' WHEN c_custkey % 2 = 0 THEN ' Above ' ELSE 'below' END)) AS direction,
   c_acctbal AS t, trim(substr(c_name, 1, 200)) AS note FROM customer""")
-_VAL = ("val", """SELECT *, CASE WHEN NOT list_contains(['A-F','A-O','N-F','N-O','R-F','R-O'], symbol) THEN 'Invalid ticker.'
-  WHEN direction NOT IN ('above', 'below') THEN 'direction must be ''above'' or ''below''.'
-  WHEN t IS NULL OR t <= 0 THEN 'Invalid target price.' END AS err FROM req""")
+_VAL = ("val", """SELECT *, CASE WHEN symbol NOT IN (SELECT DISTINCT l_returnflag || '-' || l_linestatus FROM lineitem) THEN 'unknown symbol'
+  WHEN direction NOT IN ('above', 'below') THEN 'unknown direction'
+  WHEN t IS NULL OR t <= 0 THEN 'target price must be a positive number' END AS err FROM req""")
 _TAKEN = ("taken", """SELECT id FROM (SELECT v.id, row_number() OVER (PARTITION BY v.user_id ORDER BY v.id) AS k,
   coalesce(a.act, 0) AS act FROM val v LEFT JOIN (SELECT user_id, count(*) AS act FROM alerts WHERE status = 'active' GROUP BY user_id) a
   USING (user_id) WHERE v.err IS NULL) WHERE k <= 20 - act""")
@@ -87,7 +87,7 @@ _TAKEN = ("taken", """SELECT id FROM (SELECT v.id, row_number() OVER (PARTITION
 @register("alert_validation", q("""SELECT id, user_id, symbol, direction,
   CASE WHEN err IS NULL THEN round(t + 1e-9, 6) END AS target_price, CASE WHEN note <> '' THEN note END AS note,
   CASE WHEN err IS NOT NULL THEN err WHEN id IN (SELECT id FROM taken) THEN 'created'
-       ELSE 'You can create a maximum of 20 active alerts.' END AS status FROM val""", [_REQ, _VAL, _TAKEN]))
+       ELSE 'limit of 20 active alerts reached' END AS status FROM val""", [_REQ, _VAL, _TAKEN]))
 def alert_validation(spark, sf_dir):
     return rounded(al.alert_validation(tables.alert_requests(spark, sf_dir), tables.alerts(spark, sf_dir),
                                        tables.universe(spark, sf_dir)))

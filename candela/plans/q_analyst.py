@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.operators import analyst as an
 from candela.operators.snapshot import tail_rows
-from candela.plans.common import rounded
+from candela.plans.common import rounded, sql_round
 from candela.plans.registry import register
 from candela.plans.sql_parts import trimmed_ctes, with_ctes
 from candela.sources import tables
@@ -33,14 +33,31 @@ def rule_expert(spark, sf_dir):
     return rounded(out.select("symbol", "d", "rule_score", "rules_fired", "rule_decision", "rule_signal"))
 
 
-@register("nb_text_class")
+def _documents(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+_NB = [("tok", r"""SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda t: t <> '')) AS token
+        FROM documents"""),
+       ("cnt", """SELECT token, count(*) FILTER (quality = 1) AS n1, count(*) FILTER (quality = 0) AS n0
+        FROM tok JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY token"""),
+       ("tot", "SELECT sum(n1)::DOUBLE AS t1, sum(n0)::DOUBLE AS t0, count(*) AS v FROM cnt"),
+       ("wts", "SELECT token, ln((n1 + 1.0::DOUBLE) / (t1 + v)) - ln((n0 + 1.0::DOUBLE) / (t0 + v)) AS w FROM cnt, tot"),
+       ("pri", "SELECT ln(count(*) FILTER (quality = 1) / count(*) FILTER (quality = 0)) AS b FROM labels JOIN documents USING (doc_id)"),
+       ("odd", "SELECT doc_id, sum(w) AS o FROM tok JOIN wts USING (token) GROUP BY doc_id"),
+       ("nb", "SELECT doc_id, coalesce(o, 0.0) + b AS z FROM documents LEFT JOIN odd USING (doc_id), pri")]
+
+
+@register("nb_text_class", with_ctes(_NB, f"""SELECT doc_id, CASE WHEN z > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS prediction,
+  {sql_round('1 / (1 + exp(greatest(-700.0, least(700.0, -z))))')} AS p_positive FROM nb"""))
 def nb_text_class(spark, sf_dir):
-    return an.nb_text_class(tables.labelled_text(spark, sf_dir))
+    """Fitted on the labelled documents, scores all of them."""
+    return rounded(an.nb_text_class(tables.labelled_text(spark, sf_dir), score=_documents(spark, sf_dir)))
 
 
 @register("tfidf_logreg")
 def tfidf_logreg(spark, sf_dir):
-    return an.tfidf_logreg(tables.labelled_text(spark, sf_dir))
+    return an.tfidf_logreg(tables.labelled_text(spark, sf_dir), score=_documents(spark, sf_dir))
 
 
 @register("ensemble_vote")

@@ -123,17 +123,17 @@ _RISK = ("CASE WHEN max_drawdown >= 20 OR sharpe < 0 THEN 'HIGH' "
 
 
 @register("backtest_explain", with_ctes(bt_ctes(DEFAULT), f"""SELECT {K}, edge AS edge_vs_buy_hold, {_RISK} AS risk,
-  CASE WHEN edge > 3 THEN printf('The strategy beat buy-and-hold by %+.2f%% on %s.', edge, symbol)
-       WHEN edge < -3 THEN printf('The strategy lagged buy-and-hold by %+.2f%%, so the rules may be too defensive for this period.', edge)
-       ELSE 'The strategy performed close to buy-and-hold; the edge is not strong enough by itself.' END AS summary,
-  concat_ws(' ', printf('Win rate is %s%% across %d trades.', CAST(win_rate AS VARCHAR), trade_count),
-    printf('Max drawdown is %s%%, giving the run a %s risk profile.', CAST(max_drawdown AS VARCHAR), lower({_RISK})),
-    printf('Sharpe ratio is %s, so risk-adjusted quality is %s.', CAST(sharpe AS VARCHAR),
+  CASE WHEN edge > 3 THEN printf('Edge of %+.2f%% over holding %s.', edge, symbol)
+       WHEN edge < -3 THEN printf('Edge of %+.2f%%: holding paid more.', edge)
+       ELSE 'No clear edge over holding.' END AS summary,
+  concat_ws(' ', printf('%s%% of %d trades won.', CAST(win_rate AS VARCHAR), trade_count),
+    printf('Largest fall %s%% (%s risk).', CAST(max_drawdown AS VARCHAR), lower({_RISK})),
+    printf('Sharpe %s (%s).', CAST(sharpe AS VARCHAR),
            CASE WHEN sharpe >= 1 THEN 'strong' WHEN sharpe < 0 THEN 'weak' ELSE 'moderate' END)) AS notes,
-  coalesce(nullif(concat_ws(' ', CASE WHEN trade_count < 5 THEN 'Use a longer lookback before trusting the result.' END,
-    CASE WHEN max_drawdown >= 15 THEN 'Try shorter horizons or disable short selling to reduce drawdown.' END,
-    CASE WHEN win_rate < 45 THEN 'Tighten entries with RSI or trend confirmation.' END), ''),
-    'Compare the same setup across 30d and 90d horizons before scaling it.') AS suggestions
+  coalesce(nullif(concat_ws(' ', CASE WHEN trade_count < 5 THEN 'Too few trades: lengthen the lookback.' END,
+    CASE WHEN max_drawdown >= 15 THEN 'Deep falls: shorten the horizon or turn shorts off.' END,
+    CASE WHEN win_rate < 45 THEN 'Few wins: ask for a stronger entry signal.' END), ''),
+    'Repeat with horizons of 30 and 90 before relying on it.') AS suggestions
   FROM (SELECT *, {R('total_return - bah_return', 2)} AS edge FROM summ)"""))
 def backtest_explain(spark, sf_dir):
     return rounded(bt.backtest_explain(bt.backtest_summary(_series(spark, sf_dir), DEFAULT)))

@@ -53,7 +53,7 @@ _WREQ = ("wreq", f"""SELECT user_id, {symbol_of('event_id')} AS symbol,
   CASE WHEN event_type = 'click' THEN 'add' ELSE 'remove' END AS action, ts, event_id AS seq
   FROM events WHERE event_type IN ('click', 'error')""")
 _WLAST = ("wlast", """SELECT user_id, symbol, arg_max(action, (ts, seq)) AS action, max(ts) AS ts FROM wreq
-  WHERE list_contains(['A-F','A-O','N-F','N-O','R-F','R-O'], symbol) GROUP BY user_id, symbol""")
+  WHERE symbol IN (SELECT DISTINCT l_returnflag || '-' || l_linestatus FROM lineitem) GROUP BY user_id, symbol""")
 _WKEPT = ("wkept", """SELECT w.user_id, w.symbol, w.added_at FROM watch w
   WHERE NOT EXISTS (SELECT 1 FROM wlast l WHERE l.user_id = w.user_id AND l.symbol = w.symbol AND l.action = 'remove')""")
 _WADD = ("wadd", """SELECT l.user_id, l.symbol, l.ts AS added_at FROM wlast l WHERE l.action = 'add'

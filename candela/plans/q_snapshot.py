@@ -202,9 +202,9 @@ def screener(spark, sf_dir):
   CASE WHEN coalesce(er, 0) > 1 THEN 'upside' WHEN coalesce(er, 0) < -1 THEN 'downside' ELSE 'flat' END AS direction,
   {risk_sql('er')} AS risk,
   CASE WHEN trend <> 'mixed' AND {risk_sql('er')} <> 'HIGH' THEN 'HIGH' WHEN {risk_sql('er')} <> 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
-  CASE WHEN coalesce(er, 0) > 1 THEN symbol || ' shows a positive 14-day setup, but confirmation should come from trend and risk controls.'
-       WHEN coalesce(er, 0) < -1 THEN symbol || ' has negative pressure in the 14-day forecast, so capital protection matters more than entry timing.'
-       ELSE symbol || ' is close to neutral for the 14-day horizon; the setup needs a cleaner signal.' END AS summary
+  CASE WHEN coalesce(er, 0) > 1 THEN symbol || ': forecast up over 14 days.'
+       WHEN coalesce(er, 0) < -1 THEN symbol || ': forecast down over 14 days.'
+       ELSE symbol || ': forecast flat over 14 days.' END AS summary
   FROM (SELECT snap.*, fc.prediction,
         CASE WHEN fc.prediction IS NOT NULL AND fc.prediction <> 0 AND price <> 0
              THEN {R('(fc.prediction - price) / price * 100', 2)} END AS er
@@ -225,11 +225,11 @@ _PI = [WATCH, ("items", f"""SELECT w.user_id, w.symbol, w.added_at, s.*, {score_
 
 
 @register("portfolio_insight", snap_query("""SELECT *,
-  printf('%d/%d tracked instruments are in bullish trend. %s has the strongest blended score, while %s carries the highest volatility risk.',
+  printf('%d of %d in bullish trend; best score %s, most volatile %s.',
          bullish_count, n_items, best_symbol, riskiest_symbol) AS summary,
-  concat_ws(' ', CASE WHEN high_risk_count > 0 THEN printf('Review position sizing on %d high-risk instrument(s).', high_risk_count) END,
-    printf('Watch %s for continuation if price stays above SMA20.', best_symbol),
-    CASE WHEN riskiest_symbol <> best_symbol THEN printf('Use tighter alerts on %s because volatility is %s%%.', riskiest_symbol, CAST(riskiest_volatility AS VARCHAR)) END) AS actions
+  concat_ws(' ', CASE WHEN high_risk_count > 0 THEN printf('High risk: %d held.', high_risk_count) END,
+    printf('Follow %s while above its SMA20.', best_symbol),
+    CASE WHEN riskiest_symbol <> best_symbol THEN printf('Set close alerts on %s (volatility %s%%).', riskiest_symbol, CAST(riskiest_volatility AS VARCHAR)) END) AS actions
   FROM pg""", _PI))
 def portfolio_insight(spark, sf_dir):
     return rounded(snp.portfolio_insight(tables.watchlist(spark, sf_dir), _snap(spark, sf_dir)))

@@ -48,8 +48,8 @@ def _intent_sql() -> str:
     return f"""SELECT conv_id, turn, message,
       CASE WHEN err IS NULL THEN CASE {' '.join(case_i)} ELSE 'help' END END AS intent,
       CASE WHEN err IS NULL THEN CASE {' '.join(case_l)} ELSE NULL END END AS link, err AS error
-      FROM (SELECT *, lower(m) AS low, CASE WHEN length(m) = 0 THEN 'Message is required.'
-              WHEN length(m) > 600 THEN 'Message is too long. Keep it under 600 characters.' END AS err
+      FROM (SELECT *, lower(m) AS low, CASE WHEN length(m) = 0 THEN 'empty message'
+              WHEN length(m) > 600 THEN 'over 600 characters' END AS err
             FROM (SELECT conv_id, turn, message, regexp_replace(coalesce(message, ''), '^\\s+|\\s+$', '', 'g') AS m
                   FROM (SELECT conv_id, turn, text AS message FROM conversations WHERE role = 'user'
                         UNION ALL SELECT * FROM (VALUES {extra}) v(conv_id, turn, message))))"""

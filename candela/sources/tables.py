@@ -215,9 +215,9 @@ def latest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("symbol", parse_price(F.col("_r")).alias("prediction")))
 
 
-def universe(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The instrument universe of the fixture: the six bar symbols, in order."""
-    return list(SYMBOLS_BY_INDEX)
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instrument universe: every symbol that has bars."""
+    return bars(spark, sf_dir).select("symbol").distinct()
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> F.Column:

@@ -62,8 +62,8 @@ def test_intent_route_backtest_question(spark):
     msgs = spark.createDataFrame([("Allow short selling nedir?",), ("",), ("x" * 601,), ("hi",)], "message string")
     out = tx.intent_route(msgs).toPandas()
     assert out["intent"].tolist()[0] == "backtest" and out["link"].tolist()[0] == "/backtest"
-    assert out["error"].tolist()[1] == "Message is required."
-    assert out["error"].tolist()[2].startswith("Message is too long")
+    assert out["error"].tolist()[1] == "empty message"
+    assert out["error"].tolist()[2].startswith("over 600")
     assert out["intent"].tolist()[3] == "help"
 
 

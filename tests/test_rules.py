@@ -52,13 +52,13 @@ def test_alert_validation_statuses_and_cap(spark):
         (104, 8, "a-f", "sideways", "5", None),
         (105, 8, "a-f", "above", "-1", None)],
         "id long, user_id long, symbol string, direction string, target_price string, note string")
-    out = {r.id: r for r in al.alert_validation(reqs, alerts, ["A-F", "N-O", "R-F"]).collect()}
+    out = {r.id: r for r in al.alert_validation(reqs, alerts, spark.createDataFrame([("A-F",), ("N-O",), ("R-F",)], "symbol string")).collect()}
     assert out[100].status == "created" and out[100].target_price == 12.345679 and len(out[100].note) == 200
     assert out[101].status == "created" and out[101].note is None
-    assert out[102].status.startswith("You can create a maximum of 20")
-    assert out[103].status == "Invalid ticker."
-    assert out[104].status.startswith("direction must be")
-    assert out[105].status == "Invalid target price."
+    assert out[102].status.startswith("limit of 20")
+    assert out[103].status == "unknown symbol"
+    assert out[104].status.startswith("unknown direction")
+    assert out[105].status == "target price must be a positive number"
 
 
 def test_watchlist_cap_of_thirty(spark):
@@ -70,7 +70,7 @@ def test_watchlist_cap_of_thirty(spark):
          (1, "S37", "add", None, 4), (1, "S37", "remove", None, 5)],
         "user_id long, symbol string, action string, ts timestamp_ntz, seq long")
     reqs = reqs.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,seq)"))
-    out = {r.symbol for r in rp.watchlist_upsert(watch, reqs, uni).collect()}
+    out = {r.symbol for r in rp.watchlist_upsert(watch, reqs, spark.createDataFrame([(u,) for u in uni], "symbol string")).collect()}
     assert "S3" not in out and "S37" not in out and len(out) == 30
     assert "S35" in out and "S36" in out
 
