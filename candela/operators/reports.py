@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalar import rnd
+from candela.functions.windows import prefix_sum_min
 
 MAX_WATCHLIST = 30
 
@@ -58,29 +62,66 @@ def user_history(transactions: DataFrame, predictions: DataFrame, n_tx: int = 50
     return tx.unionByName(pr)
 
 
-def watchlist_upsert(watchlist: DataFrame, requests: DataFrame, universe: DataFrame) -> DataFrame:
-    """Apply add/remove requests (user_id, symbol, action, ts) to a watchlist.
+def _watchlist_fold(cap: int):
+    """Requests of one user after the other, in order; ``held0`` is the list before the first."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, held = object(), set()
+        for pdf in batches:
+            out = []
+            for u, symbol, action, held0 in zip(pdf["user_id"].tolist(), pdf["symbol"].tolist(), pdf["action"].tolist(),
+                                                pdf["held0"].tolist()):
+                if u != user:
+                    user, held = u, set(held0)
+                if action == "add":
+                    out.append("already there" if symbol in held else "full" if len(held) >= cap else "added")
+                    if out[-1] == "added":
+                        held.add(symbol)
+                else:
+                    out.append("removed" if symbol in held else "not found")
+                    held.discard(symbol)
+            yield pdf.drop(columns="held0").assign(outcome=out)
+    return run
+
+
+def watchlist_events(watchlist: DataFrame, requests: DataFrame, universe: DataFrame, cap: int = MAX_WATCHLIST) -> DataFrame:
+    """Every add / remove request (user_id, symbol, action, ts, seq) with its outcome, applied in the order of (ts, seq).
 
-    Batch form of the one-request-at-a-time rule: the newest request per
-    (user, symbol) decides; known symbols only; items added are taken in time
-    order while the user's list holds fewer than 30 (a grouped top-k).
-    Returns the new watchlist (user_id, symbol, added_at).
+    Outcomes: added, already there, full, removed, not found, invalid (symbol
+    outside the universe). Without the cap a request depends only on the
+    one before it for the same item, which a window gives; the list sizes are a
+    two-level running sum. Only users whose list would grow beyond ``cap``
+    are folded request by request (a streamed fold; the state is at most ``cap`` symbols).
     """
-    seq = [F.col("seq")] if "seq" in requests.columns else []
-    req = requests.select("user_id", F.upper(F.trim("symbol")).alias("symbol"), "action", "ts", *seq) \
-        .join(universe.select("symbol").distinct(), "symbol", "left_semi")
-    order = F.struct("ts", *seq)
-    last = (req.groupBy("user_id", "symbol")
-            .agg(F.max_by("action", order).alias("action"), F.max("ts").alias("ts")))
-    removes = last.filter(F.col("action") == "remove").select("user_id", "symbol")
-    kept = watchlist.select("user_id", "symbol", "added_at").join(removes, ["user_id", "symbol"], "left_anti")
-    adds = (last.filter(F.col("action") == "add")
-            .join(watchlist.select("user_id", "symbol"), ["user_id", "symbol"], "left_anti")
-            .select("user_id", "symbol", F.col("ts").alias("added_at")))
-    held = kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("_held"))
-    w = Window.partitionBy("user_id").orderBy("added_at", "symbol")
-    taken = (adds.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= MAX_WATCHLIST)
-             .join(held, "user_id", "left")
-             .filter(F.col("_k") <= MAX_WATCHLIST - F.coalesce(F.col("_held"), F.lit(0)))
-             .select("user_id", "symbol", "added_at"))
-    return kept.unionByName(taken)
+    req = requests.select("user_id", F.upper(F.trim("symbol")).alias("symbol"), "action", "ts", "seq")
+    known = universe.select("symbol", F.lit(True).alias("_known")).distinct()
+    req = req.join(known, "symbol", "left").select("user_id", "symbol", "action", "ts", "seq", F.col("_known").isNotNull().alias("_ok"))
+    items = watchlist.select("user_id", "symbol").distinct()
+    had = items.withColumn("_had", F.lit(True))
+    w = Window.partitionBy("user_id", "symbol").orderBy("ts", "seq")
+    good = req.filter("_ok").drop("_ok").join(had, ["user_id", "symbol"], "left")
+    held = F.coalesce(F.lag("action").over(w) == "add", F.col("_had"), F.lit(False))
+    good = good.withColumn("_held", held).withColumn(
+        "_delta", F.when((F.col("action") == "add") & ~F.col("_held"), 1.0)
+        .when((F.col("action") == "remove") & F.col("_held"), -1.0).otherwise(0.0))
+    sizes = items.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n0"))
+    sized = prefix_sum_min(good, "user_id", ["ts", "seq"], "_delta", time_col="ts").join(sizes, "user_id", "left")
+    full = (sized.filter(F.col("_S") + F.coalesce("_n0", F.lit(0)) > cap).select("user_id").distinct())
+    free = good.join(full, "user_id", "left_anti").select(
+        "user_id", "symbol", "action", "ts", "seq",
+        F.when(F.col("action") == "add", F.when(F.col("_held"), "already there").otherwise("added"))
+        .otherwise(F.when(F.col("_held"), "removed").otherwise("not found")).alias("outcome"))
+    lists = items.groupBy("user_id").agg(F.collect_set("symbol").alias("held0"))     # at most a user's list
+    tight = (good.join(full, "user_id", "left_semi").join(lists, "user_id", "left")
+             .select("user_id", "symbol", "action", "ts", "seq", F.coalesce("held0", F.array().cast("array<string>")).alias("held0"))
+             .repartition("user_id").sortWithinPartitions("user_id", "ts", "seq")
+             .mapInPandas(_watchlist_fold(cap), free.schema))
+    bad = req.filter(~F.col("_ok")).select("user_id", "symbol", "action", "ts", "seq", F.lit("invalid").alias("outcome"))
+    return free.unionByName(tight).unionByName(bad)
+
+
+def watchlist_upsert(watchlist: DataFrame, events: DataFrame) -> DataFrame:
+    """The watchlist (user_id, symbol, added_at) after ``watchlist_events``: the last request that took effect decides."""
+    last = (events.filter(F.col("outcome").isin("added", "removed")).groupBy("user_id", "symbol")
+            .agg(F.max(F.struct("ts", "seq", "outcome")).alias("e")))
+    kept = watchlist.select("user_id", "symbol", "added_at").join(last, ["user_id", "symbol"], "left_anti")
+    return kept.unionByName(last.filter(F.col("e.outcome") == "added").select("user_id", "symbol", F.col("e.ts").alias("added_at")))

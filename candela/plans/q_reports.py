@@ -52,18 +52,35 @@ def user_history(spark, sf_dir):
 _WREQ = ("wreq", f"""SELECT user_id, {symbol_of('event_id')} AS symbol,
   CASE WHEN event_type = 'click' THEN 'add' ELSE 'remove' END AS action, ts, event_id AS seq
   FROM events WHERE event_type IN ('click', 'error')""")
-_WLAST = ("wlast", """SELECT user_id, symbol, arg_max(action, (ts, seq)) AS action, max(ts) AS ts FROM wreq
-  WHERE symbol IN (SELECT DISTINCT l_returnflag || '-' || l_linestatus FROM lineitem) GROUP BY user_id, symbol""")
-_WKEPT = ("wkept", """SELECT w.user_id, w.symbol, w.added_at FROM watch w
-  WHERE NOT EXISTS (SELECT 1 FROM wlast l WHERE l.user_id = w.user_id AND l.symbol = w.symbol AND l.action = 'remove')""")
-_WADD = ("wadd", """SELECT l.user_id, l.symbol, l.ts AS added_at FROM wlast l WHERE l.action = 'add'
-  AND NOT EXISTS (SELECT 1 FROM watch w WHERE w.user_id = l.user_id AND w.symbol = l.symbol)""")
-
-
-@register("watchlist_upsert", with_ctes([WATCH, _WREQ, _WLAST, _WKEPT, _WADD], """SELECT * FROM wkept UNION ALL
-  SELECT user_id, symbol, added_at FROM (SELECT a.*, row_number() OVER (PARTITION BY a.user_id ORDER BY a.added_at, a.symbol) AS k,
-    coalesce(h.held, 0) AS held FROM wadd a LEFT JOIN (SELECT user_id, count(*) AS held FROM wkept GROUP BY user_id) h USING (user_id))
-  WHERE k <= 30 - held"""))
+_WNUM = ("wnum", """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS rn FROM wreq
+  WHERE symbol IN (SELECT DISTINCT l_returnflag || '-' || l_linestatus FROM lineitem)""")
+_WFOLD = ("wfold", """SELECT n.user_id, CAST(0 AS BIGINT) AS rn, coalesce(any_value(w.held), []::VARCHAR[]) AS held, '' AS outcome
+  FROM (SELECT DISTINCT user_id FROM wnum) n
+  LEFT JOIN (SELECT user_id, list(DISTINCT symbol) AS held FROM watch GROUP BY user_id) w USING (user_id) GROUP BY n.user_id
+  UNION ALL
+  SELECT f.user_id, n.rn, CASE WHEN action = 'add' AND NOT list_contains(held, symbol) AND len(held) < 30 THEN list_append(held, symbol)
+      WHEN action = 'remove' THEN list_filter(held, lambda x: x <> symbol) ELSE held END,
+    CASE WHEN action = 'add' THEN CASE WHEN list_contains(held, symbol) THEN 'already there' WHEN len(held) >= 30 THEN 'full' ELSE 'added' END
+      WHEN list_contains(held, symbol) THEN 'removed' ELSE 'not found' END
+  FROM wfold f JOIN wnum n ON n.user_id = f.user_id AND n.rn = f.rn + 1""")
+_WEV = ("wev", """SELECT n.user_id, n.symbol, n.action, n.ts, n.seq, f.outcome FROM wnum n JOIN wfold f USING (user_id, rn)
+  UNION ALL SELECT user_id, symbol, action, ts, seq, 'invalid' FROM wreq
+  WHERE symbol NOT IN (SELECT DISTINCT l_returnflag || '-' || l_linestatus FROM lineitem)""")
+_WEVENTS = [WATCH, _WREQ, _WNUM, _WFOLD, _WEV]
+
+
+def _events(spark, sf_dir):
+    return rp.watchlist_events(tables.watchlist(spark, sf_dir), tables.watchlist_requests(spark, sf_dir), tables.universe(spark, sf_dir))
+
+
+@register("watchlist_events", with_ctes(_WEVENTS, "SELECT * FROM wev"))
+def watchlist_events(spark, sf_dir):
+    return _events(spark, sf_dir)
+
+
+@register("watchlist_upsert", with_ctes(_WEVENTS, """SELECT w.user_id, w.symbol, w.added_at FROM watch w
+  WHERE NOT EXISTS (SELECT 1 FROM wev e WHERE e.user_id = w.user_id AND e.symbol = w.symbol AND e.outcome IN ('added', 'removed'))
+  UNION ALL SELECT user_id, symbol, arg_max(ts, (ts, seq)) FROM wev WHERE outcome IN ('added', 'removed')
+  GROUP BY user_id, symbol HAVING arg_max(outcome, (ts, seq)) = 'added'"""))
 def watchlist_upsert(spark, sf_dir):
-    return rp.watchlist_upsert(tables.watchlist(spark, sf_dir), tables.watchlist_requests(spark, sf_dir),
-                               tables.universe(spark, sf_dir))
+    return rp.watchlist_upsert(tables.watchlist(spark, sf_dir), _events(spark, sf_dir))

@@ -204,7 +204,9 @@ def screener(spark, sf_dir):
   CASE WHEN trend <> 'mixed' AND {risk_sql('er')} <> 'HIGH' THEN 'HIGH' WHEN {risk_sql('er')} <> 'HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
   CASE WHEN coalesce(er, 0) > 1 THEN symbol || ': forecast up over 14 days.'
        WHEN coalesce(er, 0) < -1 THEN symbol || ': forecast down over 14 days.'
-       ELSE symbol || ': forecast flat over 14 days.' END AS summary
+       ELSE symbol || ': forecast flat over 14 days.' END AS summary,
+  concat_ws('; ', CASE WHEN er IS NOT NULL THEN printf('expected %+.2f%%', er) END, printf('trend %s', trend),
+    printf('RSI %s %s', CAST(rsi AS VARCHAR), rsi_state), printf('20 bars %+.2f%%', change_20d), printf('volatility %.2f%%', volatility)) AS bullets
   FROM (SELECT snap.*, fc.prediction,
         CASE WHEN fc.prediction IS NOT NULL AND fc.prediction <> 0 AND price <> 0
              THEN {R('(fc.prediction - price) / price * 100', 2)} END AS er
@@ -220,7 +222,8 @@ _PI = [WATCH, ("items", f"""SELECT w.user_id, w.symbol, w.added_at, s.*, {score_
   arg_min(symbol, (-score, -epoch_us(added_at), symbol)) AS best_symbol,
   arg_min(score, (-score, -epoch_us(added_at), symbol)) AS best_score,
   arg_min(symbol, (-volatility, -abs(change_20d), -epoch_us(added_at), symbol)) AS riskiest_symbol,
-  arg_min(volatility, (-volatility, -abs(change_20d), -epoch_us(added_at), symbol)) AS riskiest_volatility
+  arg_min(volatility, (-volatility, -abs(change_20d), -epoch_us(added_at), symbol)) AS riskiest_volatility,
+  string_agg(symbol, ',' ORDER BY -score, -epoch_us(added_at), symbol) AS ranked_items
   FROM items GROUP BY user_id""")]
 
 

@@ -70,9 +70,38 @@ def test_watchlist_cap_of_thirty(spark):
          (1, "S37", "add", None, 4), (1, "S37", "remove", None, 5)],
         "user_id long, symbol string, action string, ts timestamp_ntz, seq long")
     reqs = reqs.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,seq)"))
-    out = {r.symbol for r in rp.watchlist_upsert(watch, reqs, spark.createDataFrame([(u,) for u in uni], "symbol string")).collect()}
-    assert "S3" not in out and "S37" not in out and len(out) == 30
-    assert "S35" in out and "S36" in out
+    out = {r.symbol for r in rp.watchlist_upsert(
+        watch, rp.watchlist_events(watch, reqs, spark.createDataFrame([(u,) for u in uni], "symbol string"))).collect()}
+    # S36 meets a full list; removing S3 later makes room for S37, which goes again
+    assert "S3" not in out and "S37" not in out and "S36" not in out and "S35" in out and len(out) == 29
+
+
+def test_watchlist_outcomes_equal_a_plain_fold(spark):
+    """Requests in order, for users that hit the cap and users that do not."""
+    import random
+    rng = random.Random(3)
+    watch = [(u, f"S{i}", None) for u in range(5) for i in range(u)]
+    reqs = [(u, rng.choice([" s%d", "S%d"]) % rng.randint(0, 12), rng.choice(["add", "add", "remove"]), None, k)
+            for k in range(300) for u in [rng.randint(0, 5)]]
+    held, want = {u: {s for v, s, _ in watch if v == u} for u in range(6)}, {}
+    for u, s, a, _, k in reqs:
+        s, h = s.strip().upper(), held[u]
+        if s == "S12":
+            want[k] = "invalid"
+        elif a == "add":
+            want[k] = "already there" if s in h else "full" if len(h) >= 6 else "added"
+            h |= {s} if want[k] == "added" else set()
+        else:
+            want[k] = "removed" if s in h else "not found"
+            h -= {s}
+    schema = "user_id long, symbol string, action string, ts timestamp_ntz, seq long"
+    r = spark.createDataFrame(reqs, schema).withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,seq,0,0)"))
+    w = spark.createDataFrame(watch, "user_id long, symbol string, added_at timestamp_ntz")
+    ev = rp.watchlist_events(w, r, spark.createDataFrame([(f"S{i}",) for i in range(12)], "symbol string"), cap=6)
+    got = {x.seq: x.outcome for x in ev.collect()}
+    assert got == want and set(want.values()) == {"added", "already there", "full", "removed", "not found", "invalid"}
+    final = {(x.user_id, x.symbol) for x in rp.watchlist_upsert(w, ev).collect()}
+    assert final == {(u, s) for u, h in held.items() for s in h}
 
 
 def test_usage_quota_with_low_limit(spark):
