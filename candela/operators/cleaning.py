@@ -19,16 +19,18 @@ def clean_bars(raw: DataFrame, arrival: str = "arrival", min_rows: int = MIN_ROW
     """Raw bar feed -> clean bars.
 
     Column names are trimmed and lower-cased (the first of duplicate names
-    wins), the last arrival per (symbol, d) wins, OHLCV are coerced to
-    numbers (unparseable -> null), rows with a null OHLCV are dropped and
-    symbols with fewer than ``min_rows`` rows are dropped.
+    wins), the last arrival per (symbol, d) wins (of equal arrivals the one
+    with the larger values), OHLCV are coerced to numbers (unparseable ->
+    null), rows with a null symbol, day or OHLCV are dropped and symbols with
+    fewer than ``min_rows`` rows are dropped.
     """
     seen: dict[str, str] = {}
     for c in raw.columns:
         seen.setdefault(c.strip().lower(), c)
     df = raw.select(*[F.col(f"`{orig}`").alias(name) for name, orig in seen.items()])
-    last = (df.groupBy("symbol", "d")
-            .agg(F.max_by(F.struct(*[F.col(c) for c in OHLCV]), F.col(arrival)).alias("_b")))
+    values = F.struct(*[F.col(c) for c in OHLCV])
+    last = (df.filter(F.col("symbol").isNotNull() & F.col("d").isNotNull()).groupBy("symbol", "d")
+            .agg(F.max(F.struct(F.col(arrival).alias("_at"), values.alias("_b")))["_b"].alias("_b")))
     typed = last.select("symbol", "d", *[F.col(f"_b.{c}").cast("string").try_cast("double").alias(c) for c in OHLCV])
     return require_rows(typed.dropna(subset=OHLCV), min_rows)
 

@@ -97,16 +97,17 @@ def chart_json_source(docs: DataFrame, json_col: str = "json", symbol_col: str |
 
 
 def csv_source(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
-    """CSV bars: headers lower-cased and trimmed; ``adj close`` wins over close."""
+    """CSV bars: headers lower-cased and trimmed; ``adj close`` wins over close where it
+    has a value. Rows whose date or numbers cannot be read are dropped."""
     raw = spark.read.option("header", True).csv(path)
     cols = {c: c.strip().lower() for c in raw.columns}
     df = raw.select(*[F.col(f"`{c}`").alias(n) for c, n in cols.items()])
-    close = "adj close" if "adj close" in df.columns else "close"
+    close = F.coalesce(*[F.expr(f"try_cast(`{c}` as double)") for c in ("adj close", "close") if c in df.columns])
     sym = F.lit(symbol) if symbol else F.col("symbol")
     out = df.select(
-        sym.alias("symbol"), F.to_date(F.col("date")).alias("d"),
+        sym.alias("symbol"), F.expr("try_to_date(`date`)").alias("d"),
         *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in ("open", "high", "low")],
-        F.expr(f"try_cast(`{close}` as double)").alias("close"),
+        close.alias("close"),
         F.expr("try_cast(volume as double)").alias("volume"))
     return out.dropna(subset=["d", "open", "high", "low", "close", "volume"])
 
@@ -117,6 +118,7 @@ def source_priority(sources: list[DataFrame], min_rows: int = 51) -> DataFrame:
     for i, s in enumerate(sources):
         t = s.select(*BAR_COLS).withColumn("_prio", F.lit(i))
         tagged = t if tagged is None else tagged.unionByName(t)
+    tagged = tagged.checkpoint()      # bars, far fewer than the trades behind them: each feed is read once
     counts = (tagged.groupBy("symbol", "_prio").agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") >= min_rows)
               .groupBy("symbol").agg(F.min("_prio").alias("_prio")))

@@ -46,6 +46,7 @@ def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRADE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
+_CACHES: list[dict] = []
 _BARS_CACHE: dict = {}
 
 
@@ -65,6 +66,8 @@ def _session_cached(cache: dict, spark: SparkSession, sf_dir: str, build) -> Dat
     even one that reuses an old object id, gets its own copy."""
     key = (id(spark), sf_dir)
     hit = cache.get(key)
+    if not any(c is cache for c in _CACHES):
+        _CACHES.append(cache)
     if hit is None or hit[0] is not spark:
         cache[key] = (spark, build().persist(StorageLevel.MEMORY_AND_DISK))
     return cache[key][1]
@@ -194,12 +197,20 @@ _PROCESSED_CACHE: dict = {}
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The processed series: trimmed feature frame (52 features, target, OHLCV).
 
-    Persisted once per session; the snapshot, screener, chart, backtest and
-    forecast queries all read it, as the reference reads its feature frame.
+    Its complete rows are persisted once per session; the snapshot, screener,
+    chart, backtest and forecast queries all read them, as the reference reads
+    its feature frame.
     """
-    from candela.operators.indicators import feature_matrix
-    return _session_cached(_PROCESSED_CACHE, spark, sf_dir,
-                           lambda: feature_matrix(bars(spark, sf_dir), trim="ref"))
+    from candela.operators.indicators import feature_matrix, require_rows
+    return require_rows(_session_cached(_PROCESSED_CACHE, spark, sf_dir,
+                                        lambda: feature_matrix(bars(spark, sf_dir), trim="complete")), 60)
+
+
+def forget(spark: SparkSession) -> None:
+    """Release every frame persisted for the queries (a cold start)."""
+    for cache in _CACHES:
+        cache.clear()
+    spark.catalog.clearCache()
 
 
 def parse_price(s: F.Column) -> F.Column:
