@@ -81,7 +81,8 @@ def nb_text_class(labelled: DataFrame, label_col: str = "quality", smoothing: fl
               .agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")))
     total = counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count(F.lit(1)).alias("v"))
     prior = train.agg(F.log(F.count_if(F.col("y") == 1) / F.count_if(F.col("y") == 0)).alias("b"))
-    t1, t0, v = (total.select(c).scalar() for c in ("t1", "t0", "v"))
+    sums = total.select(F.struct("t1", "t0", "v")).scalar()
+    t1, t0, v = (sums[c] for c in ("t1", "t0", "v"))
     s = F.lit(float(smoothing))
     weights = counts.select("token", (F.log((F.col("n1") + s) / (t1 + s * v)) - F.log((F.col("n0") + s) / (t0 + s * v))).alias("w"))
     docs = score if score is not None else labelled

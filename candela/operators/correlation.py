@@ -43,7 +43,8 @@ def correlation_matrix(rets: DataFrame, symbols: list[str] | None = None, align:
     position from the end (the reference); align='date' pairs by date.
     """
     key = "d" if align == "date" else "k"
-    r = rets.select("symbol", key, "lr")
+    # At most days rows per symbol: written once, read by the names, the trim and both sides of the join.
+    r = rets.select("symbol", key, "lr").checkpoint()
     if symbols is not None:
         place = F.array_position(F.array(*[F.lit(s) for s in dict.fromkeys(symbols)]), F.col("symbol")).cast("int")
         r = r.withColumn("i", place).filter(F.col("i") > 0)
