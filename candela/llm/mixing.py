@@ -50,8 +50,8 @@ def _rates(cells: DataFrame, sources: DataFrame, cap: float, rounds: int, tolera
     rate = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
     tokens = (F.col("n") * F.col("size")).cast("double")
     exact = lambda v: F.sum(v.cast("decimal(30,6)")).cast("double")
-    state = sources.select("source", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-60.0).alias("lo"),
-                           F.lit(60.0).alias("hi"))
+    state = sources.select("source", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e4).alias("lo"),
+                           F.lit(1e4).alias("hi"))
     for _ in range(rounds):
         for _ in range(4):
             sums = (cells.alias("c").join(state.alias("s"), same)
@@ -74,7 +74,7 @@ def _rates(cells: DataFrame, sources: DataFrame, cap: float, rounds: int, tolera
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3,
-        rounds: int = 10, tolerance: float = 1e-7, bucket_rows: int = 100_000) -> DataFrame:
+        rounds: int = 15, tolerance: float = 1e-7, bucket_rows: int = 100_000) -> DataFrame:
     """Rows of ``docs`` as struct ``row``, with size, source_size, target and copies (0 to ``cap``).
 
     A null text has size 0; documents without a word have rate 1. Null sources

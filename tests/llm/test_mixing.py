@@ -55,11 +55,13 @@ def test_rates_follow_the_dual(spark):
     import math
     cells = [("a", s, 3) for s in range(1, 40)] + [("b", s, 2) for s in (5, 50, 500)]
     total = {"a": sum(s * n for x, s, n in cells if x == "a"), "b": sum(s * n for x, s, n in cells if x == "b")}
-    docs = {"a": 117, "b": 6}
-    goal = {"a": 0.4 * total["a"], "b": 2.7 * total["b"]}
+    cells += [("c", 2, 400), ("c", 90000, 1)]
+    total["c"] = 90800
+    docs = {"a": 117, "b": 6, "c": 401}
+    goal = {"a": 0.4 * total["a"], "b": 2.7 * total["b"], "c": 0.002 * total["c"]}
     c = spark.createDataFrame(cells, "source string, size long, n long")
     s = spark.createDataFrame([(k, goal[k], total[k] / docs[k]) for k in goal], "source string, target double, mean double")
-    lam = {r.source: r.lam for r in mixing._rates(c, s, 3.0, 10, 1e-7).collect()}
+    lam = {r.source: r.lam for r in mixing._rates(c, s, 3.0, 15, 1e-7).collect()}
     for k in goal:
         got = sum(n * z * min(3.0, math.exp(lam[k] * z * docs[k] / total[k])) for x, z, n in cells if x == k)
         assert got == pytest.approx(goal[k], rel=1e-5)
