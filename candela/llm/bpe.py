@@ -41,7 +41,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 SAFE = re.compile(rb"[!-~](?=[ \n])")
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 _MIN_CHUNK = 64
 
 

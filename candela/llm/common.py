@@ -19,10 +19,15 @@ U64 = np.uint64
 #: Odd multiplier of the rolling hashes (any odd constant would do).
 MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+#: Rows of whole texts in one Arrow batch, held by the JVM and the Python worker at once.
+ARROW_ROWS = 1000
+#: Bytes hashed together in word_hashes; every temporary array is eight times as large.
+HASH_BYTES = 1 << 19
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder and package files for a job that calls an operator directly."""
+    """Checkpoint folder, package files and Arrow batches of bounded size for a job of these operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     checkpoint_dir(spark)
     ship_package(spark)
 
@@ -103,8 +108,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     counts = np.diff(np.searchsorted(lo, edges))
     out, at = np.empty(len(lo), U64), 0
-    while at < len(lo):                                # about 4 MB at once, whole words
-        end = max(at + 1, int(np.searchsorted(hi, lo[at] + (4 << 20), "right")))
+    while at < len(lo):                                # whole words
+        end = max(at + 1, int(np.searchsorted(hi, lo[at] + HASH_BYTES, "right")))
         a, b = int(lo[at]), int(hi[end - 1])
         up, down = powers(b - a + 1)
         total = np.empty(b - a + 1, U64)

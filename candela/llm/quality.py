@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from candela.llm.common import U64, WordHash, rolling, slices, texts, with_row
 
 SPAN = 8
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 _SYMBOL = bytes(set(range(256)) - set(b"#*$%&|<>"))
 _UPPER = bytes(set(range(256)) - set(range(65, 91)))
 _LETTER = bytes(set(range(256)) - set(range(65, 91)) - set(range(97, 123)))

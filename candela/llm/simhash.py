@@ -32,7 +32,8 @@ from candela.llm.common import U64, batch, cut, text_hash, texts
 from candela.llm.graph import components
 
 SEGMENT = 2
-_CHUNK = 1 << 16
+_CHUNK = 1 << 16      # hashes, or grid rows, looked at together
+_ROWS = 1 << 13       # fingerprints placed on the grid together
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -47,7 +48,7 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     ends = ends[k - 1:].tolist()
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), _CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at:at + _CHUNK], ends[at:at + _CHUNK])], U64)
+        h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[at:at + _CHUNK], ends[at:at + _CHUNK])), U64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view(U64)[0])
 
@@ -119,8 +120,8 @@ def links(fps: DataFrame, max_bits: int = 4, max_cell: int = 2048) -> DataFrame:
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy().view(U64)
-            for at in range(0, len(fp), _CHUNK):
-                part = fp[at:at + _CHUNK]
+            for at in range(0, len(fp), _ROWS):
+                part = fp[at:at + _ROWS]
                 row, cell = group_cells(part, groups, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part[row].view(np.int64))], ["cell", "fp"])
 

@@ -40,7 +40,7 @@ from candela.llm.common import (U64, batch, cut, in_bits, key_bits, mix, powers,
 _ROWS = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))   # odd: one hash per sketch row
 _SEGMENT = 17                                              # a sketch segment has 2^17 counters
 _BLOCK = 1 << 22                                           # words looked at together
-_SLICE = 8 << 20
+_SLICE = 2 << 20
 
 
 class Anchors:
