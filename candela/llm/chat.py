@@ -35,7 +35,8 @@ def _completion(turns: Column, assistant: str) -> Column:
 
     def step(acc: Column, t: Column) -> Column:
         end = (acc["at"] + F.length(_rendered(t))).alias("at")
-        span = F.struct((acc["at"] + F.length(_escaped(t["role"])) + 5).alias("start"), (acc["at"] + F.length(_rendered(t))).alias("end"))
+        span = F.struct((acc["at"] + F.length(_escaped(t["role"])) + 5).alias("start"),      # 5: the marks around the role
+                        (acc["at"] + F.length(_rendered(t))).alias("end"))
         return F.struct(end, F.when(t["role"] == assistant, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
                         .alias("spans")).cast(kind)
 
