@@ -113,3 +113,17 @@ def test_correlation_by_date_pairs_common_days(spark):
     m = {(r.a, r.b): r.r for r in cor.correlation_matrix(rets, ["A", "B"], align="date").collect()}
     a, b = np.array([-0.02, 0.03, 0.01]), np.array([-0.01, 0.02, 0.0])
     assert abs(m[("A", "B")] - round(float(np.corrcoef(a, b)[0, 1]), 4)) < 1e-9
+
+
+def test_forecast_windows_on_tiny_blocks_equal_whole_series(spark):
+    """One symbol holds 90 % of the rows; blocks of 20 rows give what one block gives."""
+    import datetime
+
+    from candela.operators import forecast as fc
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    rows = [(s, day(i), i, "test" if i % 500 > 30 else "train", float(i * 7 % 13), float(i), 0.01 * (i % 5), 0.001 * i)
+            for s, n in (("HOT", 180), ("A", 12), ("B", 8)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, d date, pos long, split string, x double, close double, prediction double, target_lr double")
+    for run in (lambda k: fc.holdout_eval(df, k), lambda k: fc.sequence_windows(df, ["x", "close"], 15, k)):
+        tiny, whole = (sorted(map(str, run(k).collect())) for k in (20, 1 << 20))
+        assert tiny == whole and len(whole) > 100
