@@ -41,6 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 SAFE = re.compile(rb"[!-~](?=[ \n])")
+#: White space as the pattern's ``\s`` has it. The engine's regular expressions give up on runs of about a million.
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 _SLICE = 2 << 20
 _MIN_CHUNK = 64
 
@@ -70,13 +72,34 @@ class Codec:
             self.size[i] = len(word)
         for word, i in special.items():
             self.size[i] = len(word.encode())
+        self.special = tuple(special)
         self.store = np.uint16 if self.engine.n_vocab <= 1 << 16 else np.uint32
 
     def encode(self, text: bytes) -> np.ndarray:
-        return self.engine.encode_to_numpy(text.decode(), allowed_special="all").astype(self.store)
+        try:
+            return self.engine.encode_to_numpy(text.decode(), allowed_special="all").astype(self.store)
+        except ValueError:
+            return self.encode_runs(text.decode())
 
     def count(self, text: bytes) -> int:
-        return len(self.engine.encode(text.decode(), allowed_special="all"))
+        try:
+            return len(self.engine.encode(text.decode(), allowed_special="all"))
+        except ValueError:
+            return len(self.encode_runs(text.decode()))
+
+    def encode_runs(self, text: str) -> np.ndarray:
+        """Token ids of a text whose white-space runs are too long for the engine's regular expressions.
+
+        The pattern makes one word of such a run, without its last character if a word follows; that word is
+        encoded by itself, what lies between as usual.
+        """
+        out, at = [], 0
+        for m in RUN.finditer(text):
+            end = m.end() - (m.end() < len(text) and not text.startswith(self.special, m.end()))
+            out.append(self.engine.encode_to_numpy(text[at:m.start()], allowed_special="all").astype(self.store))
+            out.append(np.array(self.engine._encode_single_piece(text[m.start():end]), self.store))
+            at = end
+        return np.concatenate([*out, self.engine.encode_to_numpy(text[at:], allowed_special="all").astype(self.store)])
 
     def decode(self, ids: list[int]) -> str:
         return self.engine.decode_bytes(ids).decode("utf-8", errors="replace")
@@ -230,7 +253,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 out["seq"].append(hit)
                 out["h1"].append(digest[hit, 0])
                 out["h2"].append(digest[hit, 1])
-            out = {k: np.concatenate(v) for k, v in out.items()} if at else out
+            out = {k: np.concatenate([np.empty(0, np.int64), *v]) for k, v in out.items()}
             yield batch({"doc_id": pa.int64(), "text_hash": pa.int64(), "seq": pa.int32(), "h1": pa.int64(), "h2": pa.int64()},
                         out | {"doc_id": b.column(1).take(pa.array(at, pa.int64())),
                                "text_hash": b.column(2).take(pa.array(at, pa.int64()))})

@@ -73,6 +73,24 @@ def test_counts_equal_library(spark, library):
         assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(library.encode(r.text or "", add_special_tokens=False).ids))
 
 
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, "\u3000" * 1_100_000, " \n\t\xa0" * 300_000])
+def test_white_space_runs_beyond_the_engine(library, run):
+    c = bpe.codec(PATH)
+    for text in (f"some text {run}and more 'll {run}", f"a{run}<|endoftext|>{run}é", f"{run}\x1c1{run[:-1]}\n!", f"<|endoftext|>{run}\u200bx"):
+        want = library.encode(text, add_special_tokens=False).ids
+        body = text.encode()
+        assert c.encode(body).tolist() == want and c.count(body) == len(want) and c.decode(want) == text
+        assert sum(map(c.count, bpe.split_text(body, 1 << 16))) == len(want)
+
+
+def test_long_white_space_in_documents(spark, library):
+    texts = ["word " * 40 + " " * 1_200_000 + "end of it", "word " * 40 + "\n" * 1_200_000 + "end of it", "word " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in bpe.encode_documents(docs, PATH).select("row.doc_id", "ids").collect()} == want
+    assert {r.doc_id: r.n_tokens for r in bpe.count_tokens(docs, PATH).select("row.doc_id", "n_tokens").collect()} == {i: len(x) for i, x in want.items()}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert bpe.encode_documents(docs, PATH).count() == 0 and bpe.count_tokens(docs, PATH).count() == 0
