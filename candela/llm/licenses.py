@@ -117,7 +117,8 @@ NOTICES = [
 
 #: One of these stands in whatever a rule matches.
 GATE = ("licen[sc]", "spdx", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc0", "0bsd",
-        "permission", "redistribut", "unencumbered", "altered source", "font software", "you just do what", "research")
+        "permission", "redistribut", "unencumbered", "altered source", "font software", "you just do what", "research",
+        "non commercial")
 
 
 class Rule(NamedTuple):

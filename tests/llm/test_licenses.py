@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 import pytest
 
@@ -41,6 +42,37 @@ def test_rules_are_many_and_gated():
         re.compile(r.pattern)
 
 
+def samples(items):
+    """Strings that a parsed pattern matches, every alternative and every bound of a repeat in one of them at least."""
+    parts = []
+    for op, arg in items:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "IN":
+            parts.append([chr(a if str(kind) == "LITERAL" else a[0]) if str(kind) != "CATEGORY" else "1" for kind, a in arg])
+        elif op == "BRANCH":
+            parts.append([x for branch in arg[1] for x in samples(branch)])
+        elif op == "SUBPATTERN":
+            parts.append(samples(arg[-1]))
+        elif op == "MAX_REPEAT":
+            low, _, body = arg
+            parts.append([x * n for n in {low, low + 1} for x in samples(body)])
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    plain = [p[0] for p in parts]
+    return ["".join(plain), *("".join([*plain[:i], x, *plain[i + 1:]]) for i, p in enumerate(parts) for x in p[1:])]
+
+
+def test_gate_and_keyword_stand_in_every_match():
+    gate = re.compile("|".join(licenses.GATE))
+    for r in licenses.rules():
+        found = [x for x in samples(_parser.parse(r.pattern)) if re.search(f"(?<= )(?:{r.pattern})(?= )", f" {x} ")]
+        assert found, r.rule
+        for x in found:
+            assert gate.search(x) and r.keyword in f" {x} ", (r.rule, x)
+
+
 def test_matches_brute_force(spark):
     texts = TEXTS + [r[1] for r in corpus()] + ["mit license " * 3000]
     rows = [(i, t, None, None, None, None, None, None, None, None, None, 7) for i, t in enumerate(texts)]
@@ -57,7 +89,8 @@ def test_matches_brute_force(spark):
 
 
 @pytest.mark.parametrize("text, labels", [("Licensed under the MIT License", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache"),
-                                          ("under the GNU Affero General Public License", "agpl,gpl"), ("nothing here", "")])
+                                          ("under the GNU Affero General Public License", "agpl,gpl"), ("nothing here", ""),
+                                          ("free for non-commercial use only", "non-commercial")])
 def test_labels(spark, text, labels):
     rows = [(0, text, None, None, None, None, None, None, None, None, None, 7)]
     assert licenses.scan(documents(spark, rows)).first().labels == labels
