@@ -10,6 +10,7 @@ highest priority, rule) with the same or a higher priority contains it.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 
 _V = r"(?: version)?(?: v?\d+(?: \d+)*)?"
 _L = "licen[sc]e"
+#: A version after a short name: v3, v2 1, 2 0, fused or not.
+_N = r"(?: ?v ?\d+(?: \d+)*| version v?\d+(?: \d+)*|\d+(?: \d+)*)?"
 
 #: label: (keyword, pattern of the name, words of its short identifier), in normalised words.
 NAMES = {
@@ -118,7 +121,7 @@ NOTICES = [
 #: One of these stands in whatever a rule matches.
 GATE = ("licen[sc]", "spdx", "copyright", "rights reserved", "public domain", "creative commons", "cc by", "cc0", "0bsd",
         "permission", "redistribut", "unencumbered", "altered source", "font software", "you just do what", "research",
-        "non commercial")
+        "non commercial", "(?:ed|available) (?:under|subject to)")
 
 
 class Rule(NamedTuple):
@@ -130,7 +133,10 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules in order: for every license its identifier, grants, references and bare name; then the notices."""
+    """All rules in order: for every license its identifier, grants, references and bare name; then the notices.
+
+    Grants by short name are under or subject to it: what is "published by MIT" names no license.
+    """
     out = []
     granted = "(?:licensed|released|distributed|available|published|provided|covered|offered|redistributed|made available)"
     terms = "(?:the )?(?:terms (?:and conditions )?(?:of|in) )?(?:the |an? )?(?:gnu )?"
@@ -139,7 +145,10 @@ def rules() -> list[Rule]:
         out.append(Rule(f"{label}:spdx", label, 3, "spdx", f"spdx {_L} identifier {short}(?: only| or later)?"))
         out.append(Rule(f"{label}:grant", label, 2, keyword,
                         f"{granted} (?:under|by|with|subject to) {terms}{name}(?: only| or later| or any later version)?"))
-        out.append(Rule(f"{label}:short", label, 2, "licen", f"{_L}d? (?:is |under |type |id )*{short}(?! {_L})"))
+        out.append(Rule(f"{label}:granted", label, 2, " " + re.match("[a-z0-9 ]+", short)[0],
+                        f"{granted} (?:under|subject to) {terms}{short}{_N}(?: {_L})?(?: only| or later| or any later version)?"))
+        out.append(Rule(f"{label}:short", label, 2, "licen",
+                        f"{_L}d? (?:is |under |type |id )*(?:the |an? )?(?:gnu )?{short}{_N}(?! {_L})"))
         if worded:
             out.append(Rule(f"{label}:refer", label, 2, keyword, f"(?:see|copy of|conditions of|text of) (?:the )?(?:gnu )?{name}"))
             out.append(Rule(f"{label}:name", label, 1, keyword, name))

@@ -90,7 +90,13 @@ def test_matches_brute_force(spark):
 
 @pytest.mark.parametrize("text, labels", [("Licensed under the MIT License", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache"),
                                           ("under the GNU Affero General Public License", "agpl,gpl"), ("nothing here", ""),
-                                          ("free for non-commercial use only", "non-commercial")])
+                                          ("free for non-commercial use only", "non-commercial"),
+                                          ("licensed under the GPL", "gpl"), ("licensed under the GPLv3", "gpl"), ("License: GPLv3", "gpl"),
+                                          ("released under the GNU GPL v2", "gpl"), ("distributed under the terms of the LGPL v2.1+.", "lgpl"),
+                                          ("Available under an MIT license", "mit"), ("is released under MPL 2.0 or Apache2", "mpl"),
+                                          ("made available subject to the GNU AGPL version 3", "agpl"), ("released under the BSD", "bsd"),
+                                          ("License: EPL-2.0", "epl"), ("offered under the Apache 2.0 license", "apache"),
+                                          ("released under CC BY-NC 4.0", "cc-by-nc"), ("published by MIT, provided with vim", "")])
 def test_labels(spark, text, labels):
     rows = [(0, text, None, None, None, None, None, None, None, None, None, 7)]
     assert licenses.scan(documents(spark, rows)).first().labels == labels
