@@ -3,9 +3,9 @@
 Every language has a codeword; every bit of it is predicted by a binary
 classifier over hashed byte trigrams (log-odds of the languages whose bit is
 one against the others, each language weighing the same). The classifiers come
-from trigram counts summed over all training rows; a fifth of those rows, kept
-out of the counts, gives each classifier's accuracy per language, the weight
-of its loss. A text gets the language whose codeword has the smallest
+from trigram counts summed over all training rows. Those of four fifths of the
+rows, tried on the other fifth, give each classifier's accuracy per language,
+the weight of its loss. A text gets the language whose codeword has the smallest
 weighted logistic loss; a text whose best and second codeword lie close is
 flagged as ambiguous.
 """
@@ -87,46 +87,51 @@ class Model:
         return self.languages[first], float(p[first]), float(p[second])
 
 
+def log_odds(counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Classifier weights (bits, buckets) from trigram counts per language."""
+    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
+    ones, zeros = (codes.T > 0).astype(float), (codes.T < 0).astype(float)
+    return np.log(ones @ share / np.maximum(ones.sum(1, keepdims=True), 1)) \
+        - np.log(zeros @ share / np.maximum(zeros.sum(1, keepdims=True), 1))
+
+
 def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text") -> Model:
     """Model from all ``rows`` with a label and a text; no such row gives a model without languages.
 
     What reaches the driver are sums per language: trigram buckets and, from the
-    fifth of the rows kept for it, hits of every classifier.
+    fifth of the rows kept for the trial, hits of every classifier. A language that
+    stands in that fifth alone has equal loss weights.
     """
     known = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).dropna()
-    fold = F.pmod(text_hash(F.col("text")), F.lit(5))
+    known = known.withColumn("kept", F.pmod(text_hash(F.col("text")), F.lit(5)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[tuple[bool, str], np.ndarray] = {}
 
         def out() -> pa.RecordBatch:
             at = [np.flatnonzero(c) for c in held.values()]
-            labels = [label for label, x in zip(held, at) for _ in x]
-            return batch({"label": pa.string(), "bucket": pa.int32(), "n": pa.int64()},
-                         {"label": labels, "bucket": np.concatenate([np.empty(0, np.int64), *at]).astype(np.int32),
+            keys = [key for key, x in zip(held, at) for _ in x]
+            return batch({"kept": pa.bool_(), "label": pa.string(), "bucket": pa.int32(), "n": pa.int64()},
+                         {"kept": [k for k, _ in keys], "label": [label for _, label in keys], "bucket": np.concatenate([np.empty(0, np.int64), *at]).astype(np.int32),
                           "n": np.concatenate([np.empty(0, np.int64), *(c[x] for c, x in zip(held.values(), at))])})
 
         for b in slices(batches, _SLICE, lambda x: x.column(0)):
-            for text, label in zip(texts(b.column(0)), b.column(1).to_pylist()):
-                held[label] = held.get(label, 0) + features(text)
+            for text, label, kept in zip(texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                held[kept, label] = held.get((kept, label), 0) + features(text)
             if len(held) > 256:
                 yield out()
                 held.clear()
         yield out()
 
-    sums = (known.filter(fold != 0).mapInArrow(count, "label string, bucket int, n long")
-            .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict())
+    sums = (known.mapInArrow(count, "kept boolean, label string, bucket int, n long")
+            .groupBy("kept", "label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict())
     languages = sorted(set(sums["label"]))
     codes = codewords(len(languages))
-    counts = np.zeros((len(languages), 1 << BUCKET_BITS))
-    counts[[languages.index(x) for x in sums["label"]], sums["bucket"]] = sums["n"]
-    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True) if languages else counts
-    ones, zeros = (codes.T > 0).astype(float), (codes.T < 0).astype(float)
-    weights = np.log(ones @ share / np.maximum(ones.sum(1, keepdims=True), 1)) \
-        - np.log(zeros @ share / np.maximum(zeros.sum(1, keepdims=True), 1)) if len(languages) > 1 else codes.T @ share
-    model = Model(languages, codes, weights, np.ones(codes.shape))
+    counts = np.zeros((2, len(languages), 1 << BUCKET_BITS))
+    counts[np.array(sums["kept"], int), np.array([languages.index(x) for x in sums["label"]], int), sums["bucket"]] = sums["n"]
     if len(languages) < 2:
-        return model
+        return Model(languages, codes, np.zeros((0, 1 << BUCKET_BITS)), np.ones(codes.shape))
+    model = Model(languages, codes, log_odds(counts[0], codes), np.ones(codes.shape))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(languages)}
@@ -143,13 +148,13 @@ def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text") -> Mod
                      "bit": np.tile(np.arange(bits, dtype=np.int32), len(languages)),
                      "seen": np.repeat(seen, bits), "good": good.ravel()})
 
-    tested = (known.filter(fold == 0).mapInArrow(hits, "i int, bit int, seen long, good long")
+    tested = (known.filter("kept").mapInArrow(hits, "i int, bit int, seen long, good long")
               .groupBy("i", "bit").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good")).toArrow().to_pydict())
     accuracy = np.full(codes.shape, 0.5)
     accuracy[tested["i"], tested["bit"]] = (np.array(tested["good"]) + 1) / (np.array(tested["seen"]) + 2)
+    accuracy[counts[0].sum(1) == 0] = 0.5
     trust = np.clip(accuracy - 0.5, 0.05, None)
-    model.trust = trust / trust.mean(1, keepdims=True)
-    return model
+    return Model(languages, codes, log_odds(counts.sum(0), codes), trust / trust.mean(1, keepdims=True))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_above: float = 0.4) -> DataFrame:

@@ -54,6 +54,21 @@ def test_held_out_rows_teach_nothing(spark):
     assert a.languages == b.languages and np.array_equal(a.weights, b.weights) and np.array_equal(a.trust, b.trust)
 
 
+def test_all_rows_teach(spark):
+    """A language whose texts all lie in the fifth kept for the trial is learned, and final weights count every row."""
+    rows = [(t, "en") for t in ("the house of the old man %d" % i + " and the sea" * (i % 9) for i in range(60))]
+    rows += [(t, "fr") for t in ("la maison de la vieille dame %d" % i + " sur la mer" * (i % 9) for i in range(60))]
+    extra = spark.createDataFrame([(i, "zażółć gęślą jaźń przez świat który więc %d" % i) for i in range(40)], "i int, text string")
+    rare = next(r.text for r in extra.filter(F.pmod(F.xxhash64("text"), F.lit(5)) == 0).collect())
+    docs = spark.createDataFrame(rows + [(rare, "pl")] * 3, "text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["en", "fr", "pl"]
+    assert {r.lang_pred for r in langid.predict(docs.filter("lang = 'pl'"), model).collect()} == {"pl"}
+    assert langid.predict(docs, model).filter("lang_pred <> row.lang").count() == 0
+    counts = np.array([sum(langid.features(t.encode()) for t, x in rows + [(rare, "pl")] * 3 if x == lang) for lang in model.languages])
+    assert np.allclose(model.weights, langid.log_odds(counts, model.codes))
+
+
 def test_without_labels(spark):
     for docs in (spark.createDataFrame([], SCHEMA), documents(spark).withColumn("lang", F.lit(None).cast("string"))):
         got = langid.predict(docs, langid.fit_on_fold(docs))
