@@ -71,7 +71,8 @@ def mismatched_pairs(conversations: DataFrame, id_col: str = "conv_id", assistan
 
     Chosen is the conversation itself. Rejected is the same with its last
     assistant turn replaced by that of its neighbour, the conversation whose id
-    differs in the last bit (empty if that has none).
+    differs in the last bit (empty if that has none). Conversations without an
+    assistant turn, and all turns with a null id, are left out.
     """
     t = conversations.select(F.col(id_col).cast("long").alias("pair_id"), "turn", "role", "text")
     said = t.filter(F.col("role") == assistant)

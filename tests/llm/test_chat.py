@@ -43,6 +43,14 @@ def test_matches_brute_force(spark):
                 (r.rejected.text, [tuple(s) for s in r.rejected.spans])] == brute(*sides), p
 
 
+def test_left_out_of_mismatched_pairs(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "no answer"), (2, 0, None, "x"), (None, 0, "user", "n"),
+            (None, 1, "assistant", "n")]
+    made = chat.mismatched_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.pair_id for r in made.collect()} == {0}
+    assert "null id" in " ".join(chat.mismatched_pairs.__doc__.split())
+
+
 def test_mismatched_pairs_and_repeats(spark):
     schema = "conv_id long, turn long, role string, text string, side string"
     rows = [(0, 0, "user", "q0", "x"), (0, 1, "assistant", "a0", "x"), (1, 0, "user", "q1", "x"), (1, 1, "assistant", "a1", "x"),
