@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.llm.common import U64, batch, in_bits, key_bits, rolling, slices, text_hash, texts, with_row
+from candela.llm.common import U64, batch, frugal, in_bits, key_bits, rolling, slices, text_hash, texts, with_row
 
 #: The pattern and the byte alphabet of the public byte-level BPE format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,7 +43,7 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SAFE = re.compile(rb"[!-~](?=[ \n])")
 #: White space as the pattern's ``\s`` has it. The engine's regular expressions give up on runs of about a million.
 RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _MIN_CHUNK = 64
 
 
@@ -175,9 +175,10 @@ def encode_with(bpe: Codec, text: bytes, known: list[tuple[int, int, np.ndarray]
 # ------------------------------------------------------------------ operators
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                     chunk_bits: int = 9, key_bits_: int = 24) -> DataFrame:
+                     chunk_bits: int = 9, key_bits_: int = 24, decode: bool = False) -> DataFrame:
     """Rows of ``docs`` as struct ``row``, with ``ids`` (array of int): the token ids of the whole text.
 
+    ``decode`` adds ``decoded``, the text that the ids spell, in the same pass over the ids.
     ``path`` names the vocabulary file, present on every executor. Null and empty
     texts have no ids; repeated rows stay repeated; row order is not kept.
     """
@@ -193,7 +194,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             digests = np.concatenate([np.empty((0, 2), np.int64), *(d for *_, d in chunks(first(b), chunk_bits))])
             yield batch({"h1": pa.int64(), "h2": pa.int64()}, {"h1": digests[:, 0], "h2": digests[:, 1]})
 
-    shared = (text_only.mapInArrow(keys, "h1 long, h2 long").groupBy("h1", "h2")
+    shared = (text_only.mapInArrow(frugal(keys), "h1 long, h2 long").groupBy("h1", "h2")
               .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     needed = spark.sparkContext.broadcast(key_bits(shared, "h1", key_bits_))
 
@@ -219,15 +220,18 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = [bpe.encode(c).tobytes() for c in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["h1", "h2", "ids"])
 
-    table = (text_only.mapInArrow(repeated, "h1 long, h2 long, chunk binary")
+    table = (text_only.mapInArrow(frugal(repeated), "h1 long, h2 long, chunk binary")
              .groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
-             .mapInArrow(encode_chunks, "h1 long, h2 long, ids binary"))
+             .mapInArrow(frugal(encode_chunks), "h1 long, h2 long, ids binary"))
 
     def answer(row: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
         values = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-        return pa.RecordBatch.from_arrays([row, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                                          ["row", "ids"])
+        out = [row, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+        if decode:
+            bpe = codec(path)
+            out.append(pa.array([bpe.decode(x.tolist()) for x in ids], pa.string()))
+        return pa.RecordBatch.from_arrays(out, ["row", "ids", "decoded"][:len(out)])
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
@@ -260,9 +264,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     used = (docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"),
                         text_hash(F.col(text_col)).alias("text_hash"))
-            .mapInArrow(uses, "doc_id long, text_hash long, seq int, h1 long, h2 long")
+            .mapInArrow(frugal(uses), "doc_id long, text_hash long, seq int, h1 long, h2 long")
             .join(table, ["h1", "h2"]).select("doc_id", "text_hash", "seq", "ids"))
-    whole = (rows.mapInArrow(heavy, with_row(rows, "doc_id long, text_hash long"))
+    whole = (rows.mapInArrow(frugal(heavy), with_row(rows, "doc_id long, text_hash long"))
              .withColumns({"seq": F.lit(None).cast("int"), "ids": F.lit(None).cast("binary"), "is_row": F.lit(True)}))
     keyed = (whole.unionByName(used.withColumns({"row": F.lit(None).cast(rows.schema["row"].dataType),
                                                  "is_row": F.lit(False)}))
@@ -287,8 +291,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 out.append(encode_with(bpe, text[i], have))
             yield answer(b.column(0).take(pa.array(at, pa.int64())), out)
 
-    schema = with_row(rows, "ids array<int>")
-    return rows.select("row").mapInArrow(light, schema).unionByName(keyed.mapInArrow(assemble, schema))
+    schema = with_row(rows, "ids array<int>" + ", decoded string" * decode)
+    return rows.select("row").mapInArrow(frugal(light), schema).unionByName(keyed.mapInArrow(frugal(assemble), schema))
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -304,7 +308,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
                 out = [bpe.decode(flat[i:j].tolist()) for i, j in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return encoded.mapInArrow(frugal(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def split_text(text: bytes, limit: int) -> Iterator[bytes]:
@@ -340,4 +344,4 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", batch_bytes
                 ["row", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, with_row(rows, "n_bytes long, n_tokens long"))
+    return rows.mapInArrow(frugal(run), with_row(rows, "n_bytes long, n_tokens long"))

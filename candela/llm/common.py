@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ MULT = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Rows of whole texts in one Arrow batch, held by the JVM and the Python worker at once.
 ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 #: Bytes hashed together in word_hashes; every temporary array is eight times as large.
 HASH_BYTES = 1 << 19
 
@@ -28,6 +31,7 @@ HASH_BYTES = 1 << 19
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder, package files and Arrow batches of bounded size for a job of these operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     checkpoint_dir(spark)
     ship_package(spark)
 
@@ -43,6 +47,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(run):
+    """An Arrow function that gives its memory back when its task ends: Python workers stay for later tasks."""
+    @wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return held
+
+
+def release() -> None:
+    """Return to the system what the pools of this Python worker keep: power tables, Arrow's pool, free heap."""
+    if len(_POWERS[0]) > _POWERS_KEPT:
+        _POWERS[:] = [p[:_POWERS_KEPT].copy() for p in _POWERS]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):     # a C library without it
+        pass
+
+
 def text_hash(text: Column) -> Column:
     """64-bit hash of a text (null: of the empty text)."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -78,6 +104,7 @@ class WordHash(dict):
 
 
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
+_POWERS_KEPT = (1 << 19) + 1
 _TABLE = np.random.default_rng(1).integers(0, 1 << 64, 256, U64)       # a random value per byte
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
 

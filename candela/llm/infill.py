@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import U64, batch, slices, texts, with_row
+from candela.llm.common import U64, batch, frugal, slices, texts, with_row
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 _SLICE = 2 << 20
@@ -157,7 +157,7 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[k].append(v)
             yield batch({"row": None} | kind, {"row": b.column(0)} | out)
 
-    return rows.mapInArrow(run, with_row(rows, "n long, form string, prefix_units long, middle_units long, output string"))
+    return rows.mapInArrow(frugal(run), with_row(rows, "n long, form string, prefix_units long, middle_units long, output string"))
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import batch, slices, text_hash, texts, with_row
+from candela.llm.common import batch, frugal, slices, text_hash, texts, with_row
 
 UNDETERMINED = "und"
 BUCKET_BITS = 12
@@ -123,7 +123,7 @@ def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text") -> Mod
                 held.clear()
         yield out()
 
-    sums = (known.mapInArrow(count, "kept boolean, label string, bucket int, n long")
+    sums = (known.mapInArrow(frugal(count), "kept boolean, label string, bucket int, n long")
             .groupBy("kept", "label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict())
     languages = sorted(set(sums["label"]))
     codes = codewords(len(languages))
@@ -148,7 +148,7 @@ def fit(rows: DataFrame, label_col: str = "lang", text_col: str = "text") -> Mod
                      "bit": np.tile(np.arange(bits, dtype=np.int32), len(languages)),
                      "seen": np.repeat(seen, bits), "good": good.ravel()})
 
-    tested = (known.filter("kept").mapInArrow(hits, "i int, bit int, seen long, good long")
+    tested = (known.filter("kept").mapInArrow(frugal(hits), "i int, bit int, seen long, good long")
               .groupBy("i", "bit").agg(F.sum("seen").alias("seen"), F.sum("good").alias("good")).toArrow().to_pydict())
     accuracy = np.full(codes.shape, 0.5)
     accuracy[tested["i"], tested["bit"]] = (np.array(tested["good"]) + 1) / (np.array(tested["seen"]) + 2)
@@ -181,7 +181,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", ambiguous_abo
                  pa.array([x[2] > ambiguous_above for x in found], pa.bool_())],
                 ["row", "lang_pred", "score", "lang_second_score", "ambiguous"])
 
-    return rows.mapInArrow(run, with_row(rows, "lang_pred string, score double, lang_second_score double, ambiguous boolean"))
+    return rows.mapInArrow(frugal(run), with_row(rows, "lang_pred string, score double, lang_second_score double, ambiguous boolean"))
 
 
 def held_out(id_col: str = "doc_id"):

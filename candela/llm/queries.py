@@ -65,8 +65,8 @@ FROM d LEFT JOIN kept USING (r)
 def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.decode_ids(bpe.encode_documents(docs, path).select(F.col("row.doc_id").alias("doc_id"), "ids"), path)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    done = bpe.encode_documents(docs, path, decode=True)
+    return done.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

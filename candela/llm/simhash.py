@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import U64, batch, cut, text_hash, texts
+from candela.llm.common import U64, batch, cut, frugal, text_hash, texts
 from candela.llm.graph import components
 
 SEGMENT = 2
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"),
                        F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(frugal(run), "doc_id long, text_hash long, fp long")
 
 
 def group_cells(fp: np.ndarray, groups: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def links(fps: DataFrame, max_bits: int = 4, max_cell: int = 2048) -> DataFrame:
         if rows.shape[1]:
             yield done(rows)
 
-    placed = fps.select("fp").mapInArrow(cells, "cell long, fp long")
+    placed = fps.select("fp").mapInArrow(frugal(cells), "cell long, fp long")
     large = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_cell)
              .select("cell", F.ceil(F.col("n") / max_cell).cast("int").alias("k")))
     own = F.expr("cast(pmod(xxhash64(fp), coalesce(k, 1)) as int)")
@@ -159,7 +159,7 @@ def links(fps: DataFrame, max_bits: int = 4, max_cell: int = 2048) -> DataFrame:
               .select("cell", F.least("own", "other").cast("long").alias("lo"),
                       F.greatest("own", "other").cast("long").alias("hi"), "fp"))
     return (blocks.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "fp")
-            .mapInArrow(verify, "u long, v long").distinct())
+            .mapInArrow(frugal(verify), "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,

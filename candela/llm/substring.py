@@ -34,13 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import (U64, batch, cut, in_bits, key_bits, mix, powers, rolling, slices, text_hash, texts,
+from candela.llm.common import (U64, batch, cut, frugal, in_bits, key_bits, mix, powers, rolling, slices, text_hash, texts,
                                 with_row, word_hashes)
 
 _ROWS = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))   # odd: one hash per sketch row
 _SEGMENT = 17                                              # a sketch segment has 2^17 counters
 _BLOCK = 1 << 22                                           # words looked at together
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 class Anchors:
@@ -140,8 +140,8 @@ def sketch(rows: DataFrame, window: int, gram: int, bits: int) -> list[np.ndarra
                 once[seg] = once.get(seg, 0) | one
         yield batch(out, {"seg": list(twice), "payload": [x.tobytes() for x in twice.values()]})
 
-    merged = (rows.select("text").mapInArrow(part, "seg int, payload binary")
-              .repartition("seg").mapInArrow(merge, "seg int, payload binary").toArrow())
+    merged = (rows.select("text").mapInArrow(frugal(part), "seg int, payload binary")
+              .repartition("seg").mapInArrow(frugal(merge), "seg int, payload binary").toArrow())
     bitmap = np.zeros((len(_ROWS) * per_row, seg_bytes), np.uint8)
     for seg, payload in zip(merged.column("seg").to_pylist(), merged.column("payload").to_pylist()):
         bitmap[seg] = np.frombuffer(payload, np.uint8)
@@ -179,7 +179,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                    "doc_id": b.column(1).take(pa.array(at)), "text_hash": b.column(2).take(pa.array(at)),
                                    "lo": (a.lo + shift).astype(np.int32), "hi": (a.hi + shift).astype(np.int32)})
 
-    found = cut(rows.mapInArrow(spans, "gram long, span long, doc_id long, text_hash long, lo int, hi int"),
+    found = cut(rows.mapInArrow(frugal(spans), "gram long, span long, doc_id long, text_hash long, lo int, hi int"),
                 "substring_spans")
     # A place is known by the top bits of text_hash xor (lo << 40); one place stands for its class.
     place = F.expr("text_hash ^ shiftleft(cast(lo as bigint), 40)")
@@ -208,9 +208,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                     "doc_id": b.column(1).take(at), "text_hash": b.column(2).take(at),
                                     "lo": (begin + offset[doc] - a.first[doc]).astype(np.int32)})
 
-    single = cut(rows.mapInArrow(windows, "h1 long, h2 long, doc_id long, text_hash long, lo int"), "substring_windows")
+    single = cut(rows.mapInArrow(frugal(windows), "h1 long, h2 long, doc_id long, text_hash long, lo int"), "substring_windows")
     twice_met = cut(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"),
                     "substring_repeated")
+    for shared in (twice, needed):                     # every pass that reads them is written
+        shared.destroy()
     marks = (single.join(twice_met, ["h1", "h2"], "left_semi")
              .select("doc_id", "text_hash", "lo", F.col("lo").alias("hi")))
     return whole.unionAll(marks)
@@ -267,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [b.column(5).take(pa.array(at)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                      pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept_text"])
 
-    return keyed.mapInArrow(apply, with_row(rows, "n_words long, n_removed long, kept_text string"))
+    return keyed.mapInArrow(frugal(apply), with_row(rows, "n_words long, n_removed long, kept_text string"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
