@@ -51,9 +51,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode_documents(docs, path).select("row.doc_id", "row.source", "row.lang", "ids")
-    return (bpe.decode_ids(encoded, path)
-            .select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids",
+    return (bpe.encode_documents(docs, path, decode=True)
+            .select("row.doc_id", "row.source", "row.lang", F.size("ids").cast("long").alias("n_tokens"), "ids",
                     F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
