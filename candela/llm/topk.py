@@ -1,14 +1,20 @@
 """Exact top-k by inner product, block at a time.
 
-Candidates are cut into ranges of ids, a few thousand rows each, and those into
-small blocks kept as forward indexes (row-major integer matrices) with the
-largest and smallest value of every dimension. For a query, the sum over
-dimensions of the better of q * largest and q * smallest bounds every score in a
-block. Each range and group of queries meets in one task, which visits
-blocks by falling bound and stops, query by query, when the bound no longer
-reaches the k-th score so far; that score starts from the query's k best of a
-first, equally exact pass over one range. The k best of all ranges are merged
-by (score, id), so ties and results are exact.
+Rows are sorted by the signs of fixed random projections, so that neighbours
+are alike, and cut into ranges of a few thousand rows. A range has
+the largest and smallest value of every dimension, and so has each small block
+inside it, kept as a forward index (row-major integer matrix). For a query the sum over
+dimensions of the better of q * largest and q * smallest bounds every score there.
+
+1. Queries, sorted alike, are packed into groups. Each group first meets the one
+   range that promises most, which gives its queries a floor: a score that k candidates reach.
+2. Only the ranges' maxima and minima are compared with the queries. A range
+   is fetched for a group, by an equi-join, if its bound reaches the floor of one of the queries.
+3. In a task a group visits its ranges by falling bound, and their blocks too; a
+   query stops when the bound no longer reaches its k-th score so far.
+
+A group's ranges are dealt to ``LANES`` tasks, so the lists that are merged at the
+end are a fixed number per query. They are merged by (score, id): ties and results are exact.
 """
 
 from __future__ import annotations
@@ -20,8 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candela.llm.common import batch, cut
+from candela.llm.common import batch, cut, frugal
 
+LANES = 16
+_PAGE = 1024                           # range summaries compared in one task
+_PART = 8                              # ranges or groups written by one task
+_CODE = 16                             # projections in the sort key
 _NONE = np.iinfo(np.int64).min + 1     # below every score
 
 
@@ -84,143 +94,180 @@ def bounds(q: np.ndarray, blocks: list[np.ndarray]) -> np.ndarray:
     return product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low)
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray,
-           block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, score) of what may belong to the k best: the k best of ``rows`` per query, from ``floor`` on.
+class Best:
+    """The ``k`` best candidates so far of every query of a group."""
+
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, block: int):
+        self.rids, self.ids, self.q, self.k, self.block = rids, ids, q, k, block
+        self.least = floor.copy()
+        self.score = np.full((len(q), k), _NONE)
+        self.name = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.seen = self.scored = 0
+
+    def meet(self, rids: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Visit the blocks of a range by falling bound. Scores below the floor, and a query's own row, are not wanted."""
+        width = max(self.q.shape[1], rows.shape[1])
+        q, rows = _widen(self.q, width), _widen(rows, width)
+        parts = [slice(a, a + self.block) for a in range(0, len(rows), self.block)]
+        bound = bounds(q, [rows[p] for p in parts])
+        order = np.argsort(-bound, axis=1, kind="stable")
+        self.seen += len(q) * len(rows)
+        for turn in range(len(parts)):
+            at = order[:, turn]
+            live = np.flatnonzero(bound[np.arange(len(q)), at] >= self.least)
+            if not len(live):
+                break
+            for p in np.unique(at[live]):
+                mine = live[at[live] == p]
+                score = product(q[mine], rows[parts[p]])
+                self.scored += score.size
+                name = np.broadcast_to(ids[parts[p]], score.shape)
+                score = np.where((rids[parts[p]] == self.rids[mine, None]) | (score < self.least[mine, None]), _NONE, score)
+                score = np.concatenate([self.score[mine], score], axis=1)
+                name = np.concatenate([self.name[mine], name], axis=1)
+                top = np.lexsort((name, -score), axis=1)[:, :self.k]
+                self.score[mine] = np.take_along_axis(score, top, 1)
+                self.name[mine] = np.take_along_axis(name, top, 1)
+                self.least[mine] = np.maximum(self.least[mine], self.score[mine, -1])
+
+
+def _ready(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """(rid, id, code, v), written: rid tells rows apart, code sorts like with like."""
+    rows = quantised(vectors, id_col, vector_col, scale).select(F.monotonically_increasing_id().alias("rid"), "id", "v")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = matrix(_vectors(b.column(2))).astype(np.float64)
+            axes = np.random.default_rng(7).standard_normal((_CODE, max(m.shape[1], 1)))[:, :m.shape[1]]
+            code = ((m @ axes.T) > 0) @ (1 << np.arange(_CODE)[::-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code.astype(np.int32))], [*b.schema.names, "code"])
 
-    ``floor`` per query: scores below it are not wanted. Ties go to smaller ids; a query never finds its own id.
-    """
-    width = max(q.shape[1], rows.shape[1])
-    q, rows = _widen(q, width), _widen(rows, width)
-    parts = [slice(a, a + block) for a in range(0, len(rows), block)]
-    bound = bounds(q, [rows[p] for p in parts])
-    order = np.argsort(-bound, axis=1, kind="stable")
-    best_score = np.full((len(q), k), _NONE)
-    best_id = np.full((len(q), k), np.iinfo(np.int64).max)
-    least = floor.copy()
-    for turn in range(len(parts)):
-        at = order[:, turn]
-        live = np.flatnonzero(bound[np.arange(len(q)), at] >= least)
-        if not len(live):
-            break
-        for p in np.unique(at[live]):
-            mine = live[at[live] == p]
-            score = product(q[mine], rows[parts[p]])
-            name = np.broadcast_to(ids[parts[p]], score.shape)
-            score = np.where((name == q_ids[mine, None]) | (score < least[mine, None]), _NONE, score)
-            score = np.concatenate([best_score[mine], score], axis=1)
-            name = np.concatenate([best_id[mine], name], axis=1)
-            top = np.lexsort((name, -score), axis=1)[:, :k]
-            best_score[mine] = np.take_along_axis(score, top, 1)
-            best_id[mine] = np.take_along_axis(name, top, 1)
-            least[mine] = np.maximum(least[mine], best_score[mine, -1])
-    i, j = np.nonzero(best_score != _NONE)
-    return i, best_id[i, j], best_score[i, j]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
-          scale: int = 64, range_rows: int = 4096, block: int = 128, group: int = 512) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest integer inner products of every query, ties to smaller ids.
+    return cut(rows.mapInArrow(frugal(coded), "rid long, id long, v array<long>, code int"), "topk_rows")
 
-    ``queries`` holds ids and vectors too; a candidate of the query's own id takes no
-    part. Vectors of different lengths are compared as if the shorter ended in zeros.
-    Repeated candidate ids count once each row; a repeated query row is
-    answered once. Empty tables give an empty result.
-    """
-    rows = cut(quantised(vectors, id_col, vector_col, scale), "topk_rows")
-    asked = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
-    n_rows, n_asked = rows.count(), asked.count()
-    n_ranges, n_groups = max(1, -(-n_rows // range_rows)), max(1, -(-n_asked // group))
-    packed = rows.repartitionByRange(n_ranges, "id").mapInArrow(_pack(range_rows), "id0 long, ids array<long>, m binary, width int")
-    ranges = cut(packed, "topk_ranges")
-    grouped = cut(asked.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_groups)).cast("int"))
-                  .repartition(n_groups, "g").sortWithinPartitions("g", "id")
-                  .mapInArrow(_pack_groups, "g int, ids array<long>, m binary, width int"), "topk_queries")
-    pair = "g int, q_ids array<long>, q binary, q_width int, floors array<long>, ids array<long>, m binary, width int"
-    found = "query_id long, vec_id long, score long"
-    q_side = grouped.select("g", F.col("ids").alias("q_ids"), F.col("m").alias("q"), F.col("width").alias("q_width"))
-
-    # First pass: every group of queries meets one range, which gives each query a score that k candidates reach.
-    one = ranges.select("id0", F.xxhash64("id0").alias("h"))
-    chosen = one.agg(F.min(F.struct("h", "id0"))["id0"].alias("id0"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("g")
-    seed = ranges.join(F.broadcast(chosen), "id0", "left_semi").select(every, "ids", "m", "width")
-    first = (q_side.withColumn("floors", F.lit(None).cast("array<long>")).join(seed, "g")
-             .select(*[x.split()[0] for x in pair.split(", ")]).mapInArrow(_score(k, block), found))
-    floors = (first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") == k).withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int"))
-              .groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("known")))
-    started = cut(q_side.join(floors, "g", "left").withColumn(
-        "floors", F.transform("q_ids", lambda i: F.coalesce(F.try_element_at("known", i), F.lit(_NONE)))).drop("known"),
-        "topk_floors")
-
-    # Second pass: every range meets every group of queries, each pair in a row of its own.
-    met = (ranges.select(every, "ids", "m", "width").join(started, "g")
-           .select(*[x.split()[0] for x in pair.split(", ")]).repartition(max(n_ranges, n_groups), "ids", "g")
-           .mapInArrow(_score(k, block), found))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
-
-
-def _emit(ids: list[int], vectors: list[np.ndarray]) -> tuple[pa.Array, pa.Array, pa.Array]:
-    m = matrix(vectors)
-    return (pa.array([ids], pa.list_(pa.int64())), pa.array([packed(m)], pa.binary()), pa.array([m.shape[1]], pa.int32()))
-
-
-def _pack(most: int):
-    """Rows to blocks of at most ``most`` rows, in order of id within each task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [], []
 
-        def out(n: int) -> pa.RecordBatch:
-            order = np.argsort(np.array(ids[:n]), kind="stable").tolist()
-            got = pa.RecordBatch.from_arrays([pa.array([ids[order[0]]]), *_emit([ids[i] for i in order], [vectors[i] for i in order])],
-                                             ["id0", "ids", "m", "width"])
-            del ids[:n], vectors[:n]
-            return got
+_PACKED = "key long, rids array<long>, ids array<long>, m binary, width int, high array<long>, low array<long>"
+_PACK_KIND = {"key": pa.int64(), "rids": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "m": pa.binary(), "width": pa.int32(),
+              "high": pa.list_(pa.int64()), "low": pa.list_(pa.int64())}
 
-        for b in batches:
-            ids += b.column(0).to_pylist()
-            vectors += [v.copy() for v in _vectors(b.column(1))]
-            while len(ids) >= 2 * most:
-                yield out(most)
-        while ids:
-            yield out(min(len(ids), most))
 
-    return run
+def _packs(rows: DataFrame, n: int, most: int, name: str) -> DataFrame:
+    """Sorted rows in packs of at most ``most``, with their largest and smallest values."""
+    def made(rids: list, ids: list, vectors: list) -> pa.RecordBatch:
+        m = matrix(vectors)
+        return batch(_PACK_KIND, {"key": [rids[0]], "rids": [rids], "ids": [ids], "m": [packed(m)], "width": [m.shape[1]],
+                                  "high": [m.max(0)], "low": [m.min(0)]})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], []]
+        for b in batches:
+            held[0] += b.column(0).to_pylist()
+            held[1] += b.column(1).to_pylist()
+            held[2] += [v.copy() for v in _vectors(b.column(2))]
+            while len(held[0]) >= most:
+                yield made(*(h[:most] for h in held))
+                held = [h[most:] for h in held]
+        if held[0]:
+            yield made(*held)
+
+    spread = rows.select("rid", "id", "v", "code").repartitionByRange(max(1, -(-n // (most * _PART))), "code", "rid")
+    return cut(spread.sortWithinPartitions("code", "rid").mapInArrow(frugal(run), _PACKED), name)
+
+
+def _promising(groups: DataFrame, ranges: DataFrame, n_ranges: int, best: bool) -> DataFrame:
+    """(g, r, u): ranges whose bound reaches the floor of a query of the group, u the largest bound; ``best``: of each page the one
+    whose bounds add up to most."""
+    n_pages = max(1, -(-n_ranges // _PAGE))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    told = groups.select(F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1))).alias("p"), F.lit(True).alias("is_group"), F.col("key").alias("g"),
+                         "m", "width", "floors", none("high", "array<long>"), none("low", "array<long>"))
+    shown = ranges.select(F.pmod(F.xxhash64("key"), F.lit(n_pages)).cast("int").alias("p"), F.lit(False).alias("is_group"), F.col("key").alias("g"),
+                          none("m", "binary"), none("width", "int"), none("floors", "array<long>"), "high", "low")
 
-def _pack_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, ids, vectors = None, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, edges = None, [], None
+        for b in batches:
+            for r in b.to_pylist():
+                if r["p"] != page:
+                    page, held, edges = r["p"], [], None
+                if not r["is_group"]:
+                    held.append(r)
+                    continue
+                if not held:
+                    continue
+                if edges is None:
+                    edges = matrix([np.array(h["high"]) for h in held]), matrix([np.array(h["low"]) for h in held]), np.array([h["g"] for h in held])
+                floor = np.array(r["floors"])
+                q = unpacked(r["m"], len(floor), r["width"])
+                width = max(q.shape[1], edges[0].shape[1])
+                q, high, low = (_widen(x, width) for x in (q, edges[0], edges[1]))
+                bound = product(np.maximum(q, 0), high) + product(np.minimum(q, 0), low)
+                ok = (bound >= floor[:, None]).any(0)
+                if best:
+                    ok = np.arange(len(held)) == bound.astype(np.float64).sum(0).argmax()
+                j = np.flatnonzero(ok)
+                yield batch({"g": pa.int64(), "r": pa.int64(), "u": pa.float64()},
+                            {"g": np.full(len(j), r["g"]), "r": edges[2][j], "u": bound.astype(np.float64).max(0)[j]})
+
+    return (told.unionByName(shown).repartition("p").sortWithinPartitions("p", "is_group").mapInArrow(frugal(run), "g long, r long, u double"))
+
+
+def _found(groups: DataFrame, ranges: DataFrame, pairs: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_rid, query_id, vec_id, score): the k best of each query from each lane's ranges."""
+    shared = ["rids", "ids", "m", "width"]
+    first = groups.select(F.col("key").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.lit(False).alias("is_range"),
+                          F.lit(0.0).alias("u"), *shared, "floors")
+    met = (pairs.join(ranges.withColumnRenamed("key", "r").select("r", *shared), "r")
+           .select("g", F.pmod(F.xxhash64("r"), F.lit(LANES)).cast("int").alias("lane"), F.lit(True).alias("is_range"), "u", *shared,
+                   F.lit(None).cast("array<long>").alias("floors")))
+    kind = {"query_rid": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), *_emit(ids, vectors)], ["g", "ids", "m", "width"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Best | None = None
+
+        def out() -> pa.RecordBatch:
+            i, j = np.nonzero(held.score != _NONE)
+            return batch(kind, {"query_rid": held.rids[i], "query_id": held.ids[i], "vec_id": held.name[i, j], "score": held.score[i, j]})
 
-    for b in batches:
-        for i, v, g in zip(b.column(0).to_pylist(), _vectors(b.column(1)), b.column(2).to_pylist()):
-            if g != held:
-                if ids:
+        for b in batches:
+            for at in range(b.num_rows):
+                row = {n: b.column(c)[at] for c, n in enumerate(b.schema.names)}
+                rids, ids = (row[n].values.to_numpy() for n in ("rids", "ids"))
+                m = unpacked(row["m"].as_py(), len(ids), row["width"].as_py())
+                if row["is_range"].as_py():
+                    held.meet(rids, ids, m)
+                    continue
+                if held:
                     yield out()
-                held, ids, vectors = g, [], []
-            ids.append(i)
-            vectors.append(v.copy())
-    if ids:
-        yield out()
+                held = Best(rids.copy(), ids.copy(), m, row["floors"].values.to_numpy(), k, block)
+        if held:
+            yield out()
 
+    return (first.unionByName(met).repartition("g", "lane").sortWithinPartitions("g", "lane", "is_range", F.desc("u"))
+            .mapInArrow(frugal(run), "query_rid long, query_id long, vec_id long, score long"))
 
-def _score(k: int, block: int):
-    kind = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
-                q_ids, ids = (row[n].values.to_numpy() for n in ("q_ids", "ids"))
-                q = unpacked(row["q"].as_py(), len(q_ids), row["q_width"].as_py())
-                m = unpacked(row["m"].as_py(), len(ids), row["width"].as_py())
-                floor = row["floors"].values.to_numpy() if row["floors"].is_valid else np.full(len(q_ids), _NONE)
-                i, name, score = search(q_ids, q, ids, m, k, floor, block)
-                yield batch(kind, {"query_id": q_ids[i], "vec_id": name, "score": score})
+def top_k(vectors: DataFrame, asked: str, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
+          scale: int = 64, range_rows: int = 2048, block: int = 128, group: int = 512) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest integer inner products of every query, ties to smaller ids.
 
-    return run
+    Queries are the rows for which the SQL condition ``asked`` on ``id`` holds; a query's own row takes no part, other rows of its id
+    do. Vectors of different lengths are compared as if the shorter ended in zeros. Repeated rows are rows of their own, as
+    queries and as candidates. Rows with a null id or vector, or a null or non-finite component, take no part. Empty
+    tables give an empty result.
+    """
+    rows = _ready(vectors, id_col, vector_col, scale)
+    n_rows, n_asked = rows.agg(F.count(F.lit(1)), F.count_if(F.expr(asked))).first()
+    ranges = _packs(rows, n_rows, range_rows, "topk_ranges")
+    groups = _packs(rows.filter(asked), n_asked, group, "topk_queries")
+    n_ranges = ranges.select("key").count()
+    open_ = groups.withColumn("floors", F.transform("ids", lambda _: F.lit(_NONE)))
+    seeds = _promising(open_, ranges, n_ranges, True).groupBy("g").agg(F.max("u").alias("u"), F.max_by("r", "u").alias("r"))
+    floors = (_found(open_, ranges, seeds, k, block).groupBy("query_rid").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") == k).select(F.col("query_rid").alias("rid"), "floor"))
+    at = groups.select("key", F.posexplode("rids").alias("i", "rid")).join(floors, "rid", "left")
+    listed = at.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("floor", F.lit(_NONE)).alias("f")))),
+                                               lambda x: x["f"]).alias("floors"))                # at most ``group``
+    started = cut(groups.join(listed, "key"), "topk_floors")
+    met = _found(started, ranges, _promising(started, ranges, n_ranges, False), k, block)
+    best = Window.partitionBy("query_rid").orderBy(F.col("score").desc(), "vec_id")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
