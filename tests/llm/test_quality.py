@@ -58,12 +58,29 @@ def test_thresholds_hold_the_risk_per_stratum(spark):
     m = _measured(spark, rows)
     cut = quality.thresholds(m, m, F.col("stratum"))
     got = {(r.stratum, r.rule) for r in cut.collect()}
-    assert got == {("a", "symbol_share"), (None, "symbol_share")}                 # b would lose 15 % of its good, c has too few
+    assert got == {(s, r) for s in ("a", None) for r in quality.GRID}             # b would lose 15 % of its good, c has too few
     done = quality.judge(m, cut, F.col("stratum"))
     lost = {r.stratum: r.n for r in done.filter("not kept").groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert lost == {"a": 100, None: 9} and done.count() == len(rows)
 
 
+def test_a_small_stratum_of_four_is_certified(spark):
+    rows = [(s, 0.0, True) for s in "abcd" for _ in range(90 if s != "d" else 80)] + [(s, 0.4, False) for s in "abcd" for _ in range(5)]
+    m = _measured(spark, rows)
+    assert {r.stratum for r in quality.thresholds(m, m, F.col("stratum")).collect()} == {"a", "b", "c"}
+
+
+def test_levels_are_nested_and_joint(spark):
+    """A text's level is the first whose cutoffs reject it by any rule."""
+    import random
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([0.0, rng.random(), 1.0]) if r in rng.sample(list(quality.GRID), 2) else 0.0 for r in quality.GRID) for _ in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{r} double" for r in quality.GRID)).withColumn("t", quality.rejected_from(F.col))
+    for row in df.collect():
+        hit = [any(row[r] > quality.cutoff_at(r, t) for r in quality.GRID) for t in range(quality.LEVELS)]
+        assert hit == sorted(hit) and row.t == (hit.index(True) if True in hit else quality.LEVELS)
+
+
 def test_empty_and_unlabelled(spark):
     none = quality.measures(spark.createDataFrame([], SCHEMA))
     assert none.count() == 0
