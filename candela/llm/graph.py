@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from candela.llm.common import cut
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+# The smallest neighbours are written before they meet the edges again, so that both sides of that join are
+# exchanged and the edges of a hub, all with one key, are split over tasks.
+
+def _large_star(e: DataFrame, name: str) -> DataFrame:
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}_low")
     return (both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v").distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(e: DataFrame, name: str) -> DataFrame:
+    low = cut(e.groupBy("u").agg(F.min("v").alias("m")), f"{name}_low")
     return (e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(low.select("u", F.col("m").alias("v"))).distinct())
 
@@ -36,7 +39,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             .filter("u <> v").distinct(), name)
     was = state(e)
     while was[0]:
-        e = cut(_small_star(_large_star(e)), name)
+        e = cut(_small_star(cut(_large_star(e, name), f"{name}_large"), name), name)
         now = state(e)
         if now == was:
             break

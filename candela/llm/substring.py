@@ -188,8 +188,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   "substring_classes")
     whole = (found.join(classes.filter("n > 1"), ["gram", "span"], "left_semi")
              .select("doc_id", "text_hash", "lo", "hi"))
-    mixed = (classes.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least"))
-             .filter("spans > 1 and least = 1"))
+    mixed = cut(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("spans"), F.min("n").alias("least"))
+                .filter("spans > 1 and least = 1").select("gram"), "substring_mixed")
     needed = spark.sparkContext.broadcast(key_bits(classes.join(mixed, "gram", "left_semi"), "place", place_bits))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
