@@ -314,40 +314,45 @@ def ewm_columns(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = K
 
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_t: str, right_t: str,
               value_cols: list[str], direction: str = "backward",
-              left_order: list[str] | None = None) -> DataFrame:
-    """Attach to each left row the right row nearest in time within ``by``.
-
-    backward: last right row with right_t <= left_t (ties: right first);
-    forward: first right row with right_t >= left_t (ties: right first).
-    Union both sides, tag, and carry the right values with last/first
-    ignoreNulls over a running frame - one shuffle on ``by``, no range join.
-    The carried struct holds the right time as well (``<value>`` + ``_asof_t``).
+              left_order: list[str] | None = None, right_order: list[str] | None = None, bucket_seconds: int = 86400) -> DataFrame:
+    """Attach to each left row the right row nearest in time within ``by``, at any time resolution.
+
+    backward: last right row with right_t <= left_t; forward: first right row with right_t >= left_t; right rows of one
+    time go by ``right_order``. Both sides are cut into (by, bucket of ``bucket_seconds``) and united there, and each
+    left row takes the last right row of a running frame; rows before their bucket's first right row
+    take the one carried in from earlier buckets, by a table of one row per (by, bucket). So a
+    key holding most of the rows is as many tasks as it has buckets. Adds the right time as ``_asof_t``.
+    Left rows with a null key or time stay, with nulls.
     """
-    left_order = left_order or []
-    lcols = left.columns
-    carry = F.struct(F.col("_rt").alias("_asof_t"), *[F.col(c) for c in value_cols])
-    lsel = [F.col(c) for c in lcols] + [F.lit(None).cast(right.schema[right_t].dataType).alias("_rt")] + \
-        [F.lit(None).cast(right.schema[c].dataType).alias(c) for c in value_cols] + \
-        [F.col(left_t).alias("_t"), F.lit(1 if direction == "backward" else 0).alias("_side")]
-    rsel = [F.col(by)] + [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in lcols if c != by] + \
-        [F.col(right_t).alias("_rt")] + [F.col(c) for c in value_cols] + \
-        [F.col(right_t).alias("_t"), F.lit(0 if direction == "backward" else 1).alias("_side")]
-    lpart = left.select(*lsel)
-    rpart = right.select(*rsel).select(*lpart.columns)
-    both = lpart.unionByName(rpart)
-    order = ["_t", "_side"] + left_order
-    if direction == "backward":
-        w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        picked = F.last(F.when(F.col("_rt").isNotNull(), carry), True).over(w)
-        is_left = F.col("_side") == 1
+    back = direction == "backward"
+    bucket = lambda t: F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / bucket_seconds)
+    carry = F.struct(F.col(right_t).alias("_asof_t"), *[F.col(c) for c in value_cols])
+    right = right.filter(F.col(by).isNotNull() & F.col(right_t).isNotNull())
+    rside = right.select(F.col(by).alias("_by"), bucket(right_t).alias("_bk"), F.col(right_t).alias("_t"), F.lit(0 if back else 1).alias("_side"),
+                         F.struct(*[F.col(c) for c in (right_order or value_cols)]).alias("_ro"), carry.alias("_v"))
+    lside = left.select(F.col(by).alias("_by"), bucket(left_t).alias("_bk"), F.col(left_t).alias("_t"), F.lit(1 if back else 0).alias("_side"),
+                        F.struct("*").alias("_row"))
+    # The last (first) right row of every bucket, carried over the buckets after (before) it.
+    order = F.struct("_t", "_ro")
+    edge = rside.groupBy("_by", "_bk").agg((F.max_by if back else F.min_by)("_v", order).alias("_e"))
+    marks = edge.unionByName(lside.filter(F.col("_by").isNotNull() & F.col("_bk").isNotNull()).select("_by", "_bk").distinct()
+                             .withColumn("_e", F.lit(None).cast(edge.schema["_e"].dataType)))
+    marks = marks.groupBy("_by", "_bk").agg(F.max("_e").alias("_e"))
+    over = Window.partitionBy("_by").orderBy("_bk")
+    over = over.rowsBetween(Window.unboundedPreceding, -1) if back else over.rowsBetween(1, Window.unboundedFollowing)
+    marks = marks.withColumn("_in", (F.last if back else F.first)("_e", True).over(over)).select("_by", "_bk", "_in")
+    both = lside.unionByName(rside, allowMissingColumns=True)
+    # The order inside one time matters among right rows only: each left row stands behind (before) all of them.
+    if back:
+        w = Window.partitionBy("_by", "_bk").orderBy("_t", "_side", "_ro").rowsBetween(Window.unboundedPreceding, 0)
+        near = F.last("_v", True).over(w)
     else:
-        w = Window.partitionBy(by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        picked = F.first(F.when(F.col("_rt").isNotNull(), carry), True).over(w)
-        is_left = F.col("_side") == 0
-    out = both.withColumn("_pick", picked).filter(is_left)
-    return out.select(*[F.col(c) for c in lcols],
-                      *[F.col("_pick")[c].alias(c) for c in value_cols],
-                      F.col("_pick._asof_t").alias("_asof_t"))
+        w = Window.partitionBy("_by", "_bk").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_ro")).rowsBetween(Window.unboundedPreceding, 0)
+        near = F.last("_v", True).over(w)
+    told = both.withColumn("_near", near).filter(F.col("_row").isNotNull())
+    told = told.join(marks, ["_by", "_bk"], "left").withColumn("_pick", F.when(
+        F.col("_by").isNotNull() & F.col("_t").isNotNull(), F.coalesce("_near", "_in")))
+    return told.select("_row.*", *[F.col("_pick")[c].alias(c) for c in value_cols], F.col("_pick._asof_t").alias("_asof_t"))
 
 
 def neighbour_day(days: DataFrame, by: str, day: str, direction: str, bucket_days: int = BUCKET_DAYS) -> DataFrame:

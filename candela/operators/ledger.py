@@ -1,33 +1,30 @@
-"""Paper-trading ledger (family H): fold a table of trade orders into cash,
+"""Paper-trading ledger (family H): apply a table of trade orders to cash,
 positions and executed trades.
 
-Order prices come from a backward as-of join to daily bars. The fold itself
-is sequential per user (cash couples all symbols and every decision depends
-on the state), and it is not associative, so there is no parallel prefix
-form. It runs as a streaming fold: orders are hash-partitioned by user,
-sorted inside each partition, and ``mapInPandas`` walks each partition once,
-carrying one user's state at a time. Users run in parallel; memory per task
-is one Arrow batch plus one user's positions, never a whole group.
+Whether an order executes depends on all earlier ones of its account (cash couples
+all symbols), so an account is a sequence, but its state is small: cash and
+open positions. ``fold_rounds`` applies blocks of orders of all accounts at once,
+in the JVM, and never collects an account.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candela.functions.folds import BLOCK, fold_rounds, let
 from candela.functions.scalar import rnd
-from candela.functions.windows import asof_join_daily
+from candela.functions.windows import asof_join, asof_join_daily
 
 STARTING_CASH = 10000.0
 DUST = 1e-6
+NUMBER_DAYS = 30       # bucket in which an account's orders are numbered
 
-LEDGER_SCHEMA = ("user_id long, order_id long, executed_at timestamp_ntz, symbol string, action string, "
-                 "quantity double, price double, total double, status string, cash_after double, "
-                 "position_qty double, position_avg double")
+LEDGER_COLS = ["user_id", "order_id", "executed_at", "symbol", "action", "quantity", "price", "total", "status",
+               "cash_after", "position_qty", "position_avg"]
+_HELD = "MAP<STRING, STRUCT<q: DOUBLE, a: DOUBLE>>"
 
 
 def order_pricing(orders: DataFrame, bars: DataFrame) -> DataFrame:
@@ -37,6 +34,18 @@ def order_pricing(orders: DataFrame, bars: DataFrame) -> DataFrame:
     return asof_join_daily(orders, b, "d", ["price"], direction="backward").drop("_asof_d")
 
 
+def order_pricing_at(orders: DataFrame, quotes: DataFrame, t: str = "executed_at", quote_t: str = "ts", price: str = "px",
+                     quote_order: list[str] | None = None, bucket_seconds: int = 86400) -> DataFrame:
+    """Price every order with the newest quote (symbol, time, price) at or before its time: intraday fills.
+
+    ``quotes`` may be trades or bars stamped with the time their close is known. ``quote_order`` orders quotes of one time.
+    Adds ``price`` and ``priced_at``; orders before the first quote have none.
+    """
+    q = quotes.select("symbol", F.col(quote_t).alias("_qt"), F.col(price).cast("double").alias("price"), *(quote_order or []))
+    return asof_join(orders, q, "symbol", t, "_qt", ["price"], right_order=quote_order,
+                     bucket_seconds=bucket_seconds).withColumnRenamed("_asof_t", "priced_at")
+
+
 def r6(x: float) -> float:
     """Money and quantity rounding to 6 dp: floor(x * 1e6 + 0.5) / 1e6.
 
@@ -46,61 +55,50 @@ def r6(x: float) -> float:
     return math.floor(x * 1e6 + 0.5) / 1e6
 
 
-def _fold(batches: Iterator[pd.DataFrame], start_cash: float) -> Iterator[pd.DataFrame]:
-    user = None
-    cash = start_cash
-    pos: dict[str, list[float]] = {}
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            if r.user_id != user:
-                user, cash, pos = r.user_id, start_cash, {}
-            q = float(r.quantity)
-            px = None if pd.isna(r.price) else float(r.price)
-            held = pos.get(r.symbol)
-            if px is None:
-                out.append((r.user_id, r.order_id, r.executed_at, r.symbol, r.action, q, None, None,
-                            "no_price", cash, held[0] if held else 0.0, held[1] if held else None))
-                continue
-            cost = r6(q * px)
-            if q <= 0 or r.action not in ("buy", "sell"):
-                status = "invalid"
-            elif r.action == "buy":
-                if cash < cost:
-                    status = "insufficient_cash"
-                else:
-                    status = "executed"
-                    cash = r6(cash - cost)
-                    if held:
-                        new_q = held[0] + q
-                        held[1] = r6((held[1] * held[0] + px * q) / new_q)
-                        held[0] = r6(new_q)
-                    else:
-                        held = pos[r.symbol] = [r6(q), r6(px)]
-            else:
-                if not held or held[0] < q:
-                    status = "insufficient_position"
-                else:
-                    status = "executed"
-                    cash = r6(cash + cost)
-                    held[0] = r6(held[0] - q)
-                    if held[0] < DUST:
-                        del pos[r.symbol]
-                        held = None
-            out.append((r.user_id, r.order_id, r.executed_at, r.symbol, r.action, q, px,
-                        cost, status, cash, held[0] if held else 0.0, held[1] if held else None))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER_SCHEMA.split(", ")])
-
-
-def ledger_apply(priced: DataFrame, start_cash: float = STARTING_CASH) -> DataFrame:
+def _r6(x: str) -> str:
+    return f"floor(({x}) * 1e6D + 0.5D) / 1e6D"
+
+
+def _step() -> str:
+    """SQL of the account after order ``o``: (cash, held, out)."""
+    status = """CASE WHEN o.price IS NULL THEN 'no_price'
+        WHEN coalesce(o.quantity <= 0, true) OR coalesce(o.action NOT IN ('buy', 'sell'), true) THEN 'invalid'
+        WHEN o.action = 'buy' AND s.cash < c.cost THEN 'insufficient_cash'
+        WHEN o.action = 'sell' AND coalesce(c.h.q < o.quantity, true) THEN 'insufficient_position' ELSE 'executed' END"""
+    cash = f"""CASE WHEN st <> 'executed' THEN s.cash WHEN o.action = 'buy' THEN {_r6('s.cash - c.cost')}
+        ELSE {_r6('s.cash + c.cost')} END"""
+    bought = f"""named_struct('q', CASE WHEN c.h IS NULL THEN {_r6('o.quantity')} ELSE {_r6('c.h.q + o.quantity')} END,
+        'a', CASE WHEN c.h IS NULL THEN {_r6('o.price')}
+             ELSE {_r6('(c.h.a * c.h.q + o.price * o.quantity) / (c.h.q + o.quantity)')} END)"""
+    left = _r6("c.h.q - o.quantity")
+    position = f"""CASE WHEN st <> 'executed' THEN c.h WHEN o.action = 'buy' THEN {bought}
+        WHEN {left} < {DUST}D THEN NULL ELSE named_struct('q', {left}, 'a', c.h.a) END"""
+    others = "map_filter(s.held, (k, v) -> k <> o.name)"
+    held = f"CASE WHEN st <> 'executed' THEN s.held WHEN p IS NULL THEN {others} ELSE map_concat({others}, map(o.name, p)) END"
+    row = """named_struct('user_id', o.user_id, 'order_id', o.order_id, 'executed_at', o.executed_at, 'symbol', o.symbol,
+        'action', o.action, 'quantity', o.quantity, 'price', o.price, 'total', c.cost, 'status', st, 'cash_after', cash,
+        'position_qty', coalesce(p.q, 0.0D), 'position_avg', p.a)"""
+    step = let("c", f"named_struct('h', s.held[o.name], 'cost', {_r6('o.quantity * o.price')})", let("st", status, let(
+        "p", position, let("cash", cash, f"named_struct('cash', cash, 'held', {held}, 'out', concat(s.out, array({row})))"))))
+    return step
+
+
+def ledger_apply(priced: DataFrame, start_cash: float = STARTING_CASH, block: int = BLOCK) -> DataFrame:
     """One row per order: status (executed / insufficient_cash /
-    insufficient_position / no_price), cash after it and the position of its
-    symbol after it. Orders are applied per user by (executed_at, order_id).
-    Price and total are unrounded here (display rounding is the caller's)."""
-    cols = ["user_id", "order_id", "executed_at", "symbol", "action", "quantity", "price"]
-    ordered = (priced.select(*cols).repartition("user_id")
-               .sortWithinPartitions("user_id", "executed_at", "order_id"))
-    return ordered.mapInPandas(lambda it: _fold(it, float(start_cash)), schema=LEDGER_SCHEMA)
+    insufficient_position / no_price / invalid), cash after it and the position of its
+    symbol after it. Orders are applied per user by (executed_at, order_id), null times first;
+    orders without a user share one account. Price and total are unrounded here
+    (display rounding is the caller's). The result is a checkpoint, so reading it again applies nothing again.
+    """
+    price = F.col("price").cast("double")
+    rows = priced.select("user_id", "order_id", "executed_at", "symbol", "action", F.col("quantity").cast("double").alias("quantity"),
+                         F.when(~F.isnan(price), price).alias("price"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    row_type = "STRUCT<" + ", ".join(f"{c}: {kind.get(c, 'string' if c == 'status' else 'double')}" for c in LEDGER_COLS) + ">"
+    rows = rows.withColumn("name", F.coalesce("symbol", F.lit("\0")))
+    bucket = F.coalesce(F.floor(F.unix_date(F.to_date("executed_at")) / NUMBER_DAYS), F.lit(-1 << 40))
+    return fold_rounds(rows, F.col("user_id"), ["executed_at", "order_id"], bucket, [*LEDGER_COLS[:7], "name"],
+                       {"cash": f"{float(start_cash)!r}D", "held": f"CAST(map() AS {_HELD})"}, _step(), row_type, block)
 
 
 def ledger_positions(ledger: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candela.functions.scalar import rnd
-from candela.functions.windows import asof_join_daily
+from candela.functions.windows import asof_join, asof_join_daily
 
 
 def accuracy_update(predictions: DataFrame, series: DataFrame, as_of, horizon_days: int = 14,
@@ -14,7 +14,7 @@ def accuracy_update(predictions: DataFrame, series: DataFrame, as_of, horizon_da
     """Score unscored predictions older than ``horizon_days`` at ``as_of``.
 
     The actual price is the first close on or after created_at + horizon
-    (forward as-of join on the day calendar); accuracy is
+    (forward as-of join on the day calendar, or on the time if the bars' ``d`` is one); accuracy is
     max(0, 100 - |actual - predicted| / actual * 100) to 2 dp, the "$" is
     stripped from the stored text. ``per_user``, if given, limits a run to so many
     scorable predictions per user, lowest ids first; those that still wait
@@ -23,6 +23,7 @@ def accuracy_update(predictions: DataFrame, series: DataFrame, as_of, horizon_da
     p = predictions
     if "accuracy_pct" in p.columns:
         p = p.filter(F.col("accuracy_pct").isNull())
+    intraday = series.schema["d"].dataType.typeName() != "date"
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {horizon_days} DAYS")
     p = p.filter(F.col("created_at") < cutoff)
     target = F.col("created_at") + F.expr(f"INTERVAL {horizon_days} DAYS")
@@ -32,7 +33,10 @@ def accuracy_update(predictions: DataFrame, series: DataFrame, as_of, horizon_da
                  F.col("_tgt").cast("date")).otherwise(F.date_add(F.col("_tgt").cast("date"), 1))
     p = p.withColumn("_tgt", target).withColumn("_day", day)
     bars = series.select("symbol", "d", F.col("close").alias("actual"))
-    j = asof_join_daily(p, bars, "_day", ["actual"], direction="forward")
+    if intraday:
+        j = asof_join(p, bars, "symbol", "_tgt", "d", ["actual"], direction="forward").withColumnRenamed("_asof_t", "_asof_d")
+    else:
+        j = asof_join_daily(p, bars, "_day", ["actual"], direction="forward")
     pred = F.replace(F.col("predicted_result"), F.lit("$"), F.lit("")).try_cast("double")
     acc = 100 - F.abs((F.col("actual") - pred) / F.col("actual") * 100)
     scored = j.filter(F.col("actual").isNotNull() & F.col("predicted_result").isNotNull()

@@ -2,9 +2,8 @@
 
 Sentiment is re-aimed from a packaged lexicon scorer to a lexicon argument:
 a document's valence is the sum of the weights of its tokens, normalised as
-s / sqrt(s^2 + 15). Tokens meet the lexicon in an equi-join, whatever its size
-(AQE broadcasts it when its measured size is small), and are summed per
-document with a partial aggregate. ``doc_id`` names a headline.
+s / sqrt(s^2 + 15). Tokens meet the lexicon in an equi-join: broadcast up to
+``BROADCAST_TOKENS`` counted tokens, shuffled beyond. ``doc_id`` names a headline.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from candela.functions.scalar import rnd
 
 TOKEN_SPLIT = r"[^\p{L}]+"
 ALPHA = 15.0
+BROADCAST_TOKENS = 200_000      # a lexicon of at most so many tokens (about 10 MB) is sent to every task
 
 
 def tokens(text: F.Column) -> F.Column:
@@ -47,11 +47,15 @@ def headline_text(headlines: DataFrame, title_chars: int | None = None,
 def headline_sentiment(headlines: DataFrame, lexicon: DataFrame, title_chars: int | None = None,
                        summary_chars: int | None = None) -> DataFrame:
     """Per headline: compound score (3 dp) and positive / negative / neutral."""
-    h = headlines.withColumn("_text", headline_text(headlines, title_chars, summary_chars))
-    weights = lexicon.groupBy("token").agg(F.sum("weight").alias("_w"))     # a token listed twice adds both weights
-    found = h.select("doc_id", F.explode(tokens(F.col("_text"))).alias("token")).join(weights, "token")
-    sums = found.groupBy("doc_id").agg(F.sum("_w").alias("_s"))
-    scored = h.join(sums, "doc_id", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    weights = lexicon.groupBy("token").agg(F.sum("weight").alias("_w")).checkpoint()     # a token listed twice adds both weights
+    if weights.count() <= BROADCAST_TOKENS:
+        weights = F.broadcast(weights)
+    # Tokens are summed per row where they are split, so one row a headline is shuffled, without its text.
+    h = headlines.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "symbol", "published",
+                         headline_text(headlines, title_chars, summary_chars).alias("_text"))
+    h = h.select("_row", "doc_id", "symbol", "published", F.explode_outer(tokens(F.col("_text"))).alias("token"))
+    scored = (h.join(weights, "token", "left").groupBy("_row", "doc_id", "symbol", "published")
+              .agg(F.coalesce(F.sum("_w"), F.lit(0.0)).alias("_s")))
     c = compound(F.col("_s"))
     return scored.select("doc_id", "symbol", "published", rnd(c, 3).alias("score"), label(c).alias("sentiment"),
                          c.alias("_compound"))
@@ -60,7 +64,7 @@ def headline_sentiment(headlines: DataFrame, lexicon: DataFrame, title_chars: in
 def symbol_sentiment(scored: DataFrame, symbols: list[str] | None = None, k: int = 8) -> DataFrame:
     """Newest k headlines per symbol: mean score, BULLISH / BEARISH / NEUTRAL
     at +-0.05; a symbol without headlines scores 0 (NEUTRAL)."""
-    w = Window.partitionBy("symbol").orderBy(F.col("published").desc())
+    w = Window.partitionBy("symbol").orderBy(F.col("published").desc(), F.col("doc_id").desc())
     top = scored.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
     g = top.groupBy("symbol").agg(F.avg("_compound").alias("_avg"), F.count(F.lit(1)).alias("count"))
     if symbols is not None:

@@ -104,11 +104,13 @@ def parse_payment_events(raw: DataFrame, json_col: str = "json") -> DataFrame:
     return raw.select("*", F.from_json(F.col(json_col), PAYMENT_SCHEMA).alias("e"))
 
 
-def payment_credits(parsed: DataFrame, plans: DataFrame) -> DataFrame:
+def payment_credits(parsed: DataFrame, plans: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Credits from parsed events: completed checkouts (amount from the
     pack or plan price) and subscription renewals of billing reason
     ``subscription_cycle`` (amount from the invoice); other events are
-    ignored, as are events whose user or tokens are zero or missing."""
+    ignored, as are events whose user or tokens are zero or missing. ``keep``
+    names columns of ``parsed`` to carry along."""
+    keep = keep or []
     o = F.col("e.data.object")
     is_checkout = F.col("e.type") == "checkout.session.completed"
     is_renewal = (F.col("e.type") == "invoice.payment_succeeded") & (o["billing_reason"] == "subscription_cycle")
@@ -121,14 +123,14 @@ def payment_credits(parsed: DataFrame, plans: DataFrame) -> DataFrame:
         F.coalesce(meta["tokens"].try_cast("long"), F.lit(0)).alias("tokens"),
         F.when(o["mode"] == "subscription", meta["plan_id"]).when(is_renewal, meta["plan_id"])
          .otherwise(meta["pack_id"]).alias("plan_id"),
-        o["amount_paid"].alias("_invoice_cents"))
+        o["amount_paid"].alias("_invoice_cents"), *keep)
     ev = ev.filter(F.col("kind").isNotNull() & (F.col("user_id") != 0) & (F.col("tokens") != 0))
     # six-row price table: broadcast is bounded by construction
     j = ev.join(F.broadcast(plans.select("plan_id", "kind", "price_cents").withColumnRenamed("kind", "_pk")),
                 "plan_id", "left")
     amount = F.when(F.col("kind") == "renewal", F.coalesce(F.col("_invoice_cents"), F.lit(0)) / 100.0) \
         .otherwise(F.coalesce(F.col("price_cents"), F.lit(0)) / 100.0)
-    return j.select("event_id", "user_id", "kind", "mode", "plan_id", "tokens", rnd(amount, 2).alias("amount_paid"))
+    return j.select("event_id", "user_id", "kind", "mode", "plan_id", "tokens", rnd(amount, 2).alias("amount_paid"), *keep)
 
 
 def plan_revenue(credits: DataFrame, plans: DataFrame) -> DataFrame:
@@ -170,11 +172,65 @@ def rate_limit_windows(requests: DataFrame, limits=RATE_LIMITS) -> DataFrame:
     return out
 
 
-def active_keys(key_requests: DataFrame, cap: int = MAX_KEYS_PER_USER) -> DataFrame:
-    """Key creation requests (user_id, key_id, created_at) honoured while the
-    user has fewer than ``cap`` active keys; listed newest first."""
+def admissions(requests: DataFrame, limits=RATE_LIMITS) -> DataFrame:
+    """Every request (key_id, id, ts) with its ``verdict`` under all ``limits`` together.
+
+    ``limits`` are (unit, duration, limit), finest first, each unit nested in the next. A request is admitted if it is among the
+    first of its window and every finer limit admitted it; else the verdict names the finest limit that refuses it.
+    Requests refused by one limit do not count against the next. (ts, id) orders the requests of a client;
+    null clients are one client.
+
+    What a window admits is its beginning, so per finest window only the last admitted (ts, id) of each limit is
+    needed: ranks are cut off at the limit before anything is shuffled, and requests meet one row of their window.
+    """
+    from pyspark.sql import Window
+    finest = limits[0][0]
+    key = F.coalesce(F.col("key_id").cast("string"), F.lit(""))
+    rows = requests.withColumns({"_k": key, "_w": F.date_trunc(finest, "ts")})
+    at = F.struct("ts", "id")
+    left, marks = rows.select("_k", "_w", "ts", "id"), None
+    for name, _, most in limits:
+        window = Window.partitionBy("_k", F.date_trunc(name, "ts")).orderBy("ts", "id")
+        left = left.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= most).drop("_n")
+        last = left.groupBy("_k", "_w").agg(F.max(at).alias(f"_{name}"))
+        marks = last if marks is None else marks.join(last, ["_k", "_w"], "left")
+    verdict = F.lit("admitted")
+    for name, _, _ in reversed(limits):
+        verdict = F.when(F.coalesce(at <= F.col(f"_{name}"), F.lit(False)), verdict).otherwise(F.lit(name))
+    return rows.join(marks, ["_k", "_w"]).select(*requests.columns, verdict.alias("verdict"))
+
+
+def key_events(events: DataFrame, cap: int = MAX_KEYS_PER_USER) -> DataFrame:
+    """Every event (user_id, seq, ts, action create / revoke, key_id) with its outcome and the user's active keys after it.
+
+    A key is created while the user has fewer than ``cap`` active keys; a revocation frees the slot of an active
+    key of that user and is ``not found`` for any other. Events go by (ts, seq).
+    """
+    from candela.functions.folds import fold_rounds, let
+    kind = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    status = f"""CASE WHEN o.action = 'create' THEN CASE WHEN size(s.keys) < {cap} THEN 'created' ELSE 'limit reached' END
+        WHEN o.action = 'revoke' THEN CASE WHEN coalesce(array_contains(s.keys, o.key_id), false) THEN 'revoked' ELSE 'not found' END
+        ELSE 'invalid' END"""
+    keys = """CASE WHEN st = 'created' THEN array_append(s.keys, o.key_id) WHEN st = 'revoked' THEN array_remove(s.keys, o.key_id)
+        ELSE s.keys END"""
+    fields = ["user_id", "seq", "ts", "action", "key_id"]
+    row = "named_struct(" + ", ".join(f"'{c}', o.{c}" for c in fields) + ", 'status', st, 'active', size(k))"
+    step = let("st", status, let("k", keys, f"named_struct('keys', k, 'out', concat(s.out, array({row})))"))
+    out = "STRUCT<" + ", ".join(f"{c}: {kind[c]}" for c in fields) + ", status: STRING, active: INT>"
+    bucket = F.coalesce(F.floor(F.unix_date(F.to_date("ts")) / 30), F.lit(-1 << 40))
+    return fold_rounds(events.filter(F.col("key_id").isNotNull()), F.col("user_id"), ["ts", "seq"], bucket, fields,
+                       {"keys": f"CAST(array() AS ARRAY<{kind['key_id']}>)"}, step, out)
+
+
+def active_keys(events: DataFrame, cap: int = MAX_KEYS_PER_USER) -> DataFrame:
+    """The keys that were created, newest first per user, and whether each is still active (events as in ``key_events``)."""
     from pyspark.sql import Window
-    w = Window.partitionBy("user_id").orderBy("created_at", "key_id")
-    acc = key_requests.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= cap)
-    w2 = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("key_id").desc())
-    return acc.withColumn("rank", F.row_number().over(w2).cast("long")).select("user_id", "rank", "key_id", "created_at")
+    done = key_events(events, cap)
+    made = done.filter("status = 'created'").select("user_id", "key_id", F.col("ts").alias("created_at"), "seq")
+    gone = done.filter("status = 'revoked'").select("user_id", "key_id", F.lit(False).alias("_on"))
+    # A user's keys: at most ``cap`` at a time, in all as many as were created; numbered newest first.
+    newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("seq").desc())
+    same = (made["user_id"].eqNullSafe(gone["user_id"])) & (made["key_id"] == gone["key_id"])
+    listed = made.join(gone, same, "left").select(made["user_id"], made["key_id"], "created_at", "seq",
+                                                  F.coalesce("_on", F.lit(True)).alias("is_active"))
+    return listed.withColumn("rank", F.row_number().over(newest).cast("long")).select("user_id", "rank", "key_id", "created_at", "is_active")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candela.operators import forecast as fc
+from candela.operators import rollforward as rf
+from candela.operators import trees as tr
 from candela.operators.indicators import FEATURE_COLS, select_group_cols
-from candela.operators.snapshot import tail_rows
 from candela.plans.common import TIE_SHIFT, rounded, sql_round
 from candela.plans.registry import register
+from candela.plans.sql_models import ref_base_sql, ref_step_ctes, ref_step_sql, ridge_ctes
 from candela.plans.sql_parts import prefixed_feature_ctes, trimmed_ctes, with_ctes
 from candela.sources import tables
 
-GROUPS = fc.LINEAR_GROUPS
-COLS = select_group_cols(GROUPS)
+COLS = select_group_cols(None)      # the default groups
 HORIZON = 14
 
 _TS = [("ts0", f"""SELECT symbol, d, {', '.join(COLS)}, target_lr, close FROM ft
@@ -33,17 +34,29 @@ def _ctes():
 
 
 def _tset(spark, sf_dir):
-    return fc.training_set(tables.processed(spark, sf_dir), GROUPS)
+    return fc.training_set(tables.processed(spark, sf_dir))
 
 
+_TRAINING: dict = {}
+_STATS: dict = {}
 _SCALED: dict = {}
 _MODEL: dict = {}
+_BLOCKS: dict = {}
+
+
+def _training(spark, sf_dir):
+    """The training set, persisted: the search for its order statistics reads it once a round."""
+    return tables._session_cached(_TRAINING, spark, sf_dir, lambda: _tset(spark, sf_dir))
+
+
+def _stats(spark, sf_dir):
+    return tables._session_cached(_STATS, spark, sf_dir, lambda: fc.scaler_stats(_training(spark, sf_dir), COLS))
 
 
 def _scaled(spark, sf_dir):
     """The scaled training set, persisted once per session: the hold-out,
     the tree models, the roll-forward and the sequence windows share it."""
-    return tables._session_cached(_SCALED, spark, sf_dir, lambda: fc.robust_scale(_tset(spark, sf_dir), COLS))
+    return tables._session_cached(_SCALED, spark, sf_dir, lambda: fc.scale_rows(_training(spark, sf_dir), _stats(spark, sf_dir), COLS))
 
 
 _R = ", ".join(f"{sql_round(c)} AS {c}" for c in COLS)
@@ -66,15 +79,21 @@ def _ridge(spark, sf_dir):
     return sc, tables._session_cached(_MODEL, spark, sf_dir, lambda: fc.forecast_ridge(sc, COLS, 2.0))
 
 
-@register("forecast_ridge")
+@register("forecast_ridge", with_ctes(_ctes() + ridge_ctes(COLS), f"""SELECT symbol,
+  list_transform(coef, lambda x: round(x + {TIE_SHIFT}, 6)) AS coef, {sql_round('intercept')} AS intercept FROM ridge"""))
 def forecast_ridge(spark, sf_dir):
     _, m = _ridge(spark, sf_dir)
-    return m
+    return rounded(m.withColumn("coef", F.transform("coef", lambda x: F.round(x + TIE_SHIFT, 6))))
+
+
+def _blocks(spark, sf_dir):
+    return tables._session_cached(_BLOCKS, spark, sf_dir, lambda: tr.blocks_of(_scaled(spark, sf_dir), COLS))
 
 
 def _trees(kind):
     def q(spark, sf_dir):
-        return fc.holdout_eval(fc.forecast_trees(_scaled(spark, sf_dir), COLS, kind))
+        blocks = _blocks(spark, sf_dir)
+        return fc.holdout_eval(tr.predict(blocks, tr.fit(blocks, len(COLS), kind), len(COLS)))
     return q
 
 
@@ -90,26 +109,56 @@ def _holdout(spark, sf_dir):
     return fc.holdout_eval(fc.ridge_predict(sc, m, COLS))
 
 
-@register("holdout_eval")
+_HOLDOUT = ("hold", f"""SELECT symbol, d, actual, close * exp(greatest(-0.15, least(0.15, pred))) AS predicted, 'holdout' AS kind FROM (
+  SELECT s.symbol, s.d, s.close, s.split, lead(s.close) OVER (PARTITION BY s.symbol ORDER BY s.pos) AS actual,
+    r.intercept + list_sum(list_transform(list_zip([{', '.join('s.' + c for c in COLS)}], r.coef), lambda z: z[1] * z[2])) AS pred
+  FROM scaled s JOIN ridge r USING (symbol)) WHERE split = 'test' AND actual IS NOT NULL""")
+
+
+@register("holdout_eval", with_ctes(_ctes() + ridge_ctes(COLS) + [_HOLDOUT], f"""SELECT symbol, d, {sql_round('actual')} AS actual,
+  {sql_round('predicted')} AS predicted, kind FROM hold"""))
 def holdout_eval(spark, sf_dir):
-    return _holdout(spark, sf_dir)
+    return rounded(_holdout(spark, sf_dir))
 
 
-def _future(spark, sf_dir):
+def _linear(spark, sf_dir):
     _, m = _ridge(spark, sf_dir)
-    stats = fc.scaler_stats(_tset(spark, sf_dir), COLS).checkpoint()
-    return fc.forecast_rolling(tables.processed(spark, sf_dir),
-                               lambda x: fc.ridge_predict(fc.scale_rows(x, stats, COLS), m, COLS), COLS, HORIZON)
+    return m.join(_stats(spark, sf_dir), "symbol")
+
+
+def _future(spark, sf_dir, mode="train"):
+    return rf.forecast_rolling(tables.processed(spark, sf_dir), _linear(spark, sf_dir), rf.linear, COLS, HORIZON, mode)
 
 
 @register("forecast_rolling")
 def forecast_rolling(spark, sf_dir):
-    return _future(spark, sf_dir)
+    """Roll-forward on the training definitions of the features."""
+    return rounded(_future(spark, sf_dir))
+
+
+_REF_TAIL = ("tails", f"""SELECT symbol, max(d) AS d, list(close ORDER BY d) AS p, list(high ORDER BY d) AS h, list(low ORDER BY d) AS l,
+  list(volume ORDER BY d) AS v FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS kk FROM ft)
+  WHERE kk <= {rf.SHORT_HISTORY} GROUP BY symbol""")
+
+
+@register("forecast_rolling_ref", with_ctes(_ctes() + ridge_ctes(COLS) + [_REF_TAIL] + ref_step_ctes(COLS, HORIZON), f"""
+  SELECT symbol, CAST(step AS INTEGER) AS step, CAST(d + CAST(step AS INTEGER) AS DATE) AS d, {sql_round('p[-1]')} AS predicted FROM walk WHERE step > 0"""))
+def forecast_rolling_ref(spark, sf_dir):
+    """Roll-forward on the shortcut definitions of a step."""
+    return rounded(_future(spark, sf_dir, "ref"))
+
+
+@register("forecast_rolling_forest")
+def forecast_rolling_forest(spark, sf_dir):
+    """Roll-forward of the per-symbol forests."""
+    blocks = _blocks(spark, sf_dir)
+    models = tr.fit(blocks, len(COLS), "forest").join(_stats(spark, sf_dir), "symbol")
+    return rounded(rf.forecast_rolling(tables.processed(spark, sf_dir), models, tr.step_predict, COLS, HORIZON))
 
 
 _STEP = trimmed_ctes() + prefixed_feature_ctes(
     f"""SELECT symbol, d, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol
-        ORDER BY d DESC) AS kk FROM ft) WHERE kk <= {fc.HISTORY}""", "w80_")
+        ORDER BY d DESC) AS kk FROM ft) WHERE kk <= {rf.HISTORY}""", "w80_")
 
 
 @register("forecast_step_features", with_ctes(_STEP, f"""SELECT symbol, d, {sql_round('close')} AS close,
@@ -117,13 +166,20 @@ _STEP = trimmed_ctes() + prefixed_feature_ctes(
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY d DESC) AS kk FROM w80_feat) WHERE kk = 1"""))
 def forecast_step_features(spark, sf_dir):
     """All 52 step features of the newest bar, from each symbol's newest bars alone."""
-    bars = tables.processed(spark, sf_dir).select("symbol", "d", "open", "high", "low", "close", "volume")
-    return rounded(fc.step_features(tail_rows(bars, fc.HISTORY).drop("n", "pos"), FEATURE_COLS))
+    return rounded(rf.step_features(tables.processed(spark, sf_dir), FEATURE_COLS))
+
+
+@register("forecast_step_features_ref", with_ctes(trimmed_ctes() + [_REF_TAIL], "SELECT symbol, d, " + sql_round("p[-1]") + " AS close, "
+                                                  + ", ".join(f"{sql_round(x)} AS {c}" for c, x in ref_step_sql(FEATURE_COLS).items())
+                                                  + " FROM (" + ref_base_sql("tails") + ")"))
+def forecast_step_features_ref(spark, sf_dir):
+    """The 52 shortcut features of the newest bar, from the newest 80 closes, highs, lows and volumes."""
+    return rounded(rf.step_features(tables.processed(spark, sf_dir), FEATURE_COLS, "ref"))
 
 
 @register("forecast_series")
 def forecast_series(spark, sf_dir):
-    return fc.forecast_series(_holdout(spark, sf_dir), _future(spark, sf_dir))
+    return rounded(fc.forecast_series(_holdout(spark, sf_dir), _future(spark, sf_dir)))
 
 
 _W = ", ".join(COLS)

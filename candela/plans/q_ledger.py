@@ -95,6 +95,19 @@ def order_pricing(spark, sf_dir):
                                                  "quantity", "price"))
 
 
+_QUOTED = f"""SELECT o.user_id, o.event_id AS order_id, o.ts AS executed_at, {symbol_of('o.event_id')} AS symbol,
+  CASE WHEN o.event_type = 'click' THEN 'buy' ELSE 'sell' END AS action, (o.event_id % 10 + 1) / 10.0 AS quantity
+  FROM events o WHERE o.event_type IN ('click', 'error')"""
+
+
+@register("order_pricing_intraday", f"""WITH o AS ({_QUOTED}),
+  q AS (SELECT {symbol_of('user_id')} AS symbol, ts, arg_max(value, event_id) AS px FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+  SELECT o.*, round(q.px + 3.18309886e-8, 6) AS price, q.ts AS priced_at FROM o ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.executed_at >= q.ts""")
+def order_pricing_intraday(spark, sf_dir):
+    """Orders at a time of day, filled at the newest price of their symbol at that time."""
+    return rounded(lg.order_pricing_at(tables.intraday_orders(spark, sf_dir), tables.quotes(spark, sf_dir), quote_order=["event_id"]))
+
+
 @register("ledger_apply", with_ctes(_ledger_ctes(), LEDGER_OUT))
 def ledger_apply(spark, sf_dir):
     return _display(_ledger(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from candela.operators import scoring as sc
 from candela.plans.common import rounded, sql_round
 from candela.plans.q_snapshot import SER
@@ -33,6 +35,24 @@ def accuracy_update(spark, sf_dir):
     return rounded(_acc(spark, sf_dir))
 
 
+_INTRADAY = """WITH p AS (SELECT event_id AS id, user_id, (['click','error','purchase','signup','view'])[(event_id % 5) + 1] AS symbol,
+    '$' || CAST(round(value + 1e-9, 2) AS VARCHAR) AS predicted_result, ts AS created_at FROM events
+    WHERE event_type = 'view' AND ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAYS),
+  b AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS d, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY ALL)
+  SELECT p.id, p.user_id, p.symbol, p.created_at, b.d AS actual_date, round(b.close + 3.18309886e-8, 6) AS actual,
+    round(try_cast(replace(p.predicted_result, '$', '') AS DOUBLE) + 3.18309886e-8, 6) AS predicted,
+    round(round(greatest(100 - abs((b.close - try_cast(replace(p.predicted_result, '$', '') AS DOUBLE)) / b.close * 100), 0.0) + 1e-9, 2) + 3.18309886e-8, 6) AS accuracy_pct
+  FROM p ASOF JOIN b ON p.symbol = b.symbol AND b.d >= p.created_at + INTERVAL 3 DAYS"""
+
+
+@register("accuracy_update_intraday", _INTRADAY)
+def accuracy_update_intraday(spark, sf_dir):
+    """Predictions made at a time of day, scored by the first hourly bar three days later."""
+    newest = tables.table(spark, sf_dir, "events").select(F.max("ts")).scalar()
+    out = sc.accuracy_update(tables.intraday_predictions(spark, sf_dir), tables.hourly_event_bars(spark, sf_dir), newest, 3)
+    return rounded(out.withColumn("actual_date", F.col("actual_date").cast("timestamp_ntz")))
+
+
 @register("user_accuracy", with_ctes(trimmed_ctes() + [SER] + ACC, """SELECT user_id,
   round(avg(accuracy_pct) + 1e-9, 1) AS avg_accuracy, count(accuracy_pct) AS scored_count FROM (
     SELECT p.*, a.accuracy_pct, row_number() OVER (PARTITION BY p.user_id ORDER BY p.created_at DESC, p.id DESC) AS k

@@ -103,8 +103,49 @@ def rate_limit_windows(spark, sf_dir):
     return wl.rate_limit_windows(tables.api_requests(spark, sf_dir))
 
 
-@register("active_keys", """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, key_id DESC) AS rank,
-  key_id, created_at FROM (SELECT user_id, event_id AS key_id, ts AS created_at,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'signup') WHERE k <= 5""")
+_VERDICT = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY key_id, date_trunc('hour', ts) ORDER BY ts, id) AS h FROM ({api})),
+  d AS (SELECT *, sum(CASE WHEN h <= {hour} THEN 1 ELSE 0 END) OVER (PARTITION BY key_id, CAST(ts AS DATE) ORDER BY ts, id) AS n FROM r)
+  SELECT key_id, id, ts, CASE WHEN h > {hour} THEN 'hour' WHEN n > {day} THEN 'day' ELSE 'admitted' END AS verdict FROM d"""
+
+
+@register("rate_limit_verdicts", _VERDICT.format(api=_API, hour=60, day=300))
+def rate_limit_verdicts(spark, sf_dir):
+    """Every request under 60 an hour and 300 a day together."""
+    return wl.admissions(tables.api_requests(spark, sf_dir)).select("key_id", "id", "ts", "verdict")
+
+
+@register("usage_verdicts", f"""SELECT key_id, id, ts, CASE WHEN row_number() OVER (PARTITION BY key_id, CAST(ts AS DATE) ORDER BY ts, id) > 100
+  THEN 'day' ELSE 'admitted' END AS verdict FROM ({_API})""")
+def usage_verdicts(spark, sf_dir):
+    """Every request under the daily quota."""
+    return wl.admissions(tables.api_requests(spark, sf_dir), (("day", "1 day", wl.API_DAILY_LIMIT),)).select("key_id", "id", "ts", "verdict")
+
+
+# A literal fold over the users' events, with a list of the keys that are active.
+_KEYS = [
+    ("kev", """SELECT user_id, event_id AS seq, ts, event_type = 'signup' AS asks,
+        last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS key_id
+        FROM events WHERE event_type IN ('signup', 'error')"""),
+    ("kn", "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS rn FROM kev WHERE key_id IS NOT NULL"),
+    ("kf", """SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS keys, CAST(NULL AS VARCHAR) AS status FROM (SELECT DISTINCT user_id FROM kn)
+        UNION ALL
+        SELECT n.user_id, n.rn, CASE WHEN n.asks AND len(f.keys) < 5 THEN list_append(f.keys, n.key_id) WHEN n.asks THEN f.keys
+            ELSE list_filter(f.keys, lambda x: x <> n.key_id) END,
+          CASE WHEN n.asks AND len(f.keys) < 5 THEN 'created' WHEN n.asks THEN 'limit reached'
+            WHEN list_contains(f.keys, n.key_id) THEN 'revoked' ELSE 'not found' END
+        FROM kf f JOIN kn n ON n.user_id = f.user_id AND n.rn = f.rn + 1"""),
+    ("kr", "SELECT n.*, f.status, len(f.keys) AS active FROM kn n JOIN kf f ON f.user_id = n.user_id AND f.rn = n.rn"),
+]
+
+
+@register("key_events", with_ctes(_KEYS, """SELECT user_id, seq, ts, CASE WHEN asks THEN 'create' ELSE 'revoke' END AS action, key_id, status,
+  CAST(active AS INTEGER) AS active FROM kr"""))
+def key_events(spark, sf_dir):
+    """Key creations and revocations in order, with their outcomes."""
+    return wl.key_events(tables.key_events(spark, sf_dir))
+
+
+@register("active_keys", with_ctes(_KEYS, """SELECT c.user_id, row_number() OVER (PARTITION BY c.user_id ORDER BY c.ts DESC, c.seq DESC) AS rank,
+  c.key_id, c.ts AS created_at, c.key_id NOT IN (SELECT key_id FROM kr WHERE status = 'revoked') AS is_active FROM kr c WHERE c.status = 'created'"""))
 def active_keys(spark, sf_dir):
-    return wl.active_keys(tables.key_requests(spark, sf_dir))
+    return wl.active_keys(tables.key_events(spark, sf_dir))

@@ -302,10 +302,15 @@ def payment_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", "ts", F.to_json(doc).alias("json"))
 
 
-def key_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """API key creation requests: one per signup event."""
-    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
-    return ev.select("user_id", F.col("event_id").alias("key_id"), F.col("ts").alias("created_at"))
+def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API key events: a signup asks for a key named by the event, an error event revokes the key that the
+    user's newest earlier signup asked for (null if there was none)."""
+    from pyspark.sql import Window
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error"))
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    asked = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), True).over(before)
+    return ev.select("user_id", F.col("event_id").alias("seq"), "ts",
+                     F.when(F.col("event_type") == "signup", "create").otherwise("revoke").alias("action"), asked.alias("key_id"))
 
 
 def resets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,3 +452,43 @@ def payment_stream_dir(spark: SparkSession, sf_dir: str) -> str:
             out.write.mode("append").parquet(path)
         slices[2].filter(F.col("event_id") % 17 == 0).write.mode("append").parquet(path)
     return _written(spark, sf_dir, "payment_stream", build)
+
+
+def event_stream_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Events as a file stream: two time slices without every tenth event, which come weeks late in a last file."""
+    def build(path):
+        ev = table(spark, sf_dir, "events")
+        late = F.col("event_id") % 10 == 0
+        for where in (~late & (F.col("ts") < "2024-01-16"), ~late & (F.col("ts") >= "2024-01-16"), late):
+            ev.filter(where).coalesce(1).write.mode("append").parquet(path)
+    return _written(spark, sf_dir, "event_stream", build)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1)
+            .parquet(event_stream_dir(spark, sf_dir)))
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intraday prices: purchases quote the symbol of their user (user_id % 6) at their time."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    return ev.select(symbol_of(F.col("user_id")).alias("symbol"), "ts", F.col("value").alias("px"), "event_id")
+
+
+def intraday_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders at a time of day: clicks buy, errors sell, in the symbol event_id % 6."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "error"))
+    return ev.select("user_id", F.col("event_id").alias("order_id"), F.col("ts").alias("executed_at"), symbol_of(F.col("event_id")).alias("symbol"),
+                     F.when(F.col("event_type") == "click", "buy").otherwise("sell").alias("action"),
+                     ((F.col("event_id") % 10 + 1) / 10.0).alias("quantity"))
+
+
+def intraday_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions made at a time of day: views predict the value of an event type (event_id % 5) three days ahead."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    kinds = F.array(*[F.lit(x) for x in EVENT_TYPES])
+    return ev.select(F.col("event_id").alias("id"), "user_id", F.element_at(kinds, (F.col("event_id") % 5).cast("int") + 1).alias("symbol"),
+                     F.concat(F.lit("$"), rnd(F.col("value"), 2).cast("string")).alias("predicted_result"), F.col("ts").alias("created_at"))
+
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]

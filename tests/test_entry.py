@@ -94,7 +94,7 @@ def test_payment_stream_drops_redeliveries(spark, sf):
 
 
 def test_stream_bars_and_rate_windows_equal_batch(spark, sf):
-    """Append-mode windows closed by the watermark equal the batch windows."""
+    """Trades and requests that come weeks late revise what is published; a job stopped in between loses nothing."""
     import uuid
 
     from pyspark.sql import functions as F
@@ -104,21 +104,74 @@ def test_stream_bars_and_rate_windows_equal_batch(spark, sf):
     from candela.sources import tables
     from candela.streaming import jobs
     ev = tables.table(spark, sf, "events")
-    src = shared_path(spark, f"test_events_{uuid.uuid4().hex[:8]}")
-    for lo, hi in (("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")):
-        ev.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(src)
-    trades = stream.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("px"),
-                           F.lit(1.0).alias("size"), "event_id")
-    got = spark.read.parquet(jobs.run_available(jobs.stream_bars(trades), "test_bars"))
-    batch = tables.hourly_event_bars(spark, sf)
-    closed = batch.filter(F.col("d") < ev.select(F.max("ts") - F.expr("INTERVAL 3 HOURS")).scalar())
-    a = sorted(tuple(r) for r in got.select(F.col("symbol"), F.col("d").cast("timestamp_ntz"), "open", "close",
-                                            "volume").collect())
-    b = sorted(tuple(r) for r in closed.select("symbol", "d", "open", "close", "volume").collect())
-    assert len(b) > 0 and set(b) <= set(a)
-    req = stream.filter(F.col("event_type").isin("click", "view")).select(F.col("user_id").alias("key_id"), "ts")
-    rw = spark.read.parquet(jobs.run_available(jobs.stream_rate_windows(req, "1 hour", 60), "test_rw"))
-    bw = wl.rate_limit_windows(tables.api_requests(spark, sf)).filter(F.col("window") == "hour")
-    sw = {(r.key_id, r.requests) for r in rw.collect()}
-    assert sw and sw <= {(r.key_id, r.requests) for r in bw.collect()}
+    src, run = shared_path(spark, f"test_events_{uuid.uuid4().hex[:8]}"), uuid.uuid4().hex[:8]
+    late = F.col("event_id") % 5 == 0
+
+    def streams():
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        trades = stream.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("px"), F.lit(1.0).alias("size"), "event_id")
+        req = stream.filter(F.col("event_type").isin("click", "view")).select(F.col("user_id").alias("key_id"), "ts")
+        return (jobs.bars_stream(trades, run=run).withColumn("d", F.col("d").cast("timestamp_ntz")),
+                jobs.rate_windows_stream(req, "1 hour", 60, run=run).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+    ev.filter(~late).coalesce(1).write.mode("append").parquet(src)
+    streams()
+    ev.filter(late).coalesce(1).write.mode("append").parquet(src)
+    bars, rates = streams()
+    cols = ["symbol", "d", "open", "high", "low", "close", "volume"]
+    rows = lambda df, cols: sorted(map(tuple, df.select(*cols).collect()))
+    assert rows(bars, cols) == rows(tables.hourly_event_bars(spark, sf), cols)
+    assert bars.filter("revisions > 1").count() > 0
+    want = wl.rate_limit_windows(tables.api_requests(spark, sf)).filter(F.col("window") == "hour")
+    assert rows(rates, ["key_id", "window_start", "requests", "refused"]) == rows(want, ["key_id", "window_start", "requests", "refused"])
+
+
+def test_payments_without_an_event_id_are_all_credited(spark):
+    import json
+    import uuid
+
+    from candela.operators import wallet as wl
+    from candela.session import shared_path
+    from candela.sources import tables
+    from candela.streaming import jobs
+
+    def event(user, name):
+        return json.dumps({"id": name, "type": "checkout.session.completed", "data": {"object": {
+            "mode": "payment", "metadata": {"user_id": str(user), "tokens": "20", "pack_id": "starter"}}}})
+
+    src, run = shared_path(spark, f"noid_{uuid.uuid4().hex[:8]}"), uuid.uuid4().hex[:8]
+    put = lambda docs: spark.createDataFrame([(1, None, d) for d in docs], tables.PAYMENT_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    put([event(u, None) for u in (1, 2, 3)] + [event(4, "a")])
+    go = lambda: sorted(r.user_id for r in jobs.payment_stream(spark, src, wl.price_plans(spark), tables.PAYMENT_EVENT_SCHEMA, run=run).collect())
+    assert go() == [1, 2, 3, 4]
+    put([event(2, None), event(5, None), event(4, "a"), None])          # a redelivery without an id is known by its payload
+    assert go() == [1, 2, 3, 4, 5]
+
+
+def test_a_batch_reads_one_state_whatever_the_number_of_batches(spark, tmp_path):
+    """Alerts fire once over many batches, and a batch's input does not grow with their number."""
+    import datetime
+
+    from candela.streaming import jobs
+    day = datetime.date(2024, 1, 1)
+    for i in range(8):
+        spark.createDataFrame([("A", day + datetime.timedelta(days=i), 10.0 + i)], "symbol string, d date, close double").coalesce(1).write.mode(
+            "append").parquet(str(tmp_path / "bars"))
+    alerts = spark.createDataFrame([(i, 1, "A", 9.5 + i, "above", "active") for i in range(9)],
+                                   "id long, user_id long, symbol string, target_price double, direction string, status string")
+    seen = []
+    real = jobs.alert_fires
+
+    def spy(bars, waiting):
+        out = real(bars, waiting)
+        seen.append(len([f for f in waiting.inputFiles() if "_state" in f and "epoch=" in f] and
+                        {f.split("epoch=")[1].split("/")[0] for f in waiting.inputFiles() if "epoch=" in f}))
+        return out
+
+    jobs.alert_fires = spy
+    try:
+        got = jobs.alert_stream(spark, str(tmp_path / "bars"), alerts, "symbol string, d date, close double").collect()
+    finally:
+        jobs.alert_fires = real
+    assert sorted((r.id, r.price) for r in got) == [(i, 10.0 + i) for i in range(8)]
+    assert len(seen) == 8 and max(seen) <= 1

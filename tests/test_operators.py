@@ -1,9 +1,11 @@
 """Operator behaviour on the reference's own fixtures and invariants."""
 
+import datetime
 import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from candela.operators import backtest as bt
@@ -137,6 +139,54 @@ def test_ledger_fold_conserves_cash_and_matches_loop(spark):
         assert math.isclose(last["cash_after"], cash, abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_ledger_rounds_equal_a_plain_loop(spark, block):
+    """Null users share an account, large ids stay whole, blocks of any size give the same statuses."""
+    rng = np.random.default_rng(8)
+    big = 9007199254740993
+    rows = []
+    for i in range(240):
+        user = [None, big, big - 1, 3][int(rng.integers(0, 4))]
+        when = None if i % 40 == 0 else datetime.datetime(2024, 1, 1) + datetime.timedelta(days=int(rng.integers(0, 90)))
+        rows.append((user, big + i, when, [None, "A", "B"][int(rng.integers(0, 3))], ["buy", "buy", "sell", "hold", None][int(rng.integers(0, 5))],
+                     [float(rng.integers(0, 40)), None][int(i % 31 == 0)], [float(rng.uniform(50, 150)), None, float("nan")][int(rng.choice(3, p=[.9, .05, .05]))]))
+    ddl = "user_id long, order_id long, executed_at timestamp_ntz, symbol string, action string, quantity double, price double"
+    got = {r.order_id: r for r in lg.ledger_apply(spark.createDataFrame(rows, ddl), 10000.0, block).collect()}
+    assert len(got) == len(rows)
+    for user in (None, big, big - 1, 3):
+        cash, held = 10000.0, {}
+        mine = sorted((r for r in rows if r[0] == user), key=lambda r: (r[2] is not None, r[2] or datetime.datetime.min, r[1]))
+        for u, oid, _, sym, action, q, px in mine:
+            h = held.get(sym)
+            cost = None if px is None or px != px or q is None else lg.r6(q * px)
+            if px is None or px != px:
+                status = "no_price"
+            elif q is None or q <= 0 or action not in ("buy", "sell"):
+                status = "invalid"
+            elif action == "buy":
+                status = "executed" if cash >= cost else "insufficient_cash"
+                if status == "executed":
+                    cash = lg.r6(cash - cost)
+                    held[sym] = (lg.r6(h[0] + q), lg.r6((h[1] * h[0] + px * q) / (h[0] + q))) if h else (lg.r6(q), lg.r6(px))
+            else:
+                status = "executed" if h and h[0] >= q else "insufficient_position"
+                if status == "executed":
+                    cash = lg.r6(cash + cost)
+                    held[sym] = (lg.r6(h[0] - q), h[1])
+                    if held[sym][0] < lg.DUST:
+                        del held[sym]
+            r = got[oid]
+            assert (r.user_id, r.status, r.cash_after) == (u, status, cash)
+            assert (r.position_qty, r.position_avg) == held.get(sym, (0.0, None))
+
+
+def test_two_buys_of_a_null_user_share_the_cash(spark):
+    rows = [(None, 1, datetime.datetime(2024, 1, 1), "A", "buy", 60.0, 100.0), (None, 2, datetime.datetime(2024, 1, 2), "A", "buy", 60.0, 100.0)]
+    ddl = "user_id long, order_id long, executed_at timestamp_ntz, symbol string, action string, quantity double, price double"
+    assert [r.status for r in lg.ledger_apply(spark.createDataFrame(rows, ddl)).orderBy("order_id").collect()] == ["executed", "insufficient_cash"]
+    assert lg.ledger_apply(spark.createDataFrame([], ddl)).count() == 0
+
+
 def test_ridge_matches_closed_form(spark):
     from candela.operators import forecast as fc
     rng = np.random.default_rng(2)

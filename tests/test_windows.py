@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from candela.functions import windows as W
@@ -88,19 +89,24 @@ def test_asof_daily_matches_merge_asof(spark):
         assert got["close"].fillna(-1).tolist() == exp.sort_values("k")["close"].fillna(-1).tolist()
 
 
-def test_general_asof_matches_merge_asof(spark):
+@pytest.mark.parametrize("seconds", [600, 86400, 10 ** 9])
+def test_general_asof_matches_merge_asof(spark, seconds):
+    """One hot symbol, ties and gaps of many empty buckets; buckets of any size give what merge_asof gives."""
     rng = np.random.default_rng(9)
-    right = pd.DataFrame({"symbol": "A", "t": pd.to_datetime("2024-01-01") + pd.to_timedelta(
-        np.sort(rng.choice(10_000, 60, replace=False)), "min"), "px": rng.uniform(1, 2, 60)})
-    left = pd.DataFrame({"symbol": "A", "k": range(40), "t": pd.to_datetime("2024-01-01") + pd.to_timedelta(
-        np.sort(rng.choice(10_000, 40, replace=False)), "min")})
+    at = lambda n, most: pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, most, n)), "min")
+    right = pd.concat([pd.DataFrame({"symbol": s, "t": at(n, 10_000), "px": rng.uniform(1, 2, n)}) for s, n in (("A", 90), ("B", 5))])
+    right = right.sort_values(["t", "symbol", "px"]).reset_index(drop=True)
+    left = pd.concat([pd.DataFrame({"symbol": s, "t": at(n, 12_000)}) for s, n in (("A", 120), ("B", 20), ("C", 3))])
+    left = left.sort_values("t").reset_index(drop=True).assign(k=lambda x: range(len(x)))
     r = spark.createDataFrame(right).withColumn("t", F.col("t").cast("timestamp_ntz"))
     lf = spark.createDataFrame(left).withColumn("t", F.col("t").cast("timestamp_ntz"))
+    nulls = spark.createDataFrame([(None, None, -1), ("A", None, -2)], "symbol string, t timestamp_ntz, k long")
     for direction in ("backward", "forward"):
-        got = W.asof_join(lf, r.withColumnRenamed("t", "rt"), "symbol", "t", "rt", ["px"], direction=direction,
-                          left_order=["k"]).toPandas().sort_values("k")
+        got = W.asof_join(lf.unionByName(nulls), r.withColumnRenamed("t", "rt"), "symbol", "t", "rt", ["px"], direction=direction,
+                          bucket_seconds=seconds).toPandas().sort_values("k")
         exp = pd.merge_asof(left, right, on="t", by="symbol", direction=direction).sort_values("k")
-        assert np.allclose(got["px"].fillna(-1).to_numpy(), exp["px"].fillna(-1).to_numpy())
+        assert got["px"].iloc[:2].isna().all() and len(got) == len(left) + 2
+        assert np.allclose(got["px"].iloc[2:].fillna(-1).to_numpy(), exp["px"].fillna(-1).to_numpy())
 
 
 def test_correlation_by_date_pairs_common_days(spark):
@@ -115,6 +121,32 @@ def test_correlation_by_date_pairs_common_days(spark):
     assert abs(m[("A", "B")] - round(float(np.corrcoef(a, b)[0, 1]), 4)) < 1e-9
 
 
+@pytest.mark.parametrize("align", ["position", "date"])
+def test_correlation_tiles_of_any_size_equal_numpy(spark, align):
+    from candela.operators import correlation as cor
+    rng = np.random.default_rng(4)
+    day = lambda k: (pd.Timestamp("2024-06-01") - pd.Timedelta(days=k)).date()
+    x = {f"S{i:02d}": rng.normal(0, 1, int(rng.integers(20, 40))) for i in range(17)} | {"FLAT": np.zeros(30)}
+    skip = {s: int(rng.integers(0, 6)) for s in x}
+    rows = [(s, k, day(k + skip[s]), float(v)) for s, values in x.items() for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "symbol string, k long, d date, lr double")
+    least, names = min(map(len, x.values())), sorted(x)
+    want = {}
+    for a in names:
+        for b in names:
+            if align == "position":
+                u, v = x[a][:least], x[b][:least]
+            else:
+                days = [(k + skip[a] - skip[b], k) for k in range(len(x[a])) if 0 <= k + skip[a] - skip[b] < len(x[b])]
+                u, v = np.array([x[a][k] for _, k in days]), np.array([x[b][k] for k, _ in days])
+            if "FLAT" not in (a, b):
+                want[a, b] = float(np.corrcoef(u, v)[0, 1])
+    for block in (1, 5, 256):
+        got = {(r.a, r.b): r for r in cor.correlation_matrix(df, align=align, block=block).collect()}
+        assert set(got) == set(want) and all(abs(got[k].r - want[k]) < 6e-5 for k in want)
+        assert all((names[r.ia - 1], names[r.ib - 1]) == k for k, r in got.items())
+
+
 def test_forecast_windows_on_tiny_blocks_equal_whole_series(spark):
     """One symbol holds 90 % of the rows; blocks of 20 rows give what one block gives."""
     import datetime
