@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.llm import langid
 
-from .helpers import SCHEMA, documents
+from .helpers import SCHEMA, corpus, documents
 
 
 def test_codewords():
@@ -75,3 +76,79 @@ def test_without_labels(spark):
         assert got.filter("lang_pred <> 'und' or score <> 0").count() == 0 and got.count() == docs.count()
     one = documents(spark).withColumn("lang", F.lit("en"))
     assert {r.lang_pred for r in langid.predict(one, langid.fit(one)).collect()} == {"en", "und"}
+
+
+def plain_grams(text):
+    """bucket -> count of a text's byte trigrams, one at a time."""
+    out = {}
+    folded = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    padded = b" " + folded + b" "
+    for i in range(len(folded)):
+        a, b, c = padded[i:i + 3]
+        if b != 32:
+            at = ((a * 65536 + b * 256 + c) * 0x9E3779B1 % 2 ** 32) >> 20
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def plain_model(rows):
+    """Languages, codewords, bucket weights per bit and loss weights from (text, label, kept) rows, with dictionaries."""
+    names = sorted({label for _, label, _ in rows})
+    n = len(names)
+    codes = [[1 if i == 0 or (s >> i) & 1 else -1 for s in range(0, 2 ** n - 2, 2)] for i in range(n)]
+    bits = range(len(codes[0]))
+
+    def weights(chosen):
+        counts = [{} for _ in names]
+        for text, label, _ in chosen:
+            mine = counts[names.index(label)]
+            for at, c in plain_grams(text).items():
+                mine[at] = mine.get(at, 0) + c
+        total = [sum(c.values()) + 0.5 * 4096 for c in counts]
+
+        def weight(bit, at):
+            share = {1: [], -1: []}
+            for i in range(n):
+                share[codes[i][bit]].append((counts[i].get(at, 0) + 0.5) / total[i])
+            return math.log(sum(share[1]) / len(share[1])) - math.log(sum(share[-1]) / len(share[-1]))
+        return weight, [bool(c) for c in counts]
+
+    def margins(weight, text):
+        grams = plain_grams(text)
+        size = sum(grams.values())
+        return [sum(c * weight(bit, at) for at, c in grams.items()) * min(size, 40) / max(size, 1) for bit in bits]
+
+    trial, known = weights([r for r in rows if not r[2]])
+    trust = []
+    for i, name in enumerate(names):
+        tried = [margins(trial, text) for text, label, kept in rows if kept and label == name]
+        hits = [sum(np.sign(m[b]) == codes[i][b] for m in tried) for b in bits]
+        mine = [max((h + 1) / (len(tried) + 2) - 0.5, 0.05) if known[i] else 0.05 for h in hits]
+        trust.append([x / (sum(mine) / len(mine)) for x in mine])
+    final, _ = weights(rows)
+
+    def decode(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        m = margins(final, text)
+        loss = [sum(trust[i][b] * math.log1p(math.exp(-codes[i][b] * m[b])) for b in bits) for i in range(n)]
+        odds = [math.exp(min(loss) - x) for x in loss]
+        best = loss.index(min(loss))
+        return names[best], odds[best] / sum(odds)
+    return decode
+
+
+def test_equals_a_plain_version(spark):
+    """Four languages, every document: the same label and score from dictionaries of trigrams."""
+    extra = [(200 + i, " ".join(w[::-1] for w in r[1].split()[:60]), "rev", *r[3:]) for i, r in enumerate(corpus()[:25]) if r[1]]
+    extra += [(300 + i, " ".join(w + w for w in r[1].split()[:50]), "dup", *r[3:]) for i, r in enumerate(corpus()[:20]) if r[1]]
+    rows = [r for r in corpus() if r[1] is None or len(r[1]) < 5000] + extra
+    docs = documents(spark, rows)
+    fold = docs.filter(~langid.held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    taught = [(r.text, r.lang, r.k) for r in fold.select("text", "lang", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("k")).collect()]
+    decode = plain_model(taught)
+    got = langid.predict(docs, langid.fit_on_fold(docs)).select("row.text", "lang_pred", "score").distinct().collect()
+    assert {r.lang_pred for r in got} == {"en", "fr", "rev", "dup", "und"}
+    for r in got:
+        label, score = decode(r.text)
+        assert r.lang_pred == label and abs(r.score - score) < 1e-9
