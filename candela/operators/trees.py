@@ -6,16 +6,17 @@ a block decide nothing alone and are only ever added, so a level is one aggregat
 tree, node, feature, bin):
 
 * A symbol of at most ``small`` rows is grown inside tasks, a share of its trees
-  in each, all levels one after the other; one job for any number of such symbols.
+  in each, all levels one after the other, from the histogram cells that are not empty; one job for any number of such symbols.
 * A larger symbol is grown level by level: tasks add up the histograms of a
   run of blocks for a few trees, the sums meet by (symbol, tree), and the splits found go back
-  to the blocks with the next level. Both ways call the same functions and give the same trees.
+  to the blocks with the next level. Both ways give the same trees.
 
 Splits send x <= cut to the left. Histogram cuts are the column's values at ``bins`` equal
 ranks, all values of short columns, so small data give the trees of plain CART. Extremely
 randomised trees have no bins: a first aggregate takes each node's range per
 feature, the cut is drawn by hash inside it, a second one weighs the two sides.
-Row and column samples are drawn by hash of (symbol, row, tree) too, so reruns agree.
+Row and column samples are drawn by hash of (symbol, row, tree) too, and targets are summed
+as multiples of 2^-26, exactly in any order, so reruns agree.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ GROUP = 64             # blocks whose sums are added up in one task
 CHUNKS = 8             # parts that the trees of an ensemble are dealt to
 MOST_TASKS = 10_000
 _U = np.uint64
+SCALE = float(1 << 26)  # targets are log returns: sums of 10^7 rows stay exact in doubles
 
 
 @dataclass(frozen=True)
@@ -125,6 +127,11 @@ class Tree:
             at[live] = 2 * a + (x[live, f[live]] > self.cut[a])
 
 
+def fixed(y: np.ndarray) -> np.ndarray:
+    """Targets as whole multiples of 1 / SCALE."""
+    return np.rint(y * SCALE)
+
+
 def rank_cuts(x: np.ndarray, bins: int) -> list[np.ndarray]:
     """Per column the distinct values at ranks ceil(i n / bins), without the largest value."""
     s = np.sort(x, axis=0)
@@ -193,30 +200,67 @@ def choose(g: Growth, stats: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarra
     best = gain.argmax(1) if gain.shape[1] else np.zeros(len(gain), int)
     found = gain[np.arange(len(gain)), best] > -np.inf if gain.shape[1] else np.zeros(len(gain), bool)
     bins = max(stats.shape[3] - 1, 1)
-    value = total[2, :, 0, 0] / np.maximum(total[1, :, 0, 0] + g.l2, 1e-300)
+    value = total[2, :, 0, 0] / np.maximum(total[1, :, 0, 0] + g.l2, 1e-300) / SCALE
     return np.where(found, best // bins, -1), best % bins, value
 
 
+def choose_cells(g: Growth, codes: np.ndarray, bins: int, y: np.ndarray, w: np.ndarray, slot: np.ndarray, n_slots: int,
+                 allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``choose`` gives for the histogram of these rows (``codes``: their bins), from the cells that are not empty."""
+    keep = np.flatnonzero((slot >= 0) & (w > 0))
+    k = codes.shape[1]
+    at = ((slot[keep, None] * k + np.arange(k)) * bins + codes[keep]).ravel()
+    size = n_slots * k * bins
+    rows = np.bincount(at, None, size)
+    cell = np.flatnonzero(rows)
+    column, value = np.full(n_slots, -1), np.zeros(n_slots)
+    bin_ = np.zeros(n_slots, np.int64)
+    if not len(cell):
+        return column, bin_, value
+    sums = [np.cumsum(x) for x in (rows[cell].astype(float), np.bincount(at, np.repeat(w[keep], k), size)[cell],
+                                   np.bincount(at, np.repeat(w[keep] * y[keep], k), size)[cell])]
+    group = cell // bins
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    stop = np.r_[start[1:], len(cell)] - 1
+    of = np.repeat(np.arange(len(start)), stop - start + 1)
+    base = [np.r_[0.0, x[stop[:-1]]] for x in sums]
+    n, weight, s = (x - b[of] for x, b in zip(sums, base))
+    total = [(x[stop] - b)[of] for x, b in zip(sums, base)]
+    with np.errstate(all="ignore"):
+        gain = s ** 2 / (weight + g.l2) + (total[2] - s) ** 2 / (total[1] - weight + g.l2) - total[2] ** 2 / (total[1] + g.l2)
+    scale = np.maximum(total[2] ** 2 / np.maximum(total[1], 1e-300), 1e-300)
+    f, where = group % k, group // k
+    ok = (n >= g.min_leaf) & (total[0] - n >= g.min_leaf) & (gain > 1e-12 * scale) & allowed[f]
+    gain = np.where(ok, gain, -np.inf)
+    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+    most = np.maximum.reduceat(gain, first)
+    value[where[first]] = total[2][first] / np.maximum(total[1][first] + g.l2, 1e-300) / SCALE
+    best = np.flatnonzero((gain == most[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(cell)]))]) & ok)
+    best = best[np.r_[True, where[best][1:] != where[best][:-1]]] if len(best) else best
+    column[where[best]], bin_[where[best]] = f[best], cell[best] % bins
+    return column, bin_, value
+
+
 def _at(nodes: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Index of every row's node among the sorted ``nodes``, -1 if it is none of them."""
     i = np.searchsorted(nodes, place)
     return np.where((i < len(nodes)) & (nodes[np.minimum(i, len(nodes) - 1)] == place), i, -1)
 
 
-def grow(g: Growth, symbol: str, number: int, x: np.ndarray, y: np.ndarray, pos: np.ndarray, cuts: list[np.ndarray]) -> Tree:
-    """One tree from all rows of a symbol."""
+def grow(g: Growth, symbol: str, number: int, x: np.ndarray, y: np.ndarray, pos: np.ndarray, cuts: list[np.ndarray],
+         codes: np.ndarray | None) -> Tree:
+    """One tree from all rows of a symbol; ``codes``: their bins."""
     tree, w, allowed = Tree(g.depth), row_weights(g, symbol, pos, number), column_mask(g, symbol, x.shape[1], number)
-    nodes, place = np.array([1]), np.ones(len(x), np.int64)
+    nodes, place, y = np.array([1]), np.ones(len(x), np.int64), fixed(y)
     for level in range(g.depth + 1):
         slot = _at(nodes, place)
         if g.random_cuts:
             cut = random_cuts(g, symbol, number, nodes, ranges(x, w, slot, len(nodes)))
-            stats = sides(x, y, w, slot, len(nodes), cut)
+            column, bin_, value = choose(g, sides(x, y, w, slot, len(nodes), cut), allowed)
             used = lambda i, f, b: cut[i, f]
         else:
-            stats = histogram(x, y, w, slot, len(nodes), cuts)
+            column, bin_, value = choose_cells(g, codes, max(map(len, cuts)) + 1, y, w, slot, len(nodes), allowed)
             used = lambda i, f, b: cuts[f][b]
-        column, bin_, value = choose(g, stats, allowed)
         tree.value[nodes] = value
         if level == g.depth:
             break
@@ -235,13 +279,14 @@ def grow(g: Growth, symbol: str, number: int, x: np.ndarray, y: np.ndarray, pos:
 def grow_all(g: Growth, symbol: str, numbers: range, x: np.ndarray, y: np.ndarray, pos: np.ndarray) -> Iterator[Tree]:
     """The trees ``numbers`` of a symbol; boosted trees are all grown, in order."""
     cuts = [] if g.random_cuts else rank_cuts(x, g.bins)
+    codes = None if g.random_cuts else np.column_stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)])
     if not g.boosted:
         for t in numbers:
-            yield grow(g, symbol, t, x, y, pos, cuts)
+            yield grow(g, symbol, t, x, y, pos, cuts, codes)
         return
     left = y - y.mean()
     for t in numbers:
-        tree = grow(g, symbol, t, x, left, pos, cuts)
+        tree = grow(g, symbol, t, x, left, pos, cuts, codes)
         left = left - g.rate * tree.value[tree.place(x)]
         yield tree
 
@@ -382,11 +427,11 @@ def _level(blocks: DataFrame, g: Growth, k: int, level: int, rounds: range, done
                         nodes = _open_nodes(tree, level)
                         if not len(nodes):
                             continue
-                        slot, w = _at(nodes, tree.place(x)), row_weights(g, key[0], pos, t)
+                        slot, w, yt = _at(nodes, tree.place(x)), row_weights(g, key[0], pos, t), fixed(y)
                         if not g.random_cuts:
-                            stats = histogram(x, y, w, slot, len(nodes), base)
+                            stats = histogram(x, yt, w, slot, len(nodes), base)
                         elif second:
-                            stats = sides(x, y, w, slot, len(nodes), random_cuts(g, key[0], t, nodes, spans[t]))
+                            stats = sides(x, yt, w, slot, len(nodes), random_cuts(g, key[0], t, nodes, spans[t]))
                         else:
                             stats = ranges(x, w, slot, len(nodes))
                         merge = np.add if second or not g.random_cuts else np.minimum
