@@ -133,7 +133,7 @@ def _future(spark, sf_dir, mode="train"):
 @register("forecast_rolling")
 def forecast_rolling(spark, sf_dir):
     """Roll-forward on the training definitions of the features."""
-    return rounded(_future(spark, sf_dir))
+    return _future(spark, sf_dir)
 
 
 _REF_TAIL = ("tails", f"""SELECT symbol, max(d) AS d, list(close ORDER BY d) AS p, list(high ORDER BY d) AS h, list(low ORDER BY d) AS l,
@@ -153,7 +153,7 @@ def forecast_rolling_forest(spark, sf_dir):
     """Roll-forward of the per-symbol forests."""
     blocks = _blocks(spark, sf_dir)
     models = tr.fit(blocks, len(COLS), "forest").join(_stats(spark, sf_dir), "symbol")
-    return rounded(rf.forecast_rolling(tables.processed(spark, sf_dir), models, tr.step_predict, COLS, HORIZON))
+    return rf.forecast_rolling(tables.processed(spark, sf_dir), models, tr.step_predict, COLS, HORIZON)
 
 
 _STEP = trimmed_ctes() + prefixed_feature_ctes(
@@ -179,7 +179,7 @@ def forecast_step_features_ref(spark, sf_dir):
 
 @register("forecast_series")
 def forecast_series(spark, sf_dir):
-    return rounded(fc.forecast_series(_holdout(spark, sf_dir), _future(spark, sf_dir)))
+    return fc.forecast_series(_holdout(spark, sf_dir), _future(spark, sf_dir))
 
 
 _W = ", ".join(COLS)
