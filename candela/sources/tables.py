@@ -61,15 +61,33 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         lineitem_trades(spark, sf_dir), order_cols=TRADE_ORDER, unit="day"))
 
 
+def _version(spark: SparkSession, sf_dir: str) -> int:
+    """Hash of names, sizes and times of the files under ``sf_dir``: changed data are other data."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        found = [f for top in files.listStatus(path) for f in (files.listStatus(top.getPath()) if top.isDirectory() else [top])]
+        return hash(frozenset((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found))
+    except Exception:  # noqa: BLE001 - a session without a JVM handle
+        return 0
+
+
 def _session_cached(cache: dict, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Persist ``build()`` once per (live session, sf_dir); a new session,
-    even one that reuses an old object id, gets its own copy."""
+    """Persist ``build()`` once per (live session, sf_dir, state of its files); a new session,
+    even one that reuses an old object id, gets its own copy. Changed files release what was built from the old ones."""
     key = (id(spark), sf_dir)
+    version = _version(spark, sf_dir)
     hit = cache.get(key)
     if not any(c is cache for c in _CACHES):
         _CACHES.append(cache)
+    if hit is not None and hit[0] is spark and hit[2] != version:
+        for other in _CACHES:
+            old = other.pop(key, None)
+            if old is not None and old[0] is spark:
+                old[1].unpersist()
+        hit = None
     if hit is None or hit[0] is not spark:
-        cache[key] = (spark, build().persist(StorageLevel.MEMORY_AND_DISK))
+        cache[key] = (spark, build().persist(StorageLevel.MEMORY_AND_DISK), version)
     return cache[key][1]
 
 
@@ -329,7 +347,7 @@ _WRITTEN: dict = {}
 def _written(spark: SparkSession, sf_dir: str, name: str, build) -> str:
     """Write a fixture table once per session into the shared folder."""
     from candela.session import shared_path
-    key = (id(spark), sf_dir, name)
+    key = (id(spark), sf_dir, name, _version(spark, sf_dir))
     hit = _WRITTEN.get(key)
     if hit is None or hit[0] is not spark:
         import uuid

@@ -1,6 +1,7 @@
 """Rule-level unit tests on tiny hand-made tables (edge cases the driver
 tables do not reach)."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -228,3 +229,20 @@ def test_refresh_and_freshness_reports(spark):
     assert fr.age_min == 80.0 and fr.fresh is False and fr.rows == 1 and fr.last_date == "2024-01-02"
     fr2 = cl.freshness_report(loads, bars, dt.datetime(2024, 1, 2, 14, 50)).first()
     assert fr2.age_min == 50.0 and fr2.fresh is True
+
+
+def test_changed_files_are_read_again(spark, tmp_path):
+    from candela.sources import tables
+    rows = [("A", "F", "2024-01-01 10:00:00", 1, 1, 1, 1, 10.0, 2.0)]
+    ddl = ("l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz, l_orderkey long, l_linenumber int, l_partkey long, "
+           "l_suppkey long, l_extendedprice double, l_quantity double")
+
+    def write(rows):
+        df = spark.createDataFrame([(*r[:2], datetime.datetime.fromisoformat(r[2]), *r[3:]) for r in rows], ddl)
+        df.write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+
+    write(rows)
+    assert [r.close for r in tables.bars(spark, str(tmp_path)).collect()] == [5.0]
+    assert tables.bars(spark, str(tmp_path)) is tables.bars(spark, str(tmp_path))
+    write([(*rows[0][:7], 20.0, 2.0)])
+    assert [r.close for r in tables.bars(spark, str(tmp_path)).collect()] == [10.0]
