@@ -246,3 +246,69 @@ def test_changed_files_are_read_again(spark, tmp_path):
     assert tables.bars(spark, str(tmp_path)) is tables.bars(spark, str(tmp_path))
     write([(*rows[0][:7], 20.0, 2.0)])
     assert [r.close for r in tables.bars(spark, str(tmp_path)).collect()] == [10.0]
+
+
+def _requests(spark, n, seed):
+    import random
+    rng = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1, 20)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), i, start + datetime.timedelta(minutes=rng.randint(0, 60 * 30))) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "key_id long, id long, ts timestamp_ntz").repartition(3)
+
+
+def test_verdicts_under_nested_limits_equal_a_plain_loop(spark):
+    """Fixed windows, counted request by request: 4 an hour and 30 a day together; null clients are one client."""
+    rows, df = _requests(spark, 400, 3)
+    want, hours, days = {}, {}, {}
+    for key, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        hour, day = (key, ts.replace(minute=0)), (key, ts.date())
+        hours[hour] = hours.get(hour, 0) + 1
+        if hours[hour] > 4:
+            want[i] = "hour"
+            continue
+        days[day] = days.get(day, 0) + 1
+        want[i] = "admitted" if days[day] <= 30 else "day"
+    got = {r.id: r.verdict for r in wl.admissions(df, (("hour", "1 hour", 4), ("day", "1 day", 30))).collect()}
+    assert got == want and set(want.values()) == {"admitted", "hour", "day"}
+    single = {r.id: r.verdict for r in wl.admissions(df, (("day", "1 day", 10),)).collect()}
+    assert sum(v == "admitted" for v in single.values()) == sum(min(10, n) for n in _per_day(rows).values())
+
+
+def _per_day(rows):
+    out = {}
+    for key, _, ts in rows:
+        out[key, ts.date()] = out.get((key, ts.date()), 0) + 1
+    return out
+
+
+def test_key_events_equal_a_plain_loop(spark):
+    import random
+    rng = random.Random(4)
+    start, rows, asked = datetime.datetime(2024, 1, 1), [], {}
+    for i in range(300):
+        user = rng.choice([None, 1, 2])
+        if rng.random() < 0.6 or not asked.get(user):
+            asked.setdefault(user, []).append(i)
+            rows.append((user, i, start + datetime.timedelta(hours=i // 3), "create", i))
+        else:
+            rows.append((user, i, start + datetime.timedelta(hours=i // 3), "revoke", rng.choice([*asked[user], 9999])))
+    rows.append((1, 999, start, "rename", 5))
+    df = spark.createDataFrame(rows, "user_id long, seq long, ts timestamp_ntz, action string, key_id long").repartition(4)
+    want, active = {}, {}
+    for user, seq, ts, action, key in sorted(rows, key=lambda r: (r[2], r[1])):
+        mine = active.setdefault(user, [])
+        if action == "create":
+            status = "created" if len(mine) < 5 else "limit reached"
+            mine += [key] * (status == "created")
+        elif action == "revoke":
+            status = "revoked" if key in mine else "not found"
+            if key in mine:
+                mine.remove(key)
+        else:
+            status = "invalid"
+        want[seq] = (user, status, len(mine))
+    got = {r.seq: (r.user_id, r.status, r.active) for r in wl.key_events(df).collect()}
+    assert got == want and {s for _, s, _ in want.values()} == {"created", "limit reached", "revoked", "not found", "invalid"}
+    listed = wl.active_keys(df).collect()
+    assert {u: sorted(r.key_id for r in listed if r.user_id == u and r.is_active) for u in active} == {u: sorted(k) for u, k in active.items()}
+    assert sorted(r.rank for r in listed if r.user_id == 1) == list(range(1, 1 + sum(r.user_id == 1 for r in listed)))
