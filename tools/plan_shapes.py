@@ -47,7 +47,7 @@ def main() -> None:
     print("feature frame) count as one in-memory scan in the query rows. The (build) rows show the")
     print("plans that make them: the lineitem aggregate, and the feature windows with row numbering")
     print("(the reference trim adds one count and a semi join on the persisted complete rows).")
-    print("Generated by `tools/plan_shapes.py`.\n")
+    print("Queries that write checkpoints on their way (ledger, correlation, order statistics, streams) show what follows the last one. Generated by `tools/plan_shapes.py`.\n")
     print("| query | exchanges | sorts | windows | broadcast joins | sort-merge joins | pushed filters |")
     print("|---|---|---|---|---|---|---|")
     from candela.operators import indicators
