@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAR_COLS = ["symbol", "d", "open", "high", "low", "close", "volume"]
+BROADCAST_BARS = 200_000        # bars whose ends are sent to every task (about 20 MB); beyond, trades are shuffled to them
 
 
 def bars_from_trades(trades: DataFrame, order_cols: list[str], unit: str = "day",
@@ -15,21 +16,30 @@ def bars_from_trades(trades: DataFrame, order_cols: list[str], unit: str = "day"
     """Resample trades/ticks to OHLCV bars.
 
     open/close are the prices of the first/last trade by ``order_cols`` inside
-    the bar, high/low the extreme prices, volume the summed size. One
-    partial (map-side) aggregate on (symbol, bucket): a hot symbol never
-    lands in a single task before the combine.
+    the bar, high/low the extreme prices, volume the summed size. The first pass keeps
+    numbers only (extremes, volume, the ends of the first order column) and is a hash aggregate
+    combined in the map tasks; the second reads the trades at those ends alone, so the
+    whole order key is compared for a few rows a bar. A hot symbol never lands in a single task.
     """
     if unit == "day":
         bucket = F.to_date(F.col(ts))
     else:
         bucket = F.date_trunc(unit, F.col(ts))
-    key = F.struct(*[F.col(c) for c in order_cols])
-    return (trades.groupBy(F.col(symbol).alias("symbol"), bucket.alias("d"))
-            .agg(F.min_by(F.col(px), key).alias("open"),
-                 F.max(px).alias("high"),
-                 F.min(px).alias("low"),
-                 F.max_by(F.col(px), key).alias("close"),
-                 F.sum(size).cast("double").alias("volume")))
+    rows = trades.select(F.col(symbol).alias("symbol"), bucket.alias("d"), F.col(px).alias("_px"), F.col(size).alias("_size"),
+                         F.col(order_cols[0]).alias("_first"), F.struct(*[F.col(c) for c in order_cols]).alias("_key"))
+    edges = (rows.groupBy("symbol", "d")
+             .agg(F.max("_px").alias("high"), F.min("_px").alias("low"), F.sum("_size").cast("double").alias("volume"),
+                  F.count_if(F.col("_first").isNull()).alias("_nulls"), F.min("_first").alias("_lo"), F.max("_first").alias("_hi"))
+             .withColumn("_lo", F.when(F.col("_nulls") == 0, F.col("_lo")))     # a null comes first in a key
+             .withColumnsRenamed({"symbol": "_s", "d": "_d"}).checkpoint())
+    if edges.count() <= BROADCAST_BARS:
+        edges = F.broadcast(edges)
+    at = F.col("_first")
+    ends = rows.join(edges, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("d").eqNullSafe(F.col("_d"))
+                     & (at.eqNullSafe(F.col("_lo")) | at.eqNullSafe(F.col("_hi"))))
+    return (ends.groupBy("symbol", "d")
+            .agg(F.min_by("_px", "_key").alias("open"), F.max("high").alias("high"), F.max("low").alias("low"),
+                 F.max_by("_px", "_key").alias("close"), F.max("volume").alias("volume")))
 
 
 def bars_scan(spark: SparkSession, path: str, start: str = "2018-01-01") -> DataFrame:
