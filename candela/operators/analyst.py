@@ -102,18 +102,22 @@ def tfidf_logreg(labelled: DataFrame, label_col: str = "quality", num_features:
     """Hashed term frequencies, IDF weighting and logistic regression.
 
     Every term takes part; ``num_features`` is the number of hash buckets, a
-    parameter of the model (terms that share a bucket share a weight).
+    parameter of the model (terms that share a bucket share a weight). Labelled texts are
+    split and hashed once: their frequencies stay on disk while the two models are fitted.
     """
-    from pyspark.ml import Pipeline
+    from pyspark import StorageLevel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF
     data = labelled.withColumn("label", F.col(label_col).cast("double"))
-    pipe = Pipeline(stages=[
-        _tokens(),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(maxIter=max_iter, regParam=reg)])
-    return _p1(pipe.fit(data).transform(score if score is not None else data))
+    terms = PipelineModel(stages=[_tokens(), HashingTF(inputCol="words", outputCol="tf", numFeatures=num_features)])
+    train = terms.transform(data).select("label", "tf").persist(StorageLevel.DISK_ONLY)
+    try:
+        idf = IDF(inputCol="tf", outputCol="features").fit(train)
+        logreg = LogisticRegression(maxIter=max_iter, regParam=reg).fit(idf.transform(train))
+    finally:
+        train.unpersist()
+    return _p1(PipelineModel(stages=[terms, idf, logreg]).transform(score if score is not None else data))
 
 
 def ensemble_vote(signals: DataFrame, weights=(0.50, 0.25, 0.25), buy_at: float = 0.2,

@@ -25,6 +25,20 @@ def _docs(spark, n=60, seed=5):
     return spark.createDataFrame(rows, "doc_id long, text string, quality int")
 
 
+def test_logreg_splits_labelled_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+    lab = _docs(spark).filter(F.length("text") > 0)
+    n = lab.count()
+    watched = lab.withColumn("text", F.udf(look, "string").asNondeterministic()("text"))
+    out = an.tfidf_logreg(watched, num_features=1 << 8, max_iter=5, score=lab.select("doc_id", "text"))
+    assert seen.value == n
+    assert out.count() == n and out.columns == ["doc_id", "prediction", "p_positive"]
+
+
 def test_portfolio_insight_moves_each_item_once(spark, monkeypatch):
     r = random.Random(3)
     t0 = dt.datetime(2024, 1, 1)
