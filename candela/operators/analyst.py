@@ -72,23 +72,32 @@ def nb_text_class(labelled: DataFrame, label_col: str = "quality", smoothing: fl
     Fitted on the labelled rows (0 or 1) over every token they hold; scores ``score``
     (default: the labelled rows) with prediction and P(class 1). Tokens that
     training never met say nothing. The model is a table (token, weight) and
-    one row of priors; documents meet it in an equi-join on the token.
+    one row of priors; documents meet it in an equi-join on the token. The ``BROADCAST_TOKENS``
+    tokens most frequent in training are sent to every task, so that most weights are summed per
+    document where it is split; only the other tokens are shuffled, to meet the rest of the table.
     """
-    from candela.operators.text import tokens
+    from candela.operators.text import BROADCAST_TOKENS, tokens
     y = F.col(label_col).cast("int")
     train = labelled.filter(y.isin(0, 1)).select(y.alias("y"), F.col("text"))
     counts = (train.select("y", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token")
-              .agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0")))
+              .agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))).checkpoint()
     total = counts.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.count(F.lit(1)).alias("v"))
     prior = train.agg(F.log(F.count_if(F.col("y") == 1) / F.count_if(F.col("y") == 0)).alias("b"))
     sums = total.select(F.struct("t1", "t0", "v")).scalar()
     t1, t0, v = (sums[c] for c in ("t1", "t0", "v"))
     s = F.lit(float(smoothing))
-    weights = counts.select("token", (F.log((F.col("n1") + s) / (t1 + s * v)) - F.log((F.col("n0") + s) / (t0 + s * v))).alias("w"))
+    w = F.log((F.col("n1") + s) / (t1 + s * v)) - F.log((F.col("n0") + s) / (t0 + s * v))
+    many = counts.count() > BROADCAST_TOKENS
+    common = counts.orderBy((F.col("n1") + F.col("n0")).desc(), "token").limit(BROADCAST_TOKENS).checkpoint() if many else counts
     docs = score if score is not None else labelled
-    seen = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(
-        F.count(F.lit(1)).alias("n"))
-    odds = seen.join(weights, "token").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("w")).alias("odds"))
+    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    told = words.join(F.broadcast(common.select("token", w.alias("w"))), "token").select("doc_id", "w")
+    if many:
+        names = F.broadcast(common.select("token"))
+        rest = words.join(names, "token", "left_anti").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+        rare = counts.join(names, "token", "left_anti").select("token", w.alias("w"))
+        told = told.unionByName(rest.join(rare, "token").select("doc_id", (F.col("n") * F.col("w")).alias("w")))
+    odds = told.groupBy("doc_id").agg(F.sum("w").alias("odds"))
     z = F.coalesce(F.col("odds"), F.lit(0.0)) + prior.scalar()
     p = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -z))))
     keep = [F.col(label_col).cast("double").alias("label")] if label_col in docs.columns else []

@@ -25,6 +25,19 @@ def _docs(spark, n=60, seed=5):
     return spark.createDataFrame(rows, "doc_id long, text string, quality int")
 
 
+def test_naive_bayes_common_and_rare_tokens(spark, monkeypatch):
+    """Common tokens are summed before any shuffle; with a small table of common tokens the results are the same."""
+    lab, docs = _docs(spark), _docs(spark, 80, 7).drop("quality")
+    whole = an.nb_text_class(lab, score=docs)
+    assert "hashpartitioning(doc_id" in _plan(whole) and "token" not in "".join(
+        x for x in _plan(whole).splitlines() if "Exchange hashpartitioning" in x)
+    want = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(tx, "BROADCAST_TOKENS", 7)
+    got = sorted(map(tuple, an.nb_text_class(lab, score=docs).collect()))
+    assert len(got) == 80 and [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want))
+
+
 def test_logreg_splits_labelled_texts_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
